@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trackspark.llm.bpe import bpe
 from trackspark.llm.exact_dedup import exact_groups
 from trackspark.llm.line_dedup import drop_frequent_lines
 from trackspark.llm.mixing import mix
+from trackspark.llm.resharding import reshard
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,19 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshard(table(spark, sf_dir, "documents"), shards=16).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "old_shard",
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return drop_frequent_lines(docs, min_docs=10).select(
@@ -29,10 +45,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op7_mix": op7_mix,
+    "op8_reshard": op8_reshard,
     "op9_line_dedup": op9_line_dedup,
+    "op10_bpe": op10_bpe,
 }
 
 ORACLES = {
