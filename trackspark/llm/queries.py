@@ -11,6 +11,7 @@ from trackspark.llm.exact_dedup import exact_groups
 from trackspark.llm.line_dedup import drop_frequent_lines
 from trackspark.llm.mixing import mix
 from trackspark.llm.resharding import reshard
+from trackspark.llm.warc import archive_pages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op6_warc": op6_warc,
     "op7_mix": op7_mix,
     "op8_reshard": op8_reshard,
     "op9_line_dedup": op9_line_dedup,
@@ -89,4 +95,15 @@ ORACLES = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op6_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n,
+                   sha256(coalesce(html, '')) AS d
+            FROM pages),
+        f AS (SELECT d, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY d HAVING count(*) > 1)
+        SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d
+    """,
 }
