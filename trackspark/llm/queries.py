@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trackspark.llm.bpe import bpe
 from trackspark.llm.exact_dedup import exact_groups
 from trackspark.llm.jaccard import near_duplicates
+from trackspark.llm.langid import identify
 from trackspark.llm.line_dedup import drop_frequent_lines
 from trackspark.llm.mixing import mix
 from trackspark.llm.resharding import reshard
@@ -27,6 +28,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -68,6 +73,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ngram_join": op2_ngram_join,
+    "op3_language": op3_language,
     "op6_warc": op6_warc,
     "op7_mix": op7_mix,
     "op8_reshard": op8_reshard,
