@@ -20,16 +20,37 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
+def _folded(key: Column) -> Column:
+    """A text that two keys share exactly if they are equal with A-Z in lower case.
+
+    Spark's own lower() is fast but folds other letters too. So the text has
+    what it gives and, for keys beyond ASCII, their other characters as they
+    are. Only of the two letters whose lower case is in ASCII (the Kelvin sign
+    and the dotted capital I) this would lose the place; their keys are
+    translated letter by letter.
+    """
+    other = F.regexp_replace(key, "[\\x00-\\x7F]+", "")
+    odd = F.contains(key, F.lit("\u212a")) | F.contains(key, F.lit("\u0130"))
+    return (
+        F.when(F.octet_length(key) == F.length(key), F.lower(key))
+        .when(odd, F.concat(F.lit("\0"), F.translate(key, UPPER, LOWER)))
+        .otherwise(F.concat(F.lower(key), F.lit("\0"), other))
+    )
+
+
 def _keys(lines: Column) -> Column:
     """A line's key as two hashes (96 bits); null for a key of no characters."""
 
-    def one(line: Column) -> Column:
-        key = F.translate(F.btrim(line, F.lit(SPACE)), UPPER, LOWER)
+    def fold(line: Column) -> Column:
+        key = F.btrim(line, F.lit(SPACE))
+        return F.when(key != "", _folded(key))
+
+    def hashes(folded: Column) -> Column:
         return F.when(
-            F.length(key) > 0, F.struct(F.xxhash64(key).alias("h"), F.hash(key).alias("g"))
+            folded.isNotNull(), F.struct(F.xxhash64(folded).alias("h"), F.hash(folded).alias("g"))
         )
 
-    return F.transform(lines, one)
+    return F.transform(F.transform(lines, fold), hashes)
 
 
 def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -41,8 +62,11 @@ def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     partition is streamed in that order and gives one row per key, and only
     those are merged.
     """
+    # The range partitioning reads its input twice (to find the ranges first), so
+    # the hashes, a few bytes a line, are a scratch table.
+    keyed = docs.select(F.col(id_col).alias("id"), _keys(_lines(F.col(text_col))).alias("keys"))
     return (
-        docs.select(F.col(id_col).alias("id"), _keys(_lines(F.col(text_col))).alias("keys"))
+        materialise(keyed, "line_keys")
         .select(
             "id",
             "keys",
