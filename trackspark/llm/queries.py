@@ -13,6 +13,7 @@ from trackspark.llm.langid import identify
 from trackspark.llm.line_dedup import drop_frequent_lines
 from trackspark.llm.mixing import mix
 from trackspark.llm.resharding import reshard
+from trackspark.llm.toxicity import score
 from trackspark.llm.warc import archive_pages
 
 
@@ -32,6 +33,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"))
 
@@ -74,6 +79,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_language": op3_language,
+    "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_mix": op7_mix,
     "op8_reshard": op8_reshard,
