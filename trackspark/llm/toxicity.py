@@ -14,8 +14,9 @@ from trackspark.llm.common import materialise, only_ids, without_ids
 
 #: Labelled documents that the classifiers are fitted on, at most.
 TRAIN_ROWS = 8_000
-#: Training documents that must hold a feature for it to get a weight.
-LEAST_DOCS = 4
+#: A feature counts if it is on one side of a category by so many standard
+#: deviations more than chance has it, and is among so many such per category.
+LEAST_Z, MOST_FEATURES = 5.0, 4_000
 #: Bytes of a word's beginning that are features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
@@ -26,11 +27,12 @@ _MUL = np.uint64(0xD6E8FEB86659FD93)
 _CODES = np.random.default_rng(20240611).integers(0, 1 << 63, 256, dtype=np.uint64)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
+_SIGN = np.array([33 <= b < 0x7F and not chr(b).isalnum() for b in range(256)])
 _INSIDE = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 
 
 def features(text: str) -> np.ndarray:
-    """The distinct words of a text and their beginnings, as sorted 64-bit hashes.
+    """The distinct words of a text, their beginnings, and the runs of signs, as sorted hashes.
 
     Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower case.
     """
@@ -38,7 +40,7 @@ def features(text: str) -> np.ndarray:
     start = 0
     while start < len(data):  # long texts in parts that end between words
         end = min(len(data), start + step)
-        while end < len(data) and _INSIDE[data[end]]:
+        while end < len(data) and (_INSIDE[data[end]] or _SIGN[data[end]]):
             end += 1
         found.append(_features(np.frombuffer(data, np.uint8, end - start, start)))
         start = end
@@ -53,8 +55,10 @@ def _features(data: np.ndarray) -> np.ndarray:
     up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), _BASE)]), dtype=np.uint64)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_CODES[folded] * up[:-1], dtype=np.uint64)])
     found = []
-    for kind, length in enumerate((None, *BEGINNINGS)):
-        cut = ends if length is None else np.minimum(ends, starts + length)
+    sign = np.concatenate([[False], _SIGN[folded], [False]])
+    runs = np.flatnonzero(sign[1:] & ~sign[:-1]), np.flatnonzero(sign[:-1] & ~sign[1:])
+    kinds = [(starts, ends), *[(starts, np.minimum(ends, starts + k)) for k in BEGINNINGS], runs]
+    for kind, (starts, cut) in enumerate(kinds):
         # The same factor for both ends of a span, whatever its place in the text.
         spans = (sums[cut] - sums[starts]) * up[len(data) - starts]
         key = spans if len(data) == 0 else spans * _inverse(len(data))
@@ -124,7 +128,7 @@ def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray, decay: float = 1e-4) ->
         z = rows.dot(theta[: rows.width]) + earlier @ theta[rows.width : -1] + theta[-1]
         wrong = (_sigmoid(z) - y) / n
         grad = np.concatenate([rows.spread(wrong), earlier.T @ wrong, [wrong.sum()]])
-        grad[:-1] += decay * theta[:-1] / rows.width**0.5
+        grad[:-1] += decay * theta[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         theta -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
@@ -140,16 +144,41 @@ class Chain:
     models: list[Linear]
 
     def predict(self, text: str | None) -> list[float]:
-        own = features(text or "")
-        at = np.searchsorted(self.known, own)
-        at[at == len(self.known)] = 0
-        at = at[self.known[at] == own] if len(self.known) else np.zeros(0, np.int64)
+        at = _places(self.known, features(text or ""))
         odds: list[float] = []
         for model in self.models:
             odds.append(float(np.clip(model.log_odds(at, odds), -9.2, 9.2)))
         return [float(_sigmoid(z)) for z in odds]
 
 
+def telling(lists: list[np.ndarray], targets: Mapping[str, np.ndarray]) -> np.ndarray:
+    """The features that tell one side of some category from the other."""
+    if not lists:
+        return np.zeros(0, np.uint64)
+    every, at = np.unique(np.concatenate(lists), return_inverse=True)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    keep = np.zeros(len(every), bool)
+    for y in targets.values():
+        has = ~np.isnan(y)
+        rate = y[has].mean() if has.any() else 0.0
+        if 0 < rate < 1:
+            docs = np.bincount(at, has[owner], len(every))
+            ones = np.bincount(at, np.nan_to_num(y)[owner], len(every))
+            spread = np.sqrt(np.maximum(docs, 1) * rate * (1 - rate) + 1)
+            z = np.abs(ones - docs * rate) / spread
+            best = np.lexsort((every, -z))[:MOST_FEATURES]
+            keep[best[z[best] >= LEAST_Z]] = True
+    return every[keep]
+
+
+def _places(known: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Where in ``known`` the features are that are there."""
+    if not len(known):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    return at[known[at] == own]
+
+
 def fit_chain(
     lists: list[np.ndarray], targets: Mapping[str, np.ndarray], folds: np.ndarray
 ) -> Chain:
@@ -158,9 +187,8 @@ def fit_chain(
     A model's training rows get the earlier categories' probabilities from
     models that have not seen the row: those fitted on the other folds.
     """
-    every, docs = np.unique(np.concatenate(lists), return_counts=True) if lists else (np.zeros(0, np.uint64),) * 2
-    known = every[docs >= LEAST_DOCS]
-    rows = Rows([np.flatnonzero(np.isin(known, x, assume_unique=True)) for x in lists], len(known))
+    known = telling(lists, targets)
+    rows = Rows([_places(known, x) for x in lists], len(known))
     earlier = np.zeros((len(rows), 0))
     models = []
     for k, y in enumerate(targets.values()):
