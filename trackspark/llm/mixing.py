@@ -189,3 +189,23 @@ def mix(
             ).cast("long").alias("taken"),
         )
     )
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` as the mix takes them: whole, as often as :func:`mix` says, all columns.
+
+    A document of which the mix takes a part of a round is there once for it,
+    so a shard of a source has at most one document more than its quota of
+    words. Documents of no words are not in a mix of words. Ids are taken to
+    name documents: rows that repeat one get the largest number of their copies.
+    """
+    taken = mix(docs, id_col=id_col, **options).filter("taken > 0")
+    copies = taken.groupBy(F.col(id_col).alias("__id")).agg(
+        F.max(F.ceil(F.col("taken") / F.col("size")).cast("int")).alias("__copies")
+    )
+    copies = broadcast_if_small(materialise(copies, "copies"))
+    return (
+        docs.join(copies, docs[id_col].eqNullSafe(F.col("__id")))
+        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+        .select(*docs.columns)
+    )
