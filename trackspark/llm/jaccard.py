@@ -17,6 +17,8 @@ CHUNK_BYTES = 1 << 20
 COMMON_DOCS = 16
 #: Common tokens that every task may know: 8 MB.
 COMMON_TOKENS = 1_000_000
+#: Bits (as a power of two) that tell tokens of one document from others: 32 MB.
+BITMAP_BITS = 28
 #: Seeds of the further orders, under which candidates must meet again.
 ORDERS = (0x51ED27, 0xC2B2AE)
 
@@ -109,13 +111,20 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
         at = end
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    """40-bit cells of the tokens in the first quarter of the hash range.
+def _known_bits(percent: int) -> int:
+    """Document counts are known of tokens below two to this power.
 
-    How many documents hold a token is only counted there: in an order by hash,
-    prefixes lie there.
+    In an order by hash, prefixes lie at the low end; half as long again or
+    more is counted, so that enough tokens are left beside those that repeat.
     """
-    return tokens[tokens < np.uint64(1 << 62)] >> np.uint64(22)
+    return 62 if percent >= 85 else 63 if percent >= 70 else 64
+
+
+def _cells(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """40-bit cells of the tokens whose document counts are to be known."""
+    if bits < 64:
+        tokens = tokens[tokens < np.uint64(1 << bits)]
+    return tokens >> np.uint64(bits - 40)
 
 
 def _needed(n: int, percent: int) -> int:
@@ -123,28 +132,48 @@ def _needed(n: int, percent: int) -> int:
     return (percent * n + 99) // 100
 
 
-def _prefix(tokens: np.ndarray, common: np.ndarray, seed: int, percent: int) -> np.ndarray:
-    """The first tokens of a set: rare ones before common ones, then by hash.
+class Frequencies:
+    """What is known of the tokens' document counts, in bounded memory.
+
+    A bit per group of cells says whether one of them is in two documents or
+    more: a token without it is in one only. ``common`` lists cells in many.
+    """
+
+    def __init__(self, shared: np.ndarray, common: np.ndarray, bits: int):
+        self.shared, self.common, self.bits = shared, common, bits
+
+    def tiers(self, tokens: np.ndarray) -> np.ndarray:
+        """0: in one document; 1: in a few; 2: not counted; 3: in many."""
+        known = tokens < np.uint64(1 << self.bits) if self.bits < 64 else np.ones(len(tokens), bool)
+        cell = np.where(known, tokens >> np.uint64(self.bits - 40), np.uint64(0))
+        bit = cell >> np.uint64(40 - BITMAP_BITS)
+        held = self.shared[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1
+        tier = np.where(known, held, 2)
+        if len(self.common):
+            at = np.minimum(np.searchsorted(self.common, cell), len(self.common) - 1)
+            tier[known & (self.common[at] == cell)] = 3
+        return tier
+
+
+def _prefix(
+    tokens: np.ndarray, known: Frequencies, seed: int, percent: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of a set, and their tiers: rare ones first, then by hash.
 
     Of two sets that link, the prefixes under one order share a token.
     """
     n = len(tokens)
     length = n - _needed(n, percent) + 1
-    if seed:
-        tokens = tokens[np.argsort(mixed(tokens ^ np.uint64(seed)))]
-    if len(common):
-        cell = tokens >> np.uint64(22)
-        at = np.minimum(np.searchsorted(common, cell), len(common) - 1)
-        is_common = common[at] == cell
-        tokens = np.concatenate([tokens[~is_common], tokens[is_common]])
-    return tokens[:length]
+    tier = known.tiers(tokens)
+    order = np.lexsort((mixed(tokens ^ np.uint64(seed)) if seed else tokens, tier))[:length]
+    return tokens[order], tier[order]
 
 
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def profiles(docs: DataFrame, width: int, shards: int) -> DataFrame:
+def profiles(docs: DataFrame, width: int, percent: int, shards: int) -> DataFrame:
     """Rows of two kinds: of each document, id, n and node (a hash of its set);
     and of each task, its tokens' cells by shard, as bytes."""
 
@@ -154,7 +183,7 @@ def profiles(docs: DataFrame, width: int, shards: int) -> DataFrame:
             for tokens in shingle_sets(batch.column(1), width):
                 sizes.append(len(tokens))
                 nodes.append(mixed(tokens).sum(dtype=np.uint64))
-                cells.append(_cells(tokens))
+                cells.append(_cells(tokens, bits))
             none = pa.nulls(len(sizes), pa.int32()), pa.nulls(len(sizes), pa.binary())
             node = pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64(), mask=np.array(sizes) == 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), node, *none], names=names)
@@ -173,6 +202,7 @@ def profiles(docs: DataFrame, width: int, shards: int) -> DataFrame:
                 names=names,
             )
 
+    bits = _known_bits(percent)
     names = ["id", "n", "node", "shard", "cells"]
     kind = docs.schema["id"].dataType.simpleString()
     return docs.mapInArrow(profile, f"id {kind}, n long, node long, shard int, cells binary")
@@ -189,34 +219,53 @@ def _unpacked(data: bytes) -> np.ndarray:
     return (high.astype(np.uint64) << np.uint64(32)) | low
 
 
-def common_tokens(parts: DataFrame, least: int) -> np.ndarray:
-    """The cells that at least ``least`` documents hold, or more where they are many.
+def frequencies(parts: DataFrame, percent: int, shards: int) -> Frequencies:
+    """Count the cells of all tasks, shard by shard.
 
-    They only set the order of tokens, so leaving some out changes the speed
-    and not the result; the list has ``COMMON_TOKENS`` at most.
+    What comes to the driver is a bitmap and a list of bounded sizes. They only
+    set the order of tokens, so that a full bitmap or a list cut short (at the
+    document count where it fits) changes the speed and not the result.
     """
+    unit = 1 << (BITMAP_BITS - 3)  # bytes of the bitmap
 
-    def count(group: pa.Table) -> pa.Table:
+    def count(key: tuple, group: pa.Table) -> pa.Table:
+        k = key[0].as_py()
         every = np.concatenate([_unpacked(x.as_py()) for x in group.column("cells")])
         cells, n = np.unique(every, return_counts=True)
-        keep = n >= least
-        return pa.table({"cell": _long(cells[keep]), "n": pa.array(n[keep], pa.int64())})
+        low = (k << BITMAP_BITS) // shards >> 3
+        high = min(unit, (((k + 1) << BITMAP_BITS) // shards >> 3) + 1)
+        flags = np.zeros((high - low) * 8, bool)
+        flags[(cells[n > 1] >> np.uint64(40 - BITMAP_BITS)).astype(np.int64) - low * 8] = True
+        many = n >= COMMON_DOCS
+        return pa.table(
+            {
+                "cell": pa.concat_arrays([pa.array([low], pa.int64()), _long(cells[many])]),
+                "n": pa.concat_arrays([pa.array([0], pa.int64()), pa.array(n[many], pa.int64())]),
+                "bits": pa.array([np.packbits(flags).tobytes()] + [None] * int(many.sum()), pa.binary()),
+            }
+        )
 
     found = materialise(
-        parts.groupBy("shard").applyInArrow(count, "cell long, n long"), "common_tokens"
+        parts.groupBy("shard").applyInArrow(count, "cell long, n long, bits binary"), "frequencies"
     )
-    by_size = found.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()  # 64 rows at most
+    shared = np.zeros(unit, np.uint8)
+    for r in found.filter("n = 0").select("cell", "bits").toLocalIterator():  # 32 MB in all
+        part = np.frombuffer(r["bits"], np.uint8)
+        shared[r["cell"] : r["cell"] + len(part)] |= part
+    listed = found.filter("n > 0")
+    by_size = listed.groupBy(F.floor(F.log2("n")).alias("size")).count().collect()  # 64 rows at most
     line, held = 64, 0
     for r in sorted(by_size, key=lambda r: -r["size"]):
         if held + r["count"] > COMMON_TOKENS:
             break
         held, line = held + r["count"], r["size"]
-    rows = found.filter(F.floor(F.log2("n")) >= line).select("cell").toArrow()
-    return np.sort(rows.column(0).to_numpy().view(np.uint64))
+    rows = listed.filter(F.floor(F.log2("n")) >= line).select("cell").toArrow()
+    common = np.sort(rows.column(0).to_numpy().view(np.uint64))
+    return Frequencies(shared, common, _known_bits(percent))
 
 
-def postings(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
-    """token, node, n of each prefix token of each set that may link to another one."""
+def postings(docs: DataFrame, known, width: int, percent: int) -> DataFrame:
+    """token, node, n of the prefix tokens of each set that other sets may hold."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,7 +273,8 @@ def postings(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
             for own in shingle_sets(batch.column(1), width):
                 n = len(own)
                 if 100 * n >= percent * (n + 1):  # else no other set is near enough
-                    prefix = _prefix(own, common.value, 0, percent)
+                    prefix, tier = _prefix(own, known.value, 0, percent)
+                    prefix = prefix[tier > 0]
                     tokens.append(prefix)
                     nodes.append(np.full(len(prefix), mixed(own).sum(dtype=np.uint64)))
                     sizes.append(np.full(len(prefix), n))
@@ -241,7 +291,7 @@ def postings(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(post, "token long, node long, n int")
 
 
-def candidate_sets(docs: DataFrame, common, width: int, percent: int) -> DataFrame:
+def candidate_sets(docs: DataFrame, known, width: int, percent: int) -> DataFrame:
     """node, n, its prefixes under the further orders, and its tokens as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +302,7 @@ def candidate_sets(docs: DataFrame, common, width: int, percent: int) -> DataFra
                 sizes.append(len(own))
                 bits.append(own.tobytes())
                 for k, seed in enumerate(ORDERS):
-                    firsts[k].append(_prefix(own, common.value, seed, percent).astype(np.uint32).view(np.int32))
+                    firsts[k].append(_prefix(own, known.value, seed, percent)[0].astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(nodes, pa.int64()),
@@ -351,7 +401,7 @@ def near_duplicates(
        prefix, how many documents hold them.
     2. Under an order (rare tokens first, then by a hash) two sets that link
        share a token of their prefixes. A second reading posts the prefixes
-       under the first order; tokens of one node only drop out.
+       under the first order, but for tokens that are in one document only.
     3. Of each token's nodes, each is paired with the smallest one: as many
        pairs as postings and not their square. A pair must also share prefix
        tokens under two more orders; what is left is verified on whole sets.
@@ -369,9 +419,9 @@ def near_duplicates(
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    profile = materialise(profiles(own, width, shards), "profiles")
-    common = spark.sparkContext.broadcast(
-        common_tokens(profile.filter("shard is not null").select("shard", "cells"), COMMON_DOCS)
+    profile = materialise(profiles(own, width, percent, shards), "profiles")
+    known = spark.sparkContext.broadcast(
+        frequencies(profile.filter("shard is not null").select("shard", "cells"), percent, shards)
     )
     rows = profile.filter("shard is null").select("id", "n", "node")
     total = rows.count()
@@ -384,7 +434,7 @@ def near_duplicates(
     copies = join_groups(rows, nodes.filter("copies > 1"), "node", "copies", total, "inner")
     repeats = materialise(copies.filter("id <> first").select("id"), "repeats")
     posted = materialise(
-        postings(without_ids(own, repeats, "id"), common, width, percent), "postings"
+        postings(without_ids(own, repeats, "id"), known, width, percent), "postings"
     )
     buckets = (
         posted.groupBy("token")
@@ -399,7 +449,7 @@ def near_duplicates(
     wanted = materialise(
         shared.select("node").distinct().join(nodes, "node").select("first"), "candidates"
     )
-    sets = materialise(candidate_sets(only_ids(own, wanted, "id"), common, width, percent), "sets")
+    sets = materialise(candidate_sets(only_ids(own, wanted, "id"), known, width, percent), "sets")
     sets = sets.dropDuplicates(["node"]) if own.filter("id is null").limit(1).count() else sets
 
     def near(a: Column | str, b: Column | str) -> Column:
