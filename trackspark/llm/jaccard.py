@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.llm.common import join_groups, materialise, only_ids, without_ids
@@ -21,6 +21,10 @@ COMMON_TOKENS = 1_000_000
 BITMAP_BITS = 28
 #: Seeds of the further orders, under which candidates must meet again.
 ORDERS = (0x51ED27, 0xC2B2AE)
+#: 64-bit words of a set's sketch.
+SKETCH = tuple(f"s{k}" for k in range(4))
+#: Pivots of a token's bucket.
+PIVOTS = 4
 
 _MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -265,15 +269,19 @@ def frequencies(parts: DataFrame, percent: int, shards: int) -> Frequencies:
 
 
 def postings(docs: DataFrame, known, width: int, percent: int) -> DataFrame:
-    """token, node, n of the prefix tokens of each set that other sets may hold."""
+    """token, node, n, at of the prefix tokens of each set that other sets may hold.
+
+    ``at`` is the token's place in the prefix.
+    """
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
+            tokens, nodes, sizes, places = [], [], [], []
             for own in shingle_sets(batch.column(1), width):
                 n = len(own)
                 if 100 * n >= percent * (n + 1):  # else no other set is near enough
                     prefix, tier = _prefix(own, known.value, 0, percent)
+                    places.append(np.flatnonzero(tier > 0))
                     prefix = prefix[tier > 0]
                     tokens.append(prefix)
                     nodes.append(np.full(len(prefix), mixed(own).sum(dtype=np.uint64)))
@@ -284,38 +292,74 @@ def postings(docs: DataFrame, known, width: int, percent: int) -> DataFrame:
                         _long(np.concatenate(tokens)),
                         _long(np.concatenate(nodes)),
                         pa.array(np.concatenate(sizes), pa.int32()),
+                        pa.array(np.concatenate(places), pa.int32()),
                     ],
-                    names=["token", "node", "n"],
+                    names=["token", "node", "n", "at"],
                 )
 
-    return docs.mapInArrow(post, "token long, node long, n int")
+    return docs.mapInArrow(post, "token long, node long, n int, at int")
+
+
+def _sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parities of the tokens by cell: two sets differ in as many tokens as cells, or more."""
+    cells = np.bincount((tokens & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH))
+    return np.packbits((cells & 1).astype(bool), bitorder="little").view("<i8")
 
 
 def candidate_sets(docs: DataFrame, known, width: int, percent: int) -> DataFrame:
-    """node, n, its prefixes under the further orders, and its tokens as bytes."""
+    """node, n, sketch, its prefixes under the further orders, and its tokens as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, sizes, bits, firsts = [], [], [], [[] for _ in ORDERS]
+            sketches = []
             for own in shingle_sets(batch.column(1), width):
                 nodes.append(int(mixed(own).sum(dtype=np.uint64).view(np.int64)))
                 sizes.append(len(own))
                 bits.append(own.tobytes())
+                sketches.append(_sketch(own))
                 for k, seed in enumerate(ORDERS):
                     firsts[k].append(_prefix(own, known.value, seed, percent)[0].astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int32()),
+                    *[pa.array([x[k] for x in sketches], pa.int64()) for k in range(len(SKETCH))],
                     *[pa.array(f, pa.list_(pa.int32())) for f in firsts],
                     pa.array(bits, pa.binary()),
                 ],
-                names=["node", "n", *columns, "tokens"],
+                names=["node", "n", *SKETCH, *columns, "tokens"],
             )
 
     columns = [f"order{k}" for k in range(len(ORDERS))]
+    words = "".join(f"{c} long, " for c in SKETCH)
     arrays = "".join(f"{c} array<int>, " for c in columns)
-    return docs.mapInArrow(sets, f"node long, n int, {arrays}tokens binary")
+    return docs.mapInArrow(sets, f"node long, n int, {words}{arrays}tokens binary")
+
+
+def _distance(a: str, b: str) -> Column:
+    """Cells in which the sketches of two structs differ."""
+    words = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH]
+    return sum(words[1:], words[0])
+
+
+def may_link(a: str, b: str, percent: int) -> Column:
+    """What must hold of two structs (node, n, at of a token they share, sketch) that link.
+
+    Their sizes are near; the shorter one has the token early in its prefix;
+    and the sets, so their sketches as well, differ in few tokens.
+    """
+    x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
+    parts = F.lit(100 + percent)
+
+    def least(total: Column) -> Column:
+        """The fewest tokens that two sets of so many in all have in common."""
+        return F.floor((F.lit(percent) * total + parts - 1) / parts)
+
+    a_first = (x < y) | ((x == y) & (F.col(f"{a}.node") < F.col(f"{b}.node")))
+    early = F.when(a_first, F.col(f"{a}.at") <= x - least(2 * x)).otherwise(F.col(f"{b}.at") <= y - least(2 * y))
+    few = _distance(a, b) <= x + y - 2 * least(x + y)
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & early & few
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
@@ -402,45 +446,47 @@ def near_duplicates(
     2. Under an order (rare tokens first, then by a hash) two sets that link
        share a token of their prefixes. A second reading posts the prefixes
        under the first order, but for tokens that are in one document only.
-    3. Of each token's nodes, each is paired with the smallest one: as many
-       pairs as postings and not their square. A pair must also share prefix
+    3. Of each token's nodes a few are pivots: those whose tokens are the most
+       frequent, so the middle of a group of near copies. Each node is paired
+       with one pivot, the nearest by sketch. A pair must also share prefix
        tokens under two more orders; what is left is verified on whole sets.
     4. In each token's bucket, nodes in the most frequent component so far need
-       nothing more from each other. The others are paired with the nodes of
-       other components, filtered and verified likewise. No pair of different
+       nothing more from each other. The others meet the nodes of other
+       components; only pairs whose sketches don't rule a link out are given,
+       and they are filtered and verified likewise. No pair of different
        components is left out, so the components are complete.
 
     Edge cases: a text without words, or null, has no shingles and links with
     nothing; one of fewer than ``width`` words has one; rows that repeat an id
-    or a text are documents of their own; a null id is never the smallest, and
-    a component of null ids only has a null id; an empty table gives an empty
-    result; other columns are ignored.
+    or a text are documents of their own; a row of a null id links with nothing
+    and its component_id is null; an empty table gives an empty result; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     profile = materialise(profiles(own, width, percent, shards), "profiles")
+    own = own.filter("id is not null")
     known = spark.sparkContext.broadcast(
         frequencies(profile.filter("shard is not null").select("shard", "cells"), percent, shards)
     )
-    rows = profile.filter("shard is null").select("id", "n", "node")
+    every = profile.filter("shard is null").select("id", "n", "node")
+    rows = every.filter("id is not null and node is not null")
     total = rows.count()
     nodes = materialise(
-        rows.filter("node is not null")
-        .groupBy("node")
-        .agg(F.min("id").alias("first"), F.count("*").alias("copies")),
-        "nodes",
+        rows.groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "nodes"
     )
     copies = join_groups(rows, nodes.filter("copies > 1"), "node", "copies", total, "inner")
-    repeats = materialise(copies.filter("id <> first").select("id"), "repeats")
+    firsts = nodes.select(F.col("first").alias("id"))
+    repeats = copies.filter("id <> first").select("id").join(firsts, "id", "left_anti")
     posted = materialise(
-        postings(without_ids(own, repeats, "id"), known, width, percent), "postings"
+        postings(without_ids(own, materialise(repeats, "repeats"), "id"), known, width, percent), "postings"
     )
     buckets = (
         posted.groupBy("token")
-        .agg(F.min("node").alias("pivot"), F.max("node").alias("other"), F.count("*").alias("members"))
-        .filter("pivot <> other")
-        .drop("other")
+        .agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("members"))
+        .filter("low <> high")
+        .select("token", "members")
     )
     buckets = materialise(buckets, "buckets")
     shared = materialise(
@@ -450,27 +496,37 @@ def near_duplicates(
         shared.select("node").distinct().join(nodes, "node").select("first"), "candidates"
     )
     sets = materialise(candidate_sets(only_ids(own, wanted, "id"), known, width, percent), "sets")
-    sets = sets.dropDuplicates(["node"]) if own.filter("id is null").limit(1).count() else sets
-
-    def near(a: Column | str, b: Column | str) -> Column:
-        a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
+    member = F.struct("node", "n", "at", *SKETCH)
+    middle = F.avg("members").over(Window.partitionBy("node"))
+    marked = materialise(
+        shared.withColumn("middle", middle)
+        .join(sets.select("node", *SKETCH), "node")
+        .select("token", "members", "middle", member.alias("x")),
+        "marked",
+    )
+    pivots = materialise(
+        marked.groupBy("token", F.pmod("x.node", F.lit(PIVOTS)).alias("salt"))
+        .agg(F.max_by("x", F.struct("middle", "x.node")).alias("y"), F.max("members").alias("members"))
+        .select("token", "members", "y"),
+        "pivots",
+    )
     star = (
-        shared.filter("node <> pivot")
-        .groupBy("node", "pivot")
-        .agg(F.count("*").alias("times"))
-        .groupBy("node")
-        .agg(F.max_by("pivot", F.struct("times", "pivot")).alias("b"))
-        .select(F.col("node").alias("a"), "b")
+        join_groups(marked.select("token", "x"), pivots, "token", "members", marked.count(), "inner")
+        .filter((F.col("x.node") != F.col("y.node")) & may_link("x", "y", percent))
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _distance("x", "y").alias("away"))
+        .groupBy("a")
+        .agg(F.min(F.struct("away", "b")).alias("nearest"))
+        .select("a", F.col("nearest.b").alias("b"))
     )
-    first_links = linked(materialise(star, "star"), sets, percent, "star_links")
+    star = materialise(star, "star")
+    first_links = linked(star, sets, percent, "star_links")
     labels = components(first_links)
 
     placed = materialise(
-        shared.join(labels, "node", "left").select(
-            "token", "node", "n", "members", F.coalesce("label", "node").alias("label")
-        ),
+        marked.select("token", "x", F.col("x.node").alias("node"))
+        .join(labels, "node", "left")
+        .select("token", "x", F.coalesce("label", "node").alias("label")),
         "placed",
     )
     largest = (
@@ -481,34 +537,35 @@ def near_duplicates(
         .filter("labels > 1")
         .select("token", "main")
     )
-    largest = materialise(largest, "largest")
-    open_rows = materialise(placed.join(largest, "token"), "open")
+    open_rows = materialise(placed.join(materialise(largest, "largest"), "token"), "open")
     minor = open_rows.filter("label <> main").select(
-        "token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a")
+        "token", F.col("x").alias("y"), F.col("label").alias("label_y")
     )
+    # Two nodes that are both outside of the main component meet once.
+    once = (F.col("label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
     cross = (
         minor.join(open_rows, "token")
-        .filter((F.col("label_a") != F.col("label")) & near("n_a", "n"))
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        .filter((F.col("label_y") != F.col("label")) & once & may_link("x", "y", percent))
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
     )
-    cross = materialise(cross, "cross")
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more_links = linked(cross.join(done, ["a", "b"], "left_anti"), sets, percent, "cross_links")
+    cross = materialise(cross.join(done, ["a", "b"], "left_anti"), "cross")
+    more_links = linked(cross, sets, percent, "cross_links")
     if not more_links.isEmpty():
         labels = components(first_links.unionByName(more_links))
 
-    firsts = labels.join(nodes, "node")
-    whole = firsts.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = labels.join(nodes, "node")
+    whole = named.groupBy("label").agg(F.min("first").alias("component_id"))
     grouped = materialise(
-        nodes.join(firsts.select("node", "label"), "node", "left")
+        nodes.join(named.select("node", "label"), "node", "left")
         .filter("copies > 1 or label is not null")
         .join(whole, "label", "left")
         .select("node", "copies", F.coalesce("component_id", "first").alias("component_id")),
         "grouped",
     )
-    found = join_groups(rows.filter("node is not null"), grouped, "node", "copies", total)
-    alone = rows.filter("node is null").withColumn("component_id", F.col("id"))
+    found = join_groups(rows, grouped, "node", "copies", total)
+    alone = every.filter("id is null or node is null").withColumn("component_id", F.col("id"))
     return found.unionByName(alone, allowMissingColumns=True).select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
