@@ -11,6 +11,7 @@ from trackspark.llm.exact_dedup import exact_groups
 from trackspark.llm.jaccard import near_duplicates
 from trackspark.llm.langid import identify
 from trackspark.llm.line_dedup import drop_frequent_lines
+from trackspark.llm.media import image_copies, rendered
 from trackspark.llm.mixing import mix
 from trackspark.llm.resharding import reshard
 from trackspark.llm.toxicity import score
@@ -33,6 +34,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no pictures, so each vector of ``embeddings`` is drawn as one."""
+    images = rendered(table(spark, sf_dir, "embeddings"))
+    return image_copies(images, id_col="vec_id", image_col="image")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +86,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_language": op3_language,
+    "op4_media": op4_media,
     "op5_toxicity": op5_toxicity,
     "op6_warc": op6_warc,
     "op7_mix": op7_mix,
