@@ -148,6 +148,11 @@ class Trace:
         out = replace(self, df=df, metadata={**self.metadata, **metadata})
         return out._logged(step, self.df.columns, detail, notes)
 
+    def noted(self, *notes: str) -> Trace:
+        """The trace with notes added to its last step."""
+        last = replace(self.log[-1], notes=(*self.log[-1].notes, *notes))
+        return replace(self, log=(*self.log[:-1], last))
+
     def transform(self, fn: Callable[[DataFrame], DataFrame]) -> Trace:
         """Any DataFrame function; metadata and log stay."""
         return replace(self, df=fn(self.df))
