@@ -128,13 +128,14 @@ def test_language_of_held_out_documents(spark, docs):
 
 
 def test_toxicity(spark, docs):
-    real, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    # 182 labels at sf0.01 name too few of the telling words (half of the toxic documents are found).
+    real, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     half = labels.filter("doc_id % 2 = 0")
     found = score(real, half).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
     right = [r["rejected"] == bool(r["toxic"]) for r in found]
     assert sum(right) >= 0.9 * len(right)
     caught = [r["rejected"] for r in found if r["toxic"]]
-    assert sum(caught) >= 0.7 * len(caught)
+    assert sum(caught) >= 0.9 * len(caught)
     marks = spark.createDataFrame([(0, 1, None), (1, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert score(docs, marks).count() == len(awkward())
     assert drop_toxic(docs, marks.limit(0)).count() == len(awkward())
