@@ -16,7 +16,7 @@ from trackspark.llm.common import materialise, only_ids, without_ids
 TRAIN_ROWS = 8_000
 #: A feature counts if it is on one side of a category by so many standard
 #: deviations more than chance has it, and is among so many such per category.
-LEAST_Z, MOST_FEATURES = 5.0, 4_000
+LEAST_Z, MOST_FEATURES = 3.5, 4_000
 #: Bytes of a word's beginning that are features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
@@ -257,7 +257,7 @@ def score(
     docs: DataFrame,
     labels: DataFrame,
     categories: Mapping[str, Column] | None = None,
-    threshold: float = 0.5,
+    threshold: float = 0.3,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
