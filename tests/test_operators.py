@@ -1,5 +1,6 @@
 import itertools
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -121,3 +122,15 @@ def test_labels_and_their_export(spark):
     labels = spark.createDataFrame([("w", 0.0, 2.0, 0), ("d", 2.0, 3.0, 1), ("w", 5.0, 5.0, 2)], "label string, onset_s double, offset_s double, _row long")
     found = t.designate(labels=labels, cols="guess").export_designations().orderBy("unix_start").collect()
     assert [tuple(r)[1:] for r in found] == [("w", 0.0, 1.0), ("d", 2.0, 3.0), (None, 4.0, 4.0), ("w", 5.0, 5.0)]
+
+
+def test_spline_of_a_long_session_takes_linear_memory():
+    k = np.delete(np.arange(20_000.0), slice(9_000, 9_020))
+    tracemalloc.start()
+    try:
+        found = resample.cubic(k, np.sin(k / 50), np.arange(20_000.0))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.allclose(found, np.sin(np.arange(20_000.0) / 50), atol=1e-3)
+    assert most < 1000 * len(k)

@@ -97,23 +97,21 @@ def constant(c: str, keys: Sequence[str], most: int | None) -> Column:
 def cubic(k: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A cubic through all points whose ends follow the cubics of the outer four."""
     n, h, d = len(k), np.diff(k), np.diff(v) / np.diff(k)
-    a = np.zeros((n, n))
-    b = np.zeros(n)
-    for i in range(1, n - 1):
-        a[i, i - 1], a[i, i], a[i, i + 1] = h[i - 1], 2 * (h[i - 1] + h[i]), h[i]
-        b[i] = d[i] - d[i - 1]
+    low, mid, up, b = h.copy(), np.zeros(n), h.copy(), np.zeros(n)
+    mid[1:-1], b[1:-1] = 2 * (h[:-1] + h[1:]), np.diff(d)
     third = lambda i: ((d[i + 2] - d[i + 1]) / (k[i + 3] - k[i + 1]) - (d[i + 1] - d[i]) / (k[i + 2] - k[i])) / (k[i + 3] - k[i])
-    a[0, 0], a[0, 1], b[0] = -h[0], h[0], h[0] ** 2 * third(0)
-    a[-1, -1], a[-1, -2], b[-1] = -h[-1], h[-1], -(h[-1] ** 2) * third(n - 4)
-    s = _tridiagonal(a, b)
+    mid[0], b[0] = -h[0], h[0] ** 2 * third(0)
+    mid[-1], b[-1] = -h[-1], -(h[-1] ** 2) * third(n - 4)
+    s = _tridiagonal(low, mid, up, b)
     i = np.clip(np.searchsorted(k, at, "right") - 1, 0, n - 2)
     x = at - k[i]
     slope = d[i] - h[i] * (s[i + 1] + 2 * s[i])
     return v[i] + x * (slope + x * (3 * s[i] + x * (s[i + 1] - s[i]) / h[i]))
 
 
-def _tridiagonal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low, mid, up, b = np.diag(a, -1), np.diag(a).copy(), np.diag(a, 1), b.copy()
+def _tridiagonal(low: np.ndarray, mid: np.ndarray, up: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solution of the system of three diagonals; memory is linear in its size."""
+    mid, b = mid.copy(), b.copy()
     for i in range(1, len(b)):
         w = low[i - 1] / mid[i - 1]
         mid[i] -= w * up[i - 1]
