@@ -134,3 +134,24 @@ def test_spline_of_a_long_session_takes_linear_memory():
         tracemalloc.stop()
     assert np.allclose(found, np.sin(np.arange(20_000.0) / 50), atol=1e-3)
     assert most < 1000 * len(k)
+
+
+def test_cutoffs_are_swept_over_the_range_of_the_method(spark):
+    t = trace(spark, [("a", i / 10, math.sin(i / 3), 0.0) for i in range(150)])
+    for method, low, high in (("butterworth", 0.1, 4.75), ("ema", 0.01, 0.5), ("sma", 0.01, 0.5), ("savgol", 0.01, 0.5)):
+        curves = t.filtrate_cutoff("x", method)[0].orderBy("cutoff").collect()
+        assert [r["cutoff"] for r in curves] == pytest.approx(list(np.linspace(low, high, 50)))
+        assert all(r["residual"] is not None for r in curves)
+
+
+@pytest.mark.parametrize("name", ["residual_sweep", "cutoff_elbow"])
+def test_the_queries_sweep_as_the_verb_does(spark, name):
+    from trackspark.plans import catalogue
+
+    data = "/root/testdata/sf0.001"
+    curves, _, suggested = catalogue.events(spark, data).filtrate_cutoff("x")
+    found = catalogue.QUERIES[name](spark, data)
+    if name == "residual_sweep":
+        assert found.select("cutoff").distinct().count() == 50
+    else:
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, suggested.collect()))

@@ -408,14 +408,10 @@ def butterworth(spark, sf_dir):
     return _filtered(spark, sf_dir, "butterworth", cutoff=1, n=2)
 
 
-def _sweep(spark, sf_dir) -> DataFrame:
-    cutoffs = [0.1 + 0.2 * i for i in range(20)]
-    return filters.residual_sweep(events(spark, sf_dir).df, KEYS, ["x"], cutoffs, 10.0)
-
-
 @query("residual_sweep")
 def residual_sweep(spark, sf_dir):
-    return rounded(_sweep(spark, sf_dir), residual=6)
+    curves, _, _ = events(spark, sf_dir).filtrate_cutoff("x")
+    return rounded(curves, residual=6)
 
 
 @query("psd")
@@ -425,7 +421,8 @@ def psd(spark, sf_dir):
 
 @query("cutoff_elbow")
 def cutoff_elbow(spark, sf_dir):
-    return filters.elbows(_sweep(spark, sf_dir), KEYS)
+    _, _, suggested = events(spark, sf_dir).filtrate_cutoff("x")
+    return suggested
 
 
 # Kinematics -----------------------------------------------------------------------

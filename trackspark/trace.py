@@ -266,12 +266,18 @@ class Trace:
         return self._after("filtrate", df, {"method": method, "target": target, "rate": rate, **options}, notes)
 
     def filtrate_cutoff(
-        self, target: str | Sequence[str] = "coordinates", method: str = "butterworth", steps: int = 50, low: float = 0.1, high: float | None = None
+        self, target: str | Sequence[str] = "coordinates", method: str = "butterworth", steps: int = 50, low: float | None = None, high: float | None = None
     ) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Residual curves, power spectra and suggested cutoffs of the signals."""
+        """Residual curves, power spectra and suggested cutoffs of the signals.
+
+        The cutoffs go from ``low`` to ``high``: by default 0.1 Hz to 0.95 of the
+        Nyquist rate for Butterworth, and 0.01 to 0.5 for other methods (alpha,
+        or one over the window).
+        """
         rate = self.rate(10)
-        top = high or 0.49 * rate
-        cutoffs = [low + (top - low) * i / (steps - 1) for i in range(steps)]
+        first, last = (0.1, 0.95 * rate / 2) if method == "butterworth" else (0.01, 0.5)
+        first, last = first if low is None else low, last if high is None else high
+        cutoffs = [first + (last - first) * i / (steps - 1) for i in range(steps)]
         columns = filters.targets(self.df, target)
         curves = filters.residual_sweep(self.df, self.keys, columns, cutoffs, rate, method)
         return curves, filters.psd(self.df, self.keys, columns, rate), filters.elbows(curves, self.keys)
