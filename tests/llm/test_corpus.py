@@ -201,6 +201,23 @@ def test_reshard(spark, docs, tmp_path):
     assert by_id(now, "doc_id", "shard") == by_id(plan, "doc_id", "shard")
 
 
+@pytest.mark.parametrize("old, new", [(32, 16), (16, 32)])
+def test_reshard_to_fewer_and_more_shards_loses_and_doubles_no_row(spark, tmp_path, old, new):
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    place = F.when(F.col("doc_id") % 7 != 0, F.pmod(F.xxhash64("doc_id"), F.lit(old)))
+    plan = reshard(real, new, old_shard=place).cache()
+    assert by_id(plan, "doc_id") == by_id(real, "doc_id")
+    assert by_id(plan, "doc_id", "old_shard") == by_id(real.withColumn("old_shard", place), "doc_id", "old_shard")
+    sums = [r["bytes"] for r in plan.groupBy("shard").agg(F.sum("size").alias("bytes")).collect()]
+    largest = plan.agg(F.max("size")).first()[0]
+    assert len(sums) == new and all(abs(x - sum(sums) / new) <= largest for x in sums)
+    path = str(tmp_path / "shards")
+    real.withColumn("shard", place.cast("int")).write.partitionBy("shard").parquet(path)
+    rewrite_affected(real, plan, path)
+    now = spark.read.parquet(path)
+    assert by_id(now, "doc_id", "text", "shard") == by_id(real.join(plan.select("doc_id", "shard"), "doc_id"), "doc_id", "text", "shard")
+
+
 def test_transfers_move_the_fewest_bytes():
     sizes, room = [7, 1, 4, 0], [3, 3, 3, 3]
     flow = min_cost_transfers(sizes, room)
