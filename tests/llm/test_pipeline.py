@@ -1,6 +1,16 @@
 """The pipeline's stages, each against a brute-force version on its own input."""
 
+import os
+import sys
+from collections import Counter
+
 import corpus_pipeline as pipeline
+from trackspark.llm.mixing import mix
+from trackspark.llm.toxicity import score
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from test_corpus import brute_components, squeezed  # noqa: E402
 
 
 def test_stages(spark):
@@ -18,3 +28,37 @@ def test_stages(spark):
         seen = spark.createDataFrame(out.collect(), docs.schema)
     rows = pipeline.STAGES[-1][1](spark, seen, data).collect()
     assert len(rows) == seen.count() and all(r["n_tokens"] >= 0 for r in rows)
+
+
+def test_stages_keep_what_brute_force_keeps(spark):
+    data = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    stages = dict(pipeline.STAGES)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+
+    def kept(name, seen):
+        rows = stages[name](spark, seen, data).collect()
+        assert all(r["text"] == texts[r["doc_id"]] for r in rows), name
+        return rows
+
+    labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    # The classifier has no brute-force version: its verdicts, and the labels.
+    judged = {r["doc_id"]: r["rejected"] for r in score(docs, spark.read.parquet(f"{data}/labels.parquet")).collect()}
+    ids = [r["doc_id"] for r in kept("toxicity", docs)]
+    assert sorted(ids) == sorted(i for i in texts if not judged[i])
+    clean = [i for i in texts if labels.get(i) == (1, 0)]
+    assert clean and len(set(clean) & set(ids)) >= 0.95 * len(clean)
+
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(squeezed(texts[i]), i)
+    assert sorted(r["doc_id"] for r in kept("exact_dedup", docs)) == sorted(first.values())
+
+    want = brute_components(list(texts.items()), 5, 80)
+    assert sorted(r["doc_id"] for r in kept("ngram_join", docs)) == sorted(i for i, (_, c) in want.items() if c == i)
+
+    copies = Counter(r["doc_id"] for r in kept("mix_sources", docs))
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mix(docs).collect()}
+    assert max(copies.values()) <= 2
+    # A document that is taken in part comes whole.
+    assert all(copies[i] == -(-got // size) if size else i not in copies for i, (got, size) in taken.items())
