@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -25,10 +26,13 @@ _scratch: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where a session names none (a local run, as in tests) one is made for it.
+    Where a local session names none (as in tests) one is made for it; on a
+    cluster a folder of one machine is of no use, so there it must be named.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='trackspark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -15,11 +15,13 @@ from trackspark.llm.common import materialise, only_ids, without_ids
 #: Labelled documents that the classifiers are fitted on, at most.
 TRAIN_ROWS = 8_000
 #: A feature counts if it is on one side of a category by so many standard
-#: deviations more than chance has it, and is among so many such per category.
-LEAST_Z, MOST_FEATURES = 3.5, 4_000
+#: deviations more than chance has it.
+LEAST_Z = 3.5
 #: Bytes of a word's beginning that are features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
+#: Texts whose features are worked out and passed on together.
+EXTRACT_ROWS = 256
 STEPS = 150
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -151,24 +153,26 @@ class Chain:
         return [float(_sigmoid(z)) for z in odds]
 
 
-def telling(lists: list[np.ndarray], targets: Mapping[str, np.ndarray]) -> np.ndarray:
-    """The features that tell one side of some category from the other."""
-    if not lists:
-        return np.zeros(0, np.uint64)
-    every, at = np.unique(np.concatenate(lists), return_inverse=True)
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    keep = np.zeros(len(every), bool)
-    for y in targets.values():
-        has = ~np.isnan(y)
-        rate = y[has].mean() if has.any() else 0.0
-        if 0 < rate < 1:
-            docs = np.bincount(at, has[owner], len(every))
-            ones = np.bincount(at, np.nan_to_num(y)[owner], len(every))
-            spread = np.sqrt(np.maximum(docs, 1) * rate * (1 - rate) + 1)
-            z = np.abs(ones - docs * rate) / spread
-            best = np.lexsort((every, -z))[:MOST_FEATURES]
-            keep[best[z[best] >= LEAST_Z]] = True
-    return every[keep]
+def telling(found: DataFrame, names: Sequence[str]) -> DataFrame:
+    """feature: those of ``found`` (features, a label per name) that tell a category's sides apart.
+
+    Documents and labels are counted per feature by Spark, before and after a
+    shuffle by feature. A feature of one document never passes, so what passes
+    is a small part of the features.
+    """
+    whole = found.agg(*[f(n).alias(f"{n}_{f.__name__}") for n in names for f in (F.count, F.sum)]).first()  # one row
+    each = found.select(F.explode("features").alias("feature"), *names).groupBy("feature").agg(
+        *[F.count(n).alias(f"{n}_docs") for n in names], *[F.sum(n).alias(f"{n}_ones") for n in names]
+    )
+    tells = F.lit(False)
+    for n in names:
+        docs, ones = whole[f"{n}_count"], whole[f"{n}_sum"]
+        if docs and 0 < ones < docs:
+            rate = ones / docs
+            seen = F.col(f"{n}_docs")
+            spread = F.sqrt(seen * rate * (1 - rate) + 1)
+            tells |= F.abs(F.coalesce(f"{n}_ones", F.lit(0.0)) - seen * rate) / spread >= LEAST_Z
+    return each.filter(tells).select("feature")
 
 
 def _places(known: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -180,15 +184,15 @@ def _places(known: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(
-    lists: list[np.ndarray], targets: Mapping[str, np.ndarray], folds: np.ndarray
+    known: np.ndarray, lists: list[np.ndarray], targets: Mapping[str, np.ndarray], folds: np.ndarray
 ) -> Chain:
     """The chain of the categories of ``targets`` (0, 1 or NaN for no label).
 
-    A model's training rows get the earlier categories' probabilities from
-    models that have not seen the row: those fitted on the other folds.
+    ``lists`` has each training document's places in ``known``. A model's
+    training rows get the earlier categories' probabilities from models that
+    have not seen the row: those fitted on the other folds.
     """
-    known = telling(lists, targets)
-    rows = Rows([_places(known, x) for x in lists], len(known))
+    rows = Rows(lists, len(known))
     earlier = np.zeros((len(rows), 0))
     models = []
     for k, y in enumerate(targets.values()):
@@ -217,7 +221,10 @@ def train(
 
     ``categories`` gives, in the chain's order, each category's 0/1 column of
     ``labels``. The sample is the ``train_rows`` labelled ids that come first by
-    a hash, so it is the same on every run; only its features reach the driver.
+    a hash, so it is the same on every run. Its features stay on the executors,
+    where those that tell something are chosen; the driver gets these and, for
+    each document, the numbers of those that it has. Of several texts of one id
+    one is used, the same on every run.
     """
     names = list(categories)
     marked = (
@@ -228,24 +235,40 @@ def train(
     )
     sample = materialise(marked.orderBy(F.xxhash64("id"), "id").limit(train_rows), "labelled")
     texts = only_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sample.select("id"), "id")
+    kind = texts.schema["id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [features(t.as_py() or "").tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["id", "features"])
+            for start in range(0, batch.num_rows, EXTRACT_ROWS):
+                part = batch.slice(start, EXTRACT_ROWS)
+                own = [features(t.as_py() or "").view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["id", "features"])
 
-    kind = texts.schema["id"].dataType.simpleString()
-    found = (
-        texts.mapInArrow(extract, f"id {kind}, features binary")
+    found = materialise(
+        texts.mapInArrow(extract, f"id {kind}, features array<long>").join(F.broadcast(sample), "id"), "features"
+    )
+    told = telling(found, names).toArrow()
+    known = np.sort(told.column("feature").to_numpy().view(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [_places(shared.value, np.sort(x.values.to_numpy().view(np.uint64))) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["id", "places"])
+
+    placed = found.select("id", "features").mapInArrow(place, f"id {kind}, places array<long>")
+    fitted = (
+        placed.groupBy("id")
+        .agg(F.min("places").alias("places"))
         .join(F.broadcast(sample), "id")
         .withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int"))
-        .orderBy("id", "features")
+        .orderBy("id")
         .limit(train_rows)
         .toArrow()
     )
-    lists = [np.frombuffer(x.as_buffer(), np.uint64) for x in found.column("features")]
-    targets = {n: np.array(found.column(n).to_pylist(), float) for n in names}
-    return fit_chain(lists, targets, found.column("fold").to_numpy())
+    lists = [x.values.to_numpy() for x in fitted.column("places")]
+    targets = {n: np.array(fitted.column(n).to_pylist(), float) for n in names}
+    return fit_chain(known, lists, targets, fitted.column("fold").to_numpy())
 
 
 def default_categories() -> dict[str, Column]:
