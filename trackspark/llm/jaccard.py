@@ -18,13 +18,19 @@ COMMON_DOCS = 16
 #: Common tokens that every task may know: 8 MB.
 COMMON_TOKENS = 1_000_000
 #: Bits (as a power of two) that tell tokens of one document from others: 32 MB.
+#: Beyond some hundred million tokens they fill up; then nearly all prefix tokens
+#: are posted, which is about a tenth of a set (at 90 percent) and no more.
 BITMAP_BITS = 28
 #: Seeds of the further orders, under which candidates must meet again.
 ORDERS = (0x51ED27, 0xC2B2AE)
+#: Columns of a set's prefixes under them.
+PREFIXES = tuple(f"order{k}" for k in range(len(ORDERS)))
 #: 64-bit words of a set's sketch.
 SKETCH = tuple(f"s{k}" for k in range(4))
-#: Pivots of a token's bucket.
-PIVOTS = 4
+#: Pivots of a token's bucket, and rounds of pairing nodes with pivots.
+PIVOTS, ROUNDS = 4, 3
+#: Bytes of cells that a task counts together.
+COUNT_BYTES = 48 << 20
 
 _MUL1, _MUL2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -231,6 +237,25 @@ def frequencies(parts: DataFrame, percent: int, shards: int) -> Frequencies:
     document count where it fits) changes the speed and not the result.
     """
     unit = 1 << (BITMAP_BITS - 3)  # bytes of the bitmap
+    held = parts.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0]
+    pieces = max(1, -(-held // (shards * COUNT_BYTES)))
+    shards = shards * pieces
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each shard's cells in ``pieces``, so that no group outgrows a task."""
+        for batch in batches:
+            which, packed = [], []
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                cells = _unpacked(x.as_py())
+                cuts = np.searchsorted(cells, [((k * pieces + i) << 40) // shards for i in range(pieces + 1)])
+                for i in range(pieces):
+                    if cuts[i + 1] > cuts[i]:
+                        which.append(k * pieces + i)
+                        packed.append(_packed(cells[cuts[i] : cuts[i + 1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(packed, pa.binary())], names=["shard", "cells"])
+
+    if pieces > 1:
+        parts = parts.mapInArrow(cut, "shard int, cells binary")
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
         k = key[0].as_py()
@@ -311,32 +336,38 @@ def candidate_sets(docs: DataFrame, known, width: int, percent: int) -> DataFram
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, bits, firsts = [], [], [], [[] for _ in ORDERS]
-            sketches = []
+            nodes, sizes, bits, sketches = [], [], [], []
+            prefixes: list[list] = [[] for _ in PREFIXES]
             for own in shingle_sets(batch.column(1), width):
                 nodes.append(int(mixed(own).sum(dtype=np.uint64).view(np.int64)))
                 sizes.append(len(own))
                 bits.append(own.tobytes())
                 sketches.append(_sketch(own))
                 for k, seed in enumerate(ORDERS):
-                    firsts[k].append(_prefix(own, known.value, seed, percent)[0].astype(np.uint32).view(np.int32))
+                    prefixes[k].append(_prefix(own, known.value, seed, percent)[0].astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int32()),
                     *[pa.array([x[k] for x in sketches], pa.int64()) for k in range(len(SKETCH))],
-                    *[pa.array(f, pa.list_(pa.int32())) for f in firsts],
+                    *[pa.array(f, pa.list_(pa.int32())) for f in prefixes],
                     pa.array(bits, pa.binary()),
                 ],
-                names=["node", "n", *SKETCH, *columns, "tokens"],
+                names=["node", "n", *SKETCH, *PREFIXES, "tokens"],
             )
 
-    columns = [f"order{k}" for k in range(len(ORDERS))]
     words = "".join(f"{c} long, " for c in SKETCH)
-    arrays = "".join(f"{c} array<int>, " for c in columns)
+    arrays = "".join(f"{c} array<int>, " for c in PREFIXES)
     return docs.mapInArrow(sets, f"node long, n int, {words}{arrays}tokens binary")
 
 
+def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sets (sorted tokens) link."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    both = int((x[at] == y).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _distance(a: str, b: str) -> Column:
     """Cells in which the sketches of two structs differ."""
     words = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH]
@@ -368,16 +399,15 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFr
     First the pair must share a prefix token under each further order; only
     then do the two whole sets meet and are counted.
     """
-    orders = [f"order{k}" for k in range(len(ORDERS))]
-
     def side(end: str, columns: list[str]) -> DataFrame:
         return sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
 
-    meet = [F.arrays_overlap(f"{o}_a", f"{o}_b") for o in orders]
+    meet = [F.arrays_overlap(f"{o}_a", f"{o}_b") for o in PREFIXES]
     every = meet[0]
     for m in meet[1:]:
         every = every & m
-    left = pairs.join(side("a", orders), "a").join(side("b", orders), "b").filter(every)
+    prefixes = list(PREFIXES)
+    left = pairs.join(side("a", prefixes), "a").join(side("b", prefixes), "b").filter(every)
     left = materialise(left.select("a", "b"), f"{name}_candidates")
     whole = left.join(side("a", ["tokens"]), "a").join(side("b", ["tokens"]), "b")
 
@@ -386,9 +416,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFr
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
                 x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (x, y))
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(_links(x, y, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     found = whole.select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long")
@@ -431,6 +459,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def nearest_pivots(placed: DataFrame, likely: Column, turn: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of each node with the nearest pivot that it may link with.
+
+    ``placed`` has token, x (node, n, at, sketch) and label; pivots are the
+    members of a token's bucket that are first by ``likely``, one of each of
+    PIVOTS parts of it. Nodes with one label are not paired. A bucket's members
+    meet its few pivots; one of very many members meets them by a broadcast.
+    """
+    part = F.pmod(F.xxhash64(F.lit(turn), F.lit("part"), "x.node"), F.lit(PIVOTS))
+    pivots = (
+        placed.groupBy("token", part.alias("part"))
+        .agg(
+            F.max_by(F.struct("x", "label"), F.struct(likely, F.col("x.node"))).alias("y"),
+            F.count("*").alias("size"),
+            F.min("label").alias("low"),
+            F.max("label").alias("high"),
+        )
+        .groupBy("token")
+        .agg(
+            F.collect_list("y").alias("pivots"),  # PIVOTS at most
+            F.sum("size").alias("members"),
+            F.min("low").alias("low"),
+            F.max("high").alias("high"),
+        )
+        .filter("low <> high")
+        .select("token", "members", "pivots")
+    )
+    pivots = materialise(pivots, "pivots")
+    met = join_groups(placed.select("token", "x", "label"), pivots, "token", "members", placed.count(), "inner")
+    return (
+        met.select("x", "label", F.explode("pivots").alias("p"))
+        .select("x", "label", F.col("p.x").alias("y"), F.col("p.label").alias("label_y"))
+        .filter((F.col("label") != F.col("label_y")) & may_link("x", "y", percent))
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _distance("x", "y").alias("away"))
+        .groupBy("a")
+        .agg(F.min(F.struct("away", "b")).alias("nearest"))
+        .select("a", F.col("nearest.b").alias("b"))
+    )
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -446,15 +514,19 @@ def near_duplicates(
     2. Under an order (rare tokens first, then by a hash) two sets that link
        share a token of their prefixes. A second reading posts the prefixes
        under the first order, but for tokens that are in one document only.
-    3. Of each token's nodes a few are pivots: those whose tokens are the most
-       frequent, so the middle of a group of near copies. Each node is paired
-       with one pivot, the nearest by sketch. A pair must also share prefix
-       tokens under two more orders; what is left is verified on whole sets.
+    3. In rounds, a few of each token's nodes are pivots: first those whose
+       tokens are the most frequent, so the middle of a group of near copies,
+       then others by hash. Each node is paired with one pivot, the nearest by
+       sketch of those outside its component so far. A pair must also share
+       prefix tokens under two more orders; what is left is verified on whole
+       sets. A round has one pair a node at most, and the rounds find nearly all
+       components, so that few nodes are left for the last step.
     4. In each token's bucket, nodes in the most frequent component so far need
        nothing more from each other. The others meet the nodes of other
-       components; only pairs whose sketches don't rule a link out are given,
-       and they are filtered and verified likewise. No pair of different
-       components is left out, so the components are complete.
+       components; only pairs whose sketches don't rule a link out are given.
+       They are filtered and verified likewise. No pair of different components is left out, so
+       the components are complete. Pairs that are near but do not link are the
+       only ones whose number can grow faster than the nodes.
 
     Edge cases: a text without words, or null, has no shingles and links with
     nothing; one of fewer than ``width`` words has one; rows that repeat an id
@@ -502,33 +574,24 @@ def near_duplicates(
     marked = materialise(
         shared.withColumn("middle", middle)
         .join(sets.select("node", *SKETCH), "node")
-        .select("token", "members", "middle", member.alias("x")),
+        .select("token", "middle", member.alias("x")),
         "marked",
     )
-    pivots = materialise(
-        marked.groupBy("token", F.pmod("x.node", F.lit(PIVOTS)).alias("salt"))
-        .agg(F.max_by("x", F.struct("middle", "x.node")).alias("y"), F.max("members").alias("members"))
-        .select("token", "members", "y"),
-        "pivots",
-    )
-    star = (
-        join_groups(marked.select("token", "x"), pivots, "token", "members", marked.count(), "inner")
-        .filter((F.col("x.node") != F.col("y.node")) & may_link("x", "y", percent))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), _distance("x", "y").alias("away"))
-        .groupBy("a")
-        .agg(F.min(F.struct("away", "b")).alias("nearest"))
-        .select("a", F.col("nearest.b").alias("b"))
-    )
-    star = materialise(star, "star")
-    first_links = linked(star, sets, percent, "star_links")
-    labels = components(first_links)
-
-    placed = materialise(
-        marked.select("token", "x", F.col("x.node").alias("node"))
-        .join(labels, "node", "left")
-        .select("token", "x", F.coalesce("label", "node").alias("label")),
-        "placed",
-    )
+    placed = marked.withColumn("label", F.col("x.node"))
+    links, labels = None, None
+    for turn in range(ROUNDS):
+        likely = F.col("middle") if turn == 0 else F.xxhash64(F.lit(turn), "x.node")
+        star = nearest_pivots(placed, likely, turn, percent)
+        found = linked(materialise(star, "star"), sets, percent, "star_links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        placed = materialise(
+            marked.withColumn("node", F.col("x.node"))
+            .join(labels, "node", "left")
+            .withColumn("label", F.coalesce("label", "node"))
+            .select("token", "middle", "x", "label"),
+            "placed",
+        )
     largest = (
         placed.groupBy("token", "label")
         .agg(F.count("*").alias("size"))
@@ -549,11 +612,9 @@ def near_duplicates(
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
     )
-    done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = materialise(cross.join(done, ["a", "b"], "left_anti"), "cross")
-    more_links = linked(cross, sets, percent, "cross_links")
+    more_links = linked(materialise(cross, "cross"), sets, percent, "cross_links")
     if not more_links.isEmpty():
-        labels = components(first_links.unionByName(more_links))
+        labels = components(links.unionByName(more_links))
 
     named = labels.join(nodes, "node")
     whole = named.groupBy("label").agg(F.min("first").alias("component_id"))
