@@ -108,9 +108,9 @@ def language_profiles(train: DataFrame, size: int) -> DataFrame:
     return (
         counts.groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
-        .withColumn("rank", F.row_number().over(order) - 1)
-        .filter(F.col("rank") < size)
-        .select("lang", "rank", "gram")
+        .withColumn("place", F.row_number().over(order))
+        .filter(F.col("place") <= size)  # so: Spark cuts each language's rows before it shuffles them
+        .select("lang", (F.col("place") - 1).alias("rank"), "gram")
     )
 
 
