@@ -15,6 +15,8 @@ from tokenizers import Tokenizer
 
 #: Distinct words whose encodings a Python worker keeps between batches.
 KEEP_WORDS = 400_000
+#: Pairs of tokens of which a worker keeps whether one may follow the other.
+KEEP_PAIRS = 1_000_000
 #: Rows of one Arrow batch, so that a batch of long texts fits in memory.
 BATCH_ROWS = 256
 
@@ -56,6 +58,9 @@ class WordEncoder:
         self.text = {i: s for s, i in self.vocab.items()}
         self.special: dict[str, int] = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.text |= {i: s for s, i in self.special.items()}
+        # The leftmost special token, and of several the longest; none if there is none.
+        longest = sorted(self.special, key=len, reverse=True)
+        self.specials = re.compile(f"({'|'.join(map(re.escape, longest)) or '(?!)'})")
         merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         #: By pair of tokens: rank and merged token.
         self.merges = {
@@ -106,6 +111,8 @@ class WordEncoder:
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """The token ids of each distinct word, of byte-level symbols."""
         found: dict[str, list[int]] = {}
+        if len(self.fits) > KEEP_PAIRS:
+            self.fits.clear()
         last: list[int] = [-1]  # by length of the prefix: last token of its encoding
         width: list[int] = [0]  # and how many symbols that token has
         before = ""
@@ -149,6 +156,7 @@ class WordEncoder:
                         return token, size
         return vocab[word[at - 1] + suffix], 1
 
+
 @lru_cache(maxsize=2)
 def _tools(path: str) -> tuple[Tokenizer, WordEncoder, dict]:
     return Tokenizer.from_file(path), WordEncoder(path), {}
@@ -160,14 +168,17 @@ def _words(text: str, tokenizer: Tokenizer, encoder: WordEncoder) -> list[str]:
     Words of plain characters are as they stand in the text; others come from
     the library, in byte-level symbols, marked by a leading NUL.
     """
-    if any(s in text for s in encoder.special):
-        at, name = min((i, s) for s in encoder.special if (i := text.find(s)) >= 0)
-        rest = _words(text[at + len(name) :], tokenizer, encoder)
-        return [*_words(text[:at], tokenizer, encoder), name, *rest]
-    if encoder.plain and _PLAIN.fullmatch(text):
-        return _PLAIN_WORDS.findall(text.lower())
-    cut = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(text))
-    return ["\0" + w for w, _ in cut]
+    found: list[str] = []
+    # With one group in the pattern, every other part is a special token.
+    for k, part in enumerate(encoder.specials.split(text)):
+        if k % 2:
+            found.append(part)
+        elif encoder.plain and _PLAIN.fullmatch(part):
+            found += _PLAIN_WORDS.findall(part.lower())
+        elif part:
+            cut = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(part))
+            found += ["\0" + w for w, _ in cut]
+    return found
 
 
 def encode_batch(texts: list[str], path: str) -> tuple[list[bytes], list[str]]:
