@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.llm.common import materialise
+from trackspark.llm.common import broadcast_if_small, join_groups, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
@@ -91,11 +91,29 @@ def frequent_lines(
     return materialise(found, "frequent_lines")
 
 
-def _drop_flags(docs: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``__drop``: for each line, whether its key is frequent."""
-    if frequent.count() <= LOOKUP_KEYS:
-        return _flags_by_lookup(docs, frequent, text_col)
-    return _flags_by_join(docs, frequent, text_col)
+def _drop_flags(
+    docs: DataFrame, frequent: DataFrame, id_col: str, text_col: str, keep_first: bool
+) -> DataFrame:
+    """``docs`` with ``__drop``: for each line, whether its key is frequent.
+
+    With ``keep_first``, but for the line where the key is met first.
+    """
+    by_lookup = frequent.count() <= LOOKUP_KEYS
+    found = _flags_by_lookup(docs, frequent, text_col) if by_lookup else _flags_by_join(docs, frequent, id_col, text_col)
+    if not keep_first:
+        return found
+    firsts = (
+        frequent.select(F.col("first.id").alias("__first"), F.col("first.pos").alias("pos"))
+        .groupBy("__first")
+        .agg(F.collect_set("pos").alias("__stay"))  # a document's lines at most
+    )
+    firsts = broadcast_if_small(materialise(firsts, "first_lines"))
+    stays = lambda d, i: d & ~F.coalesce(F.array_contains(F.col("__stay"), i), F.lit(False))
+    return (
+        found.join(firsts, F.col(id_col).eqNullSafe(F.col("__first")), "left")
+        .withColumn("__drop", F.transform("__drop", stays))
+        .drop("__first", "__stay")
+    )
 
 
 def _flags_by_lookup(docs: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
@@ -127,35 +145,33 @@ def _flags_by_lookup(docs: DataFrame, frequent: DataFrame, text_col: str) -> Dat
     )
 
 
-def _flags_by_join(docs: DataFrame, frequent: DataFrame, text_col: str) -> DataFrame:
-    """Keys meet the long list by a shuffle; flags come back by the row's own key.
+def _flags_by_join(docs: DataFrame, frequent: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Keys meet the long list by a shuffle, hot ones by a broadcast; flags come back by row.
 
-    The row's key is a digest of its whole contents, so equal rows, which have
-    equal flags, share one and nulls do no harm.
+    Only hashes and places are shuffled for that. A row is known by its id and
+    two hashes of its text: rows alike in these have equal flags. Rows meet
+    their flags by a broadcast if few rows have any, and are shuffled otherwise.
     """
-    own = F.sha2(F.to_json(F.struct(*[F.col(c) for c in docs.columns]), {"ignoreNullFields": "false"}), 256)
-    keyed = docs.withColumn("__row", own)
-    lines = (
-        keyed.select("__row", F.posexplode(_keys(_lines(F.col(text_col)))).alias("pos", "key"))
-        .filter("key is not null")
-        .select("__row", "pos", "key.h", "key.g")
+    row = F.struct(
+        F.xxhash64(F.to_json(F.struct(id_col))).alias("i"), F.xxhash64(text_col).alias("a"), F.hash(text_col).alias("b")
     )
+    keyed = docs.withColumn("__row", row)
+    lines = materialise(
+        keyed.select("__row", F.posexplode(_keys(_lines(F.col(text_col)))).alias("pos", "key")).filter("key is not null"),
+        "line_places",
+    )
+    known = frequent.select(F.struct("h", "g").alias("key"), "n_docs")
     hits = (
-        lines.join(frequent.select("h", "g"), ["h", "g"], "left_semi")
+        join_groups(lines, known, "key", "n_docs", lines.count(), "inner")
         .groupBy("__row")
-        .agg(F.collect_set("pos").alias("__hits"))
+        .agg(F.collect_set("pos").alias("__hits"))  # a document's lines at most
     )
-    return (
-        keyed.join(hits, "__row", "left")
-        .withColumn("__hits", F.coalesce("__hits", F.array().cast("array<int>")))
-        .withColumn(
-            "__drop",
-            F.transform(
-                _lines(F.col(text_col)), lambda _, i: F.array_contains(F.col("__hits"), i)
-            ),
-        )
-        .drop("__hits", "__row")
+    hits = broadcast_if_small(materialise(hits, "line_hits"))
+    drop = F.transform(
+        _lines(F.col(text_col)),
+        lambda _, i: F.coalesce(F.array_contains(F.col("__hits"), i), F.lit(False)),
     )
+    return keyed.join(hits, "__row", "left").withColumn("__drop", drop).drop("__hits", "__row")
 
 
 def _bitmap(drop: Column) -> Column:
@@ -172,14 +188,38 @@ def _bitmap(drop: Column) -> Column:
     return F.map_from_entries(F.transform(cut, lambda x: F.struct(x["word"], x["keep"])))
 
 
+def with_bitmaps(
+    docs: DataFrame,
+    min_docs: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep_first: bool = False,
+) -> DataFrame:
+    """``docs`` with n_lines, n_dropped and keep_bits as in :func:`line_bitmaps`."""
+    frequent = frequent_lines(docs, min_docs, id_col, text_col)
+    return _drop_flags(docs, frequent, id_col, text_col, keep_first).withColumns(
+        {
+            "n_lines": F.size("__drop").cast("long"),
+            "n_dropped": F.size(F.filter("__drop", lambda d: d)).cast("long"),
+            "keep_bits": _bitmap(F.col("__drop")),
+        }
+    ).drop("__drop")
+
+
 def line_bitmaps(
-    docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    min_docs: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep_first: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, n_lines, n_dropped, keep_bits.
 
     A line's key is the line without ASCII white space at its ends and with A-Z
     in lower case. Keys of at least one character that are found in ``min_docs``
-    documents or more lose all their lines. ``keep_bits`` maps a word's number
+    documents or more lose all their lines; with ``keep_first`` all but the
+    first one, by document id and position (ids must be unique then).
+    ``keep_bits`` maps a word's number
     to its 64 keep bits (bit i of word w is line 64 w + i); words without a
     dropped line are not in it, so a document that loses nothing has an empty
     map. No text leaves the documents' own partitions.
@@ -189,36 +229,38 @@ def line_bitmaps(
     result; other columns, whatever their names, are ignored.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    flagged = _drop_flags(own, frequent_lines(own, min_docs, "id", "text"), "text")
-    return flagged.select(
-        F.col("id").alias(id_col),
-        F.size("__drop").cast("long").alias("n_lines"),
-        F.size(F.filter("__drop", lambda d: d)).cast("long").alias("n_dropped"),
-        _bitmap(F.col("__drop")).alias("keep_bits"),
-    )
+    found = with_bitmaps(own, min_docs, "id", "text", keep_first)
+    return found.select(F.col("id").alias(id_col), "n_lines", "n_dropped", "keep_bits")
 
 
 def apply_bitmap(text: Column, keep_bits: Column) -> Column:
     """The lines of a text that its bitmap keeps, joined by newlines."""
 
     def keeps(_, i: Column) -> Column:
-        word = F.get(F.map_values(F.map_filter(keep_bits, lambda w, _: w == F.floor(i / 64))), F.lit(0))
+        word = F.element_at(keep_bits, F.floor(i / 64).cast("int"))
         return F.coalesce(F.call_function("getbit", word, i % 64), F.lit(1)) == 1
 
-    return F.array_join(F.filter(_lines(text), keeps), "\n")
+    kept = F.array_join(F.filter(_lines(text), keeps), "\n")
+    return F.when(F.size(keep_bits) == 0, F.coalesce(text, F.lit(""))).otherwise(kept)
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = 10, text_col: str = "text") -> DataFrame:
+def drop_frequent_lines(
+    docs: DataFrame, min_docs: int = 10, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``docs`` with the lines of frequent keys cut from the texts, and counts.
 
-    Adds n_lines and n_dropped; edge cases as in :func:`line_bitmaps`.
+    The texts are what :func:`apply_bitmap` leaves of them. Adds n_lines and
+    n_dropped; edge cases as in :func:`line_bitmaps`.
     """
-    flagged = _drop_flags(docs, frequent_lines(docs.select(F.lit(0).alias("id"), F.col(text_col).alias("text")), min_docs, "id", "text"), text_col)
-    kept = F.array_join(
-        F.filter(_lines(F.col(text_col)), lambda _, i: ~F.get(F.col("__drop"), i)), "\n"
+    own = docs.select(
+        F.col(id_col).alias("__id"),
+        F.col(text_col).alias("__text"),
+        F.struct(*[F.col(c) for c in docs.columns]).alias("__all"),
     )
-    return flagged.select(
-        *[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.size("__drop").cast("long").alias("n_lines"),
-        F.size(F.filter("__drop", lambda d: d)).cast("long").alias("n_dropped"),
+    found = with_bitmaps(own, min_docs, "__id", "__text")
+    kept = apply_bitmap(F.col("__text"), F.col("keep_bits"))
+    return found.select(
+        *[(kept if c == text_col else F.col("__all").getField(c)).alias(c) for c in docs.columns],
+        "n_lines",
+        "n_dropped",
     )
