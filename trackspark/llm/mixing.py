@@ -121,7 +121,10 @@ def mix(
     takes its quota of blocks from the start, going round again when the quota
     is above its size. So ``taken`` is a document's size times the full rounds,
     plus what the last round covers of it: at most one document of a shard is
-    taken in part, none more than ``most`` (2) times, and a rerun agrees.
+    taken in part, none more than ``most`` (2) times (for a ``most`` that is no
+    whole number: the next whole number), and a rerun agrees. Sources are ranked
+    and their quotients ordered in one task, which is one row per source: names
+    of sources are taken to be few (some hundred thousand rows are no burden).
 
     Edge cases: a null text has no words; a null source is a source, last by
     rank; rows that repeat an id are documents of their own; sources without
