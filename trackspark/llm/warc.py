@@ -15,19 +15,29 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.llm.common import join_groups, materialise, shared_dir
+from trackspark.llm.common import (
+    HEAVY_GROUPS,
+    broadcast_if_small,
+    join_groups,
+    materialise,
+    shared_dir,
+)
 
 CRLF = "\r\n"
 #: Payload bytes from which on equal payloads are stored as revisits.
 REVISIT_BYTES = 100
-#: Records of one archive file.
-FILE_RECORDS = 4_000
+#: Records of one archive file, and bytes of its payloads, at most.
+FILE_RECORDS, FILE_BYTES = 4_000, 256 << 20
+#: Payload bytes from which on records go to files of their own kind, of fewer records.
+LARGE_BYTES = FILE_BYTES // FILE_RECORDS
 #: Bytes of decompressed archive that a reader asks for at a time.
 CHUNK = 1 << 20
 
 
 def _uri(record_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(record_id.cast("string"), F.lit("none")), F.lit(">"))
+    """An id as a URI: nothing after the colon for no id, and "=" before any other."""
+    name = F.concat(F.lit("="), F.url_encode(record_id.cast("string")))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(name, F.lit("")), F.lit(">"))
 
 
 def classify(
@@ -37,7 +47,10 @@ def classify(
 
     Of the pages with equal payloads of ``REVISIT_BYTES`` bytes or more, the one
     with the smallest id is the response and the others revisit it. Only digests
-    and ids are grouped; the heaviest groups meet their rows by a broadcast.
+    and ids are grouped and shuffled; the heaviest groups meet their rows by a
+    broadcast. The revisits' ids meet the pages by a broadcast too, so payloads
+    stay where they are, unless there are very many revisits. Rows that repeat
+    an id are told apart by their digests.
     """
     own = pages.select(
         F.col(id_col).alias("id"),
@@ -59,16 +72,24 @@ def classify(
         .filter("n > 1"),
         "warc_groups",
     )
-    met = join_groups(keyed, groups, "digest", "n", heads.count())
-    revisit = F.coalesce(F.col("id") != F.col("first_id"), F.col("first_id").isNotNull())
+    revisits = (
+        join_groups(heads, groups, "digest", "n", heads.count(), "inner")
+        .filter("first_id is not null and not (id <=> first_id)")
+        .select(F.col("id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("first_id").alias("refers_to"))
+        .distinct()
+    )
+    revisits = broadcast_if_small(materialise(revisits, "warc_revisits"))
+    met = keyed.join(
+        revisits, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left"
+    )
     return met.select(
         "id",
         "url",
         "payload",
         "payload_bytes",
         "digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first_id")).alias("refers_to"),
+        F.when(F.col("r_digest").isNotNull(), "revisit").otherwise("response").alias("record_type"),
+        "refers_to",
     )
 
 
@@ -95,16 +116,26 @@ def header(record: DataFrame, date: str) -> Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF))  # concat_ws skips nulls
 
 
-def write_warc(records: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Write classified pages as gzip-compressed WARC 1.1 files."""
+def write_warc(records: DataFrame, path: str, most_bytes: int, date: str = "2024-01-01T00:00:00Z") -> None:
+    """Write classified pages as gzip-compressed WARC 1.1 files.
+
+    A reader takes a file as one value, so its payloads are bounded: small ones
+    (below LARGE_BYTES) are FILE_RECORDS to a file, large ones, below
+    ``path/large``, as many as fit in FILE_BYTES if all have ``most_bytes``.
+    """
+    is_large = F.col("payload_bytes") >= LARGE_BYTES
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(""))
-    (
-        records.select(F.concat(header(records, date), body).alias("value"))
-        .write.option("lineSep", CRLF + CRLF)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", FILE_RECORDS)
-        .text(path)
-    )
+    for rows, folder, most in (
+        (records.filter(~is_large), "small", FILE_RECORDS),
+        (records.filter(is_large), "large", max(1, FILE_BYTES // max(most_bytes, 1))),
+    ):
+        (
+            rows.select(F.concat(header(rows, date), body).alias("value"))
+            .write.option("lineSep", CRLF + CRLF)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", most)
+            .text(f"{path}/{folder}")
+        )
 
 
 def parse_warc(chunks: Iterator[bytes]) -> Iterator[tuple[bytes, bytes]]:
@@ -184,7 +215,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["file", "at", "header", "body"]
         )
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = found.option("pathGlobFilter", "*.gz").load(path).select("path", "content")
     return files.mapInArrow(parse, "file string, at long, header string, body binary")
 
 
@@ -199,18 +231,31 @@ def store(records: DataFrame, path: str) -> None:
 
     ``path/payloads`` gets each distinct payload once, under the digest that is
     computed from its bytes; a record whose header states another digest fails
-    the job. ``path/headers`` gets every header. Of equal payloads the rows are
-    merged before they are shuffled, so copies of one payload do not meet in
-    one task as bytes.
+    the job. ``path/headers`` gets every header. Which of equal payloads is
+    stored is settled by digests and places alone; the places of the others meet
+    the records by a broadcast, so payloads stay where they are, unless very
+    many repeat.
     """
     kept = records.withColumn("digest", F.regexp_replace(field("WARC-Payload-Digest"), "^sha256:", ""))
+    is_full = field("WARC-Type") == "response"
     kept.select("file", "at", "header", "digest").write.parquet(f"{path}/headers")
+    places = records.sparkSession.read.parquet(f"{path}/headers").filter(is_full).select("file", "at", "digest")
+    firsts = materialise(
+        places.groupBy("digest").agg(F.min(F.struct("file", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"),
+        "warc_firsts",
+    )
+    again = (
+        join_groups(places, firsts, "digest", "n", places.count(), "inner")
+        .filter(F.struct("file", "at") != F.col("first"))
+        .select("file", "at")
+    )
+    again = broadcast_if_small(materialise(again, "warc_repeats"))
     own = F.sha2("body", 256)
     checked = F.when(
         own == F.col("digest"), own
     ).otherwise(F.raise_error(F.concat(F.lit("digest mismatch: "), F.coalesce("digest", F.lit("none")))))
-    full = kept.filter(field("WARC-Type") == "response").select(checked.alias("digest"), "body")
-    full.dropDuplicates(["digest"]).write.parquet(f"{path}/payloads")
+    full = kept.filter(is_full).join(again, ["file", "at"], "left_anti")
+    full.select(checked.alias("digest"), "body").write.parquet(f"{path}/payloads")
 
 
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -218,15 +263,39 @@ def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
 
 
+def rebuilt(spark: SparkSession, path: str) -> DataFrame:
+    """The records of an archive: file, at, header, digest, body (empty for revisits).
+
+    Responses meet their payloads by digest. A payload of many records, and of
+    4 KB at most, is broadcast; there are 1024 such at most. Larger ones of many
+    records are dealt out several times, to as many parts of their records.
+    """
+    headers, payloads = read_store(spark, path)
+    is_full = field("WARC-Type") == "response"
+    full = headers.filter(is_full)
+    total = full.count()
+    line = max(1, total // HEAVY_GROUPS)
+    hot = full.groupBy("digest").agg(F.count("*").alias("n")).filter(F.col("n") > line)
+    hot = materialise(hot.withColumn("parts", F.ceil(F.col("n") / line).cast("int")), "warc_hot")
+    known = payloads.join(F.broadcast(hot), "digest", "left").withColumn("small", F.octet_length("body") <= 4096)
+    spread = known.filter("n is null or not small").withColumn(
+        "part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    )
+    few = known.filter("n is not null and small").select("digest", "body")
+    met = full.join(F.broadcast(hot.drop("n")), "digest", "left")
+    met = met.withColumn("part", F.pmod(F.xxhash64("file", "at"), F.coalesce("parts", F.lit(1))).cast("int"))
+    met = met.join(F.broadcast(few.withColumnRenamed("body", "few")), "digest", "left")
+    columns = ["file", "at", "header", "digest"]
+    stay = met.filter("few is not null").select(*columns, F.col("few").alias("body"))
+    move = met.filter("few is null").join(spread.select("digest", "part", "body"), ["digest", "part"]).select(*columns, "body")
+    empty = headers.filter(~is_full).select(*columns, F.lit(b"").alias("body"))
+    return stay.unionByName(move).unionByName(empty)
+
+
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """The original records of an archive: file, at, record (its exact bytes)."""
-    headers, payloads = read_store(spark, path)
-    full = headers.filter(field("WARC-Type") == "response").join(payloads, "digest")
-    empty = headers.filter(field("WARC-Type") != "response").withColumn("body", F.lit(b""))
     end = F.lit((CRLF + CRLF).encode())
-    return full.unionByName(empty).select(
-        "file", "at", F.concat(F.col("header").cast("binary"), "body", end).alias("record")
-    )
+    return rebuilt(spark, path).select("file", "at", F.concat(F.col("header").cast("binary"), "body", end).alias("record"))
 
 
 def archive_pages(
@@ -235,8 +304,9 @@ def archive_pages(
     """Archive ``pages`` below ``path`` and return what the archive says of each.
 
     Writes WARC files, reads them back into the content-addressed store, and
-    joins its headers with the digests and lengths computed from its payloads:
-    page_id, payload_bytes, payload_digest, record_type, refers_to.
+    rebuilds the records from it. A response's payload_bytes and payload_digest
+    are computed from its rebuilt body, a revisit's are those of the stored
+    payload: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Edge cases: a null or empty payload is an empty response; a null url is an
     empty one; rows that repeat an id and a large payload are all responses if
@@ -247,26 +317,30 @@ def archive_pages(
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/trackspark/warc-{uuid.uuid4().hex}"
     kind = pages.schema[id_col].dataType
-    write_warc(classify(pages, id_col, url_col, payload_col), f"{path}/warc")
+    records = classify(pages, id_col, url_col, payload_col)
+    most = pages.agg(F.max(F.octet_length(payload_col))).first()[0] or 0
+    write_warc(records, f"{path}/warc", most)
     store(read_warc(spark, f"{path}/warc"), f"{path}/store")
-    headers, payloads = read_store(spark, f"{path}/store")
-    lengths = materialise(
-        payloads.select(
-            F.sha2("body", 256).alias("digest"), F.octet_length("body").cast("long").alias("payload_bytes")
-        ),
-        "payload_lengths",
-    )
-    uses = headers.groupBy("digest").agg(F.count("*").alias("n"))
-    sized = materialise(lengths.join(uses, "digest"), "payload_uses")
 
     def page(name: str) -> Column:
-        inner = F.regexp_extract(field(name), "^<urn:page:(.*)>$", 1)
-        return F.when(inner != "none", inner).cast(kind)
-
-    return join_groups(headers, sized, "digest", "n", headers.count(), "inner").select(
-        page("WARC-Record-ID").alias(id_col),
-        "payload_bytes",
-        F.col("digest").alias("payload_digest"),
-        field("WARC-Type").alias("record_type"),
-        page("WARC-Refers-To").alias("refers_to"),
+        inner = F.regexp_extract(field(name), "^<urn:page:=(.*)>$", 1)
+        return F.when(inner != "", F.url_decode(inner)).when(field(name) == "<urn:page:=>", F.lit("")).cast(kind)
+
+    rows = materialise(
+        rebuilt(spark, f"{path}/store").select(
+            page("WARC-Record-ID").alias(id_col),
+            F.octet_length("body").cast("long").alias("payload_bytes"),
+            F.when(field("WARC-Type") == "response", F.sha2("body", 256)).otherwise(F.col("digest")).alias("payload_digest"),
+            field("WARC-Type").alias("record_type"),
+            page("WARC-Refers-To").alias("refers_to"),
+        ),
+        "warc_rows",
     )
+    again = rows.filter("record_type = 'revisit'")
+    uses = again.groupBy("payload_digest").agg(F.count("*").alias("n"))
+    _, payloads = read_store(spark, f"{path}/store")
+    sizes = payloads.select(F.col("digest").alias("payload_digest"), F.octet_length("body").cast("long").alias("payload_bytes"))
+    sized = materialise(sizes.join(uses, "payload_digest"), "payload_uses")
+    met = join_groups(again.drop("payload_bytes"), sized, "payload_digest", "n", again.count(), "inner")
+    columns = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return rows.filter("record_type <> 'revisit'").select(columns).unionByName(met.select(columns))
