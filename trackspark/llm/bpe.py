@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Distinct words whose encodings a Python worker keeps between batches.
-KEEP_WORDS = 400_000
+KEEP_WORDS = 100_000
 #: Pairs of tokens of which a worker keeps whether one may follow the other.
-KEEP_PAIRS = 1_000_000
+KEEP_PAIRS = 500_000
 #: Rows of one Arrow batch, so that a batch of long texts fits in memory.
 BATCH_ROWS = 256
 

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from trackspark.llm.common import join_groups, materialise, only_ids, without_ids
 
 #: Bytes of text whose shingles are worked out at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: A token is common from so many documents on (more, if too many tokens are).
 COMMON_DOCS = 16
 #: Common tokens that every task may know: 8 MB.
 COMMON_TOKENS = 1_000_000
-#: Bits (as a power of two) that tell tokens of one document from others: 32 MB.
-#: Beyond some hundred million tokens they fill up; then nearly all prefix tokens
-#: are posted, which is about a tenth of a set (at 90 percent) and no more.
-BITMAP_BITS = 28
+#: Bits (as a power of two) that tell tokens of one document from others, four
+#: per counted token but 32 MB at most. Beyond some hundred million tokens they
+#: fill up; then nearly all prefix tokens are posted, which is about a tenth of a
+#: set (at 90 percent) and no more.
+LEAST_BITS, MOST_BITS = 20, 28
 #: Seeds of the further orders, under which candidates must meet again.
 ORDERS = (0x51ED27, 0xC2B2AE)
 #: Columns of a set's prefixes under them.
@@ -28,7 +29,7 @@ PREFIXES = tuple(f"order{k}" for k in range(len(ORDERS)))
 #: 64-bit words of a set's sketch.
 SKETCH = tuple(f"s{k}" for k in range(4))
 #: Pivots of a token's bucket, and rounds of pairing nodes with pivots.
-PIVOTS, ROUNDS = 4, 3
+PIVOTS, ROUNDS = 4, 2
 #: Bytes of cells that a task counts together.
 COUNT_BYTES = 48 << 20
 
@@ -151,12 +152,13 @@ class Frequencies:
 
     def __init__(self, shared: np.ndarray, common: np.ndarray, bits: int):
         self.shared, self.common, self.bits = shared, common, bits
+        self.unit = len(shared).bit_length() + 2  # the bitmap's bits, as a power of two
 
     def tiers(self, tokens: np.ndarray) -> np.ndarray:
         """0: in one document; 1: in a few; 2: not counted; 3: in many."""
         known = tokens < np.uint64(1 << self.bits) if self.bits < 64 else np.ones(len(tokens), bool)
         cell = np.where(known, tokens >> np.uint64(self.bits - 40), np.uint64(0))
-        bit = cell >> np.uint64(40 - BITMAP_BITS)
+        bit = cell >> np.uint64(40 - self.unit)
         held = self.shared[bit >> np.uint64(3)] >> (7 - (bit & np.uint64(7))).astype(np.uint8) & 1
         tier = np.where(known, held, 2)
         if len(self.common):
@@ -236,8 +238,9 @@ def frequencies(parts: DataFrame, percent: int, shards: int) -> Frequencies:
     set the order of tokens, so that a full bitmap or a list cut short (at the
     document count where it fits) changes the speed and not the result.
     """
-    unit = 1 << (BITMAP_BITS - 3)  # bytes of the bitmap
     held = parts.agg(F.coalesce(F.sum(F.octet_length("cells")), F.lit(0))).first()[0]
+    bitmap = min(MOST_BITS, max(LEAST_BITS, (4 * (held // 5)).bit_length()))
+    unit = 1 << (bitmap - 3)  # bytes of the bitmap
     pieces = max(1, -(-held // (shards * COUNT_BYTES)))
     shards = shards * pieces
 
@@ -261,10 +264,10 @@ def frequencies(parts: DataFrame, percent: int, shards: int) -> Frequencies:
         k = key[0].as_py()
         every = np.concatenate([_unpacked(x.as_py()) for x in group.column("cells")])
         cells, n = np.unique(every, return_counts=True)
-        low = (k << BITMAP_BITS) // shards >> 3
-        high = min(unit, (((k + 1) << BITMAP_BITS) // shards >> 3) + 1)
+        low = (k << bitmap) // shards >> 3
+        high = min(unit, (((k + 1) << bitmap) // shards >> 3) + 1)
         flags = np.zeros((high - low) * 8, bool)
-        flags[(cells[n > 1] >> np.uint64(40 - BITMAP_BITS)).astype(np.int64) - low * 8] = True
+        flags[(cells[n > 1] >> np.uint64(40 - bitmap)).astype(np.int64) - low * 8] = True
         many = n >= COMMON_DOCS
         return pa.table(
             {

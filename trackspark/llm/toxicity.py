@@ -20,8 +20,8 @@ LEAST_Z = 3.5
 #: Bytes of a word's beginning that are features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
-#: Texts whose features are worked out and passed on together.
-EXTRACT_ROWS = 256
+#: Features that a task counts before it passes them on.
+HELD_FEATURES = 300_000
 STEPS = 150
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -38,7 +38,7 @@ def features(text: str) -> np.ndarray:
 
     Words are runs of letters, digits and bytes beyond ASCII, A-Z in lower case.
     """
-    found, data, step = [], text.encode("utf-8", "replace"), 1 << 20
+    found, data, step = [], text.encode("utf-8", "replace"), 1 << 18
     start = 0
     while start < len(data):  # long texts in parts that end between words
         end = min(len(data), start + step)
@@ -153,16 +153,47 @@ class Chain:
         return [float(_sigmoid(z)) for z in odds]
 
 
-def telling(found: DataFrame, names: Sequence[str]) -> DataFrame:
-    """feature: those of ``found`` (features, a label per name) that tell a category's sides apart.
+def telling(texts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """feature: those of ``texts`` (text, a 0/1 label or null per name) that tell a category's sides apart.
 
-    Documents and labels are counted per feature by Spark, before and after a
-    shuffle by feature. A feature of one document never passes, so what passes
-    is a small part of the features.
+    Tasks count documents and labels by feature before a shuffle by feature
+    merges them. A feature of one document never passes, so what passes is a
+    small part of the features.
     """
-    whole = found.agg(*[f(n).alias(f"{n}_{f.__name__}") for n in names for f in (F.count, F.sum)]).first()  # one row
-    each = found.select(F.explode("features").alias("feature"), *names).groupBy("feature").agg(
-        *[F.count(n).alias(f"{n}_docs") for n in names], *[F.sum(n).alias(f"{n}_ones") for n in names]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sums = np.zeros(0, np.uint64), np.zeros((0, 2 * len(names)))
+
+        def merged(lists: list[np.ndarray], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            every, at = np.unique(np.concatenate([held, *lists]), return_inverse=True)
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            out = np.column_stack([np.bincount(at[len(held) :], m[owner], len(every)) for m in marks])
+            out[at[: len(held)]] += sums
+            return every, out
+
+        def passed_on() -> pa.RecordBatch:
+            columns = [pa.array(held.view(np.int64)), *[pa.array(c) for c in sums.T]]
+            return pa.RecordBatch.from_arrays(columns, names=["feature", *counted])
+
+        for batch in batches:
+            labels = [np.array(c.to_pylist(), float) for c in batch.columns[1:]]
+            marks = np.array([m for y in labels for m in (~np.isnan(y), np.nan_to_num(y))], float)
+            for start in range(0, batch.num_rows, 64):
+                lists = [features(t.as_py() or "") for t in batch.column(0)[start : start + 64]]
+                held, sums = merged(lists, marks[:, start : start + 64])
+                if len(held) > HELD_FEATURES:
+                    yield passed_on()
+                    held, sums = held[:0], sums[:0]
+        if len(held):
+            yield passed_on()
+
+    whole = texts.agg(*[f(n).alias(f"{n}_{f.__name__}") for n in names for f in (F.count, F.sum)]).first()  # one row
+    counted = [f"{n}_{part}" for n in names for part in ("docs", "ones")]
+    each = (
+        texts.select("text", *names)
+        .mapInArrow(count, "feature long, " + ", ".join(f"{c} double" for c in counted))
+        .groupBy("feature")
+        .agg(*[F.sum(c).alias(c) for c in counted])
     )
     tells = F.lit(False)
     for n in names:
@@ -171,7 +202,7 @@ def telling(found: DataFrame, names: Sequence[str]) -> DataFrame:
             rate = ones / docs
             seen = F.col(f"{n}_docs")
             spread = F.sqrt(seen * rate * (1 - rate) + 1)
-            tells |= F.abs(F.coalesce(f"{n}_ones", F.lit(0.0)) - seen * rate) / spread >= LEAST_Z
+            tells |= F.abs(F.col(f"{n}_ones") - seen * rate) / spread >= LEAST_Z
     return each.filter(tells).select("feature")
 
 
@@ -237,26 +268,17 @@ def train(
     texts = only_ids(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sample.select("id"), "id")
     kind = texts.schema["id"].dataType.simpleString()
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, EXTRACT_ROWS):
-                part = batch.slice(start, EXTRACT_ROWS)
-                own = [features(t.as_py() or "").view(np.int64) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], names=["id", "features"])
-
-    found = materialise(
-        texts.mapInArrow(extract, f"id {kind}, features array<long>").join(F.broadcast(sample), "id"), "features"
-    )
+    found = materialise(texts.join(F.broadcast(sample), "id"), "labelled_texts")
     told = telling(found, names).toArrow()
     known = np.sort(told.column("feature").to_numpy().view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [_places(shared.value, np.sort(x.values.to_numpy().view(np.uint64))) for x in batch.column(1)]
+            own = [_places(shared.value, features(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["id", "places"])
 
-    placed = found.select("id", "features").mapInArrow(place, f"id {kind}, places array<long>")
+    placed = found.select("id", "text").mapInArrow(place, f"id {kind}, places array<long>")
     fitted = (
         placed.groupBy("id")
         .agg(F.min("places").alias("places"))
