@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from trackspark.llm.common import small_batches
+
 #: Distinct words whose encodings a Python worker keeps between batches.
 KEEP_WORDS = 100_000
 #: Pairs of tokens of which a worker keeps whether one may follow the other.
@@ -251,6 +253,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                     names=["id", "n_tokens", "ids", "decoded"],
                 )
 
+    small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )

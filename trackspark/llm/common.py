@@ -23,6 +23,17 @@ NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 _scratch: list[str] = []
 
 
+#: Rows that go to a Python worker at a time: a batch of long texts must fit in memory.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From here on the session's Arrow batches have BATCH_ROWS rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.llm.common import join_groups, materialise, only_ids, without_ids
+from trackspark.llm.common import join_groups, materialise, only_ids, small_batches, without_ids
 
 #: Bytes of text whose shingles are worked out at a time.
 CHUNK_BYTES = 1 << 18
@@ -538,6 +538,7 @@ def near_duplicates(
     columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     profile = materialise(profiles(own, width, percent, shards), "profiles")

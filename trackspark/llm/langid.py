@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trackspark.llm.common import small_batches
+
 #: Letters of a text that are turned into n-grams at a time.
 STEP = 1 << 20
 #: n-grams that a training task holds for its languages before it passes them on.
@@ -168,6 +170,7 @@ def identify(
     are predicted alike; an empty table gives an empty result; other columns
     are ignored.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(
         F.col(id_col).alias("id"),
         F.col(text_col).alias("text"),

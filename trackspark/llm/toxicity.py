@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.llm.common import materialise, only_ids, without_ids
+from trackspark.llm.common import materialise, only_ids, small_batches, without_ids
 
 #: Labelled documents that the classifiers are fitted on, at most.
 TRAIN_ROWS = 8_000
@@ -258,6 +258,7 @@ def train(
     one is used, the same on every run.
     """
     names = list(categories)
+    small_batches(docs.sparkSession)
     marked = (
         labels.select(F.col(id_col).alias("id"), *[c.cast("double").alias(n) for n, c in categories.items()])
         .filter("id is not null")
