@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trackspark.llm import warc
+from trackspark.llm import jaccard, line_dedup, warc
 from trackspark.llm.bpe import bpe
 from trackspark.llm.exact_dedup import drop_exact_copies, exact_groups
 from trackspark.llm.jaccard import drop_near_duplicates, near_duplicates
@@ -68,6 +68,12 @@ def test_exact_groups(docs):
     assert drop_exact_copies(docs).columns == docs.columns
 
 
+def test_exact_groups_are_the_same_with_many_small_filters(spark, docs):
+    columns = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    want = by_id(exact_groups(docs), *columns)
+    assert by_id(exact_groups(docs, most_cells=128), *columns) == want
+
+
 def shingles(text, width):
     words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.split("[\x20\x09-\x0d]+", text or "") if w]
     if not words:
@@ -111,6 +117,13 @@ def test_near_duplicates(spark, docs, width, percent):
     assert [r["component_id"] for r in found if r["doc_id"] is None] == [None]
 
 
+def test_counts_in_pieces_are_the_same(spark, docs, monkeypatch):
+    monkeypatch.setattr(jaccard, "COUNT_BYTES", 64)
+    found = near_duplicates(docs.filter("doc_id is not null"), 3, 90).collect()
+    want = brute_components([r[:2] for r in awkward() if r[0] is not None], 3, 90)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == want
+
+
 def test_one_document_of_each_component_stays(docs):
     kept = [r["doc_id"] for r in drop_near_duplicates(docs).collect()]
     want = brute_components([r[:2] for r in awkward() if r[0] is not None], 5, 80)
@@ -127,6 +140,41 @@ def test_language_of_held_out_documents(spark, docs):
     assert odd[4] == odd[5] == odd[6] == "und"
 
 
+def grams(text):
+    words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    marked = "\x01" + "\x01".join(words) + "\x01" if words else ""
+    every = [marked[i : i + n] for n in (1, 2, 3) for i in range(len(marked) - n + 1)]
+    count = {}
+    for g in every:
+        if g != "\x01":
+            count[g] = count.get(g, 0) + 1
+    return count
+
+
+def ranked_grams(count, size):
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+    return sorted(count, key=lambda g: (-count[g], code(g)))[:size]
+
+
+def test_languages_are_those_of_plain_rank_order_profiles(spark):
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows, size = real.collect(), 60
+    whole = {}
+    for r in rows:
+        if r["lang"] is not None and crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            own = whole.setdefault(r["lang"], {})
+            for g, n in grams(r["text"]).items():
+                own[g] = own.get(g, 0) + n
+    profiles = {lang: {g: i for i, g in enumerate(ranked_grams(c, size))} for lang, c in whole.items()}
+    found = {r["doc_id"]: r for r in identify(real, size=size).collect()}
+    for r in rows:
+        own = ranked_grams(grams(r["text"]), size)
+        away = {x: sum(abs(p[g] - i) if g in p else size for i, g in enumerate(own)) for x, p in profiles.items()}
+        best = min(sorted(away), key=away.get) if own else "und"
+        score = 1 - away[best] / (size * len(own)) if own else 0.0
+        assert found[r["doc_id"]]["lang_pred"] == best and found[r["doc_id"]]["score"] == pytest.approx(score)
+
+
 def test_toxicity(spark, docs):
     # 182 labels at sf0.01 name too few of the telling words (half of the toxic documents are found).
     real, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
@@ -155,6 +203,44 @@ def test_archive_of_pages(spark, tmp_path):
     assert first == by_id(warc.reconstruct(spark, f"{path}/store"), "file", "at", "record")
 
 
+def test_odd_ids_and_large_pages_come_back_from_the_archive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LARGE_BYTES", 150)
+    monkeypatch.setattr(warc, "FILE_BYTES", 400)
+    ids = ["none", "", None, "a b>", "=x\n"]
+    rows = [(i, "u", "p" * 200) for i in ids] + [(f"s{k}", "u", "tiny") for k in range(9)]
+    frame = spark.createDataFrame(rows, "page_id string, url string, html string")
+    path = f"file://{tmp_path}/archive"
+    found = {r["page_id"]: r for r in warc.archive_pages(frame, path).collect()}
+    assert set(found) == {r[0] for r in rows}
+    assert {i for i in ids if found[i]["record_type"] == "revisit"} == set(ids) - {""}
+    assert all(found[i]["refers_to"] == "" and found[i]["payload_bytes"] == 200 for i in ids if i != "")
+    assert warc.reconstruct(spark, f"{path}/store").count() == len(rows)
+
+
+def test_quotas_are_those_of_the_highest_quotients(spark):
+    from trackspark.llm.mixing import apportion
+
+    rng = random.Random(4)
+    rows = [(g, f"p{i}", float(rng.randrange(0, 90)), g * 7) for g in range(1, 6) for i in range(g * 3)]
+    found = apportion(spark.createDataFrame(rows, "g int, p string, votes double, seats long"), ["g"], ["p"]).collect()
+    for g in range(1, 6):
+        own = [(v, p) for h, p, v, _ in rows if h == g]
+        quotients = sorted(((-v / (2 * k + 1), p, k) for v, p in own if v > 0 for k in range(g * 7)))[: g * 7]
+        want = {p: sum(q[1] == p for q in quotients) for _, p in own}
+        assert {r["p"]: r["quota"] for r in found if r["g"] == g} == want
+
+
+def test_rows_move_no_more_bytes_than_the_flow_says(spark):
+    real = spark.read.parquet(f"{DATA}/documents.parquet")
+    place = F.when(F.col("doc_id") % 3 == 0, F.lit(0)).otherwise(F.pmod("doc_id", F.lit(4)).cast("int"))
+    rows = reshard(real, 4, old_shard=place).collect()
+    total, largest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+    held = {s: sum(r["size"] for r in rows if r["old_shard"] == s) for s in range(4)}
+    fewest = sum(max(0, x - total / 4) for x in held.values())
+    moved = sum(r["size"] for r in rows if r["old_shard"] != r["shard"])
+    assert abs(moved - fewest) <= 16 * largest
+
+
 def test_mix(spark, docs):
     rows = mix(docs).collect()
     size = {}
@@ -247,6 +333,29 @@ def test_line_dedup(docs):
     assert by_id(again, "doc_id", "text") == sorted([(w[0], w[3]) for w in want if w[0]], key=repr)
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_line_dedup_by_lookup_and_by_join(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(line_dedup, "LOOKUP_KEYS", 200_000)
+    want = by_id(drop_frequent_lines(docs), "doc_id", "n_lines", "n_dropped", "text")
+    monkeypatch.setattr(line_dedup, "LOOKUP_KEYS", most)
+    assert by_id(drop_frequent_lines(docs), "doc_id", "n_lines", "n_dropped", "text") == want
+    unique = docs.filter("doc_id > 0")
+    first = line_bitmaps(unique, keep_first=True).join(unique.select("doc_id", "text"), "doc_id")
+    kept = {r["doc_id"]: r["text"].lower() for r in first.select("doc_id", apply_bitmap(F.col("text"), F.col("keep_bits")).alias("text")).collect()}
+    with_line = [i for i in sorted(kept) if "common line" in kept[i]]
+    assert len(with_line) == 1 and kept[with_line[0]].count("common line") == 1
+    assert with_line[0] == min(r[0] for r in awkward() if r[0] and "Common line" in (r[1] or ""))
+
+
+def test_many_special_tokens_do_no_harm(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "<|endoftext|> x " * 5000
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    row = bpe(spark.createDataFrame([(1, text)], "doc_id long, text string"), path).first()
+    assert bytes(row["ids"]) == b"".join(x.to_bytes(4, "little") for x in tokenizer.encode(text, add_special_tokens=False).ids)
+
+
 def test_bpe(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)

@@ -49,6 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which :func:`release` deletes."""
+    path = f"{shared_dir(spark)}/trackspark/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -56,18 +63,27 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     later steps column pruning, cheap counts and one fixed row order per file.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/trackspark/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables made so far; call it once results are stored."""
+def held() -> int:
+    """How many scratch tables there are now; for :func:`release`."""
+    return len(_scratch)
+
+
+def release(spark: SparkSession, since: int = 0, newest: int = 0) -> None:
+    """Delete the scratch tables made after the first ``since``, but for the ``newest``.
+
+    Call it once what was read from them is stored.
+    """
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+    end = len(_scratch) - newest
+    for name in _scratch[since:end]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
+    del _scratch[since:end]
 
 
 def join_groups(

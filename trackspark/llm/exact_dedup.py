@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from trackspark.llm.common import (
     ASCII_SPACE,
     join_groups,
     materialise,
-    shared_dir,
+    scratch_path,
     without_ids,
 )
 
@@ -76,7 +74,7 @@ def exact_groups(
     while cells < min(most_cells, total * CELLS_PER_ROW // ranges):
         cells *= 2
     digest = F.unhex(F.sha2(normalised(F.col(text_col)), 256))
-    path = f"{shared_dir(spark)}/trackspark/digests-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "digests")
     own = docs.select(F.col(id_col).alias("id"), digest.alias("digest")).withColumn("hash", F.xxhash64("digest"))
     own = own.withColumn("range", F.pmod("hash", F.lit(ranges)).cast("int"))
     # Each task writes to the ranges' folders what it has for them: no shuffle.

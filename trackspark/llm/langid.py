@@ -31,11 +31,13 @@ def _letters() -> np.ndarray:
 
 
 def letters_of(text: str) -> np.ndarray:
-    """The code points of the lower-cased words (runs of letters), with edges between."""
+    """The code points of the lower-cased words (runs of letters), with an edge between, before and after."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     alpha = _letters()[codes]
     if not alpha.any():
         return np.zeros(0, np.uint64)
+    at = np.flatnonzero(alpha)
+    codes, alpha = codes[at[0] : at[-1] + 1], alpha[at[0] : at[-1] + 1]
     codes = np.where(alpha, codes, _EDGE).astype(np.uint64)
     keep = alpha | np.concatenate([[True], alpha[:-1]])
     return np.concatenate([[_EDGE], codes[keep], [_EDGE]]).astype(np.uint64)
