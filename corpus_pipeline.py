@@ -1,7 +1,14 @@
 """The corpus pipeline: five stages over ``documents``, each written and reread.
 
 The stages cannot be said in SQL (a fitted classifier, a tokenizer), so there
-is no ORACLE_SQL; the tests hold each stage against a brute-force version.
+is no ORACLE_SQL. The tests hold the exact and near duplicates against brute
+force, the mix against its own plan, the encoding against the tokenizers
+library, and the toxicity stage against the labels.
+
+All stages take what their operators take: null and empty texts are texts
+without words; rows that repeat an id share one fate, and rows of a null id are
+never dropped by a deduplicating stage; an empty table stays empty; columns
+beyond those of ``documents`` pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -13,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.llm.bpe import bpe
-from trackspark.llm.common import materialise
+from trackspark.llm.common import held, materialise, release
 from trackspark.llm.exact_dedup import drop_exact_copies
 from trackspark.llm.jaccard import drop_near_duplicates
 from trackspark.llm.mixing import mixed_documents
@@ -64,7 +71,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; a stage's scratch tables go once its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = held()
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        release(spark, before, newest=1)
     return docs
