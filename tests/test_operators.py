@@ -155,3 +155,73 @@ def test_the_queries_sweep_as_the_verb_does(spark, name):
         assert found.select("cutoff").distinct().count() == 50
     else:
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, suggested.collect()))
+
+
+def test_every_session_keeps_its_own_rate_through_the_chain(spark):
+    rows = [(s, 1e9 + i / hz, 2.0 * i / hz, 0.0, i) for s, hz in (("a", 10), ("b", 5), ("c", 4)) for i in range(12 * hz) if i % 7 != 3]
+    frame = spark.createDataFrame(rows, "session_id string, unix_time double, x double, y double, n long")
+    trace = Trace.from_dataframe(frame, coord_system="local", order_by="n").interpolate().derivate()
+    late = trace.df.filter("unix_time >= 1e9 + 3").select("session_id", "velocity", "distance").collect()
+    assert {r["session_id"] for r in late} == {"a", "b", "c"}
+    # A window is a second, whatever the rate: 2 metres.
+    assert all(r["velocity"] == pytest.approx(2, abs=1e-3) and r["distance"] == pytest.approx(2, abs=1e-3) for r in late)
+    seconds = trace.df.groupBy("session_id").agg(trace.band_duration().alias("s")).collect()
+    assert all(r["s"] == pytest.approx(12, abs=0.3) for r in seconds)
+    smooth = trace.filtrate("butterworth", "x", cutoff=1).df.filter("f_x is not null")
+    assert smooth.count() == trace.df.filter("x is not null").count()
+    assert trace.designate(min_pts=0).log[-1].detail["min_pts"] == 0
+    assert trace.designate().df.filter("designation is null").count() == 0
+
+
+def test_the_grid_is_dealt_to_as_many_tasks_as_the_session_asks_for(spark):
+    rows = [(f"s{s}", 100.0 * i, 1.0 * i, 0.0, i) for s in range(40) for i in range(5)]
+    frame = spark.createDataFrame(rows, "session_id string, unix_time double, x double, y double, n long")
+    grid = Trace.from_dataframe(frame, coord_system="local", order_by="n").interpolate(hz=1, max_gap_frames=200).df
+    grid.collect()
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2 and "REPARTITION_BY_NUM" in plan
+    assert grid.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_grouped_expressions_mix_rows_and_aggregates(spark):
+    rows = [("a", float(i), float(i), 0.0, i) for i in range(4)]
+    frame = spark.createDataFrame(rows, "session_id string, unix_time double, x double, y double, n long")
+    trace = Trace.from_dataframe(frame, coord_system="local", order_by="n")
+    off = trace.elaborate(by=["y"], off="x - avg(x) over ()").df.orderBy("x")
+    assert [r["off"] for r in off.collect()] == [-1.5, -0.5, 0.5, 1.5]
+
+
+def test_names_go_by_their_order_and_labels_are_guessed(spark):
+    frame = spark.createDataFrame([(1.0, 2.0, 3.0, 4.0)], "timestamp double, time double, x double, y double")
+    assert Trace.from_dataframe(frame, coord_system="local").df.first()["unix_time"] == 2.0
+    marks = spark.createDataFrame([("run", 0.0, 9.0)], "behaviour string, time_start double, time_end double")
+    trace = Trace.from_dataframe(frame, coord_system="local").designate(labels=marks, cols="guess")
+    assert trace.df.first()["designation"] == "run"
+
+
+def test_splines_and_segments_against_dense_and_full_searches():
+    import numpy as np
+
+    from trackspark.operators.resample import cubic
+    from trackspark.operators.segment import changepoints
+
+    k = np.array([0.0, 1, 2, 4, 5, 7, 8, 11])
+    at = np.arange(12.0)
+    # A cubic's own points give the cubic back, whatever the ends' rule.
+    assert np.allclose(cubic(k, k**3 - 4 * k**2 + k, at), at**3 - 4 * at**2 + at)
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(m, 0.3, n) for m, n in ((0, 20), (3, 15), (1, 25))])
+
+    def cost(a, b):
+        return ((v[a:b] - v[a:b].mean()) ** 2).sum()
+
+    best, came = [-2 * np.log(len(v))], [0]
+    for t in range(1, len(v) + 1):
+        total = [best[s] + cost(s, t) + 2 * np.log(len(v)) for s in range(t)]
+        came.append(int(np.argmin(total)))
+        best.append(min(total))
+    want, t = [], came[len(v)]
+    while t:
+        want.append(t)
+        t = came[t]
+    assert changepoints(v) == want[::-1]

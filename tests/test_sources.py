@@ -120,3 +120,20 @@ def test_strava_with_an_old_token(spark, tmp_path, monkeypatch):
 def test_names():
     assert jaro("martha", "marhta") == pytest.approx(0.9444, abs=1e-4)
     assert match_names(["Lat", "LATITUDE"], {"lat": ("latitude", "lat")}) == {"lat": "LATITUDE"}
+
+
+def test_files_of_one_name_are_sessions_of_their_own_and_dates_go_by_file(spark, tmp_path):
+    for day, first in (("mon", "2024-01-31 10:00:0"), ("tue", "31-01-2024 10:00:0")):
+        (tmp_path / day).mkdir()
+        lines = [f"{first}{i},{i},{i}" for i in range(5)]
+        (tmp_path / day / "game.csv").write_text("time,lat,lng\n" + "\n".join(lines) + "\n")
+    trace = initiate(spark, str(tmp_path), source="manual_csv", coord_system="gps", col_unix="time", columns=["lat", "lng"])
+    found = {(r["session_id"], r["unix_time"]) for r in trace.df.collect()}
+    assert {s for s, _ in found} == {"mon/game", "tue/game"} and len(found) == 10
+    assert {t for _, t in found} == {1706695200.0 + i for i in range(5)}
+
+
+def test_a_guessed_file_without_a_coordinate_has_nulls(spark, tmp_path):
+    (tmp_path / "half.csv").write_text("time,latitude,speed\n1700000000,1,2\n1700000001,1,2\n")
+    trace = initiate(spark, str(tmp_path / "half.csv"))
+    assert [r["lng"] for r in trace.df.collect()] == [None, None]

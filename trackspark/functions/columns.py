@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructType
 
 TIME, ROW = "unix_time", "_row"
+#: Frames per second of a row's session, where an interpolation has found them.
+RATE = "_hz"
 
 
 def in_order(keys: Sequence[str], *first: str) -> WindowSpec:

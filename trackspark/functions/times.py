@@ -24,11 +24,12 @@ def normalise_times(df: DataFrame, keys: Sequence[str], column: str = "unix_time
     microseconds; other values stay as they are.
     """
     median = F.percentile(F.col(column), F.lit(0.5)).over(session(keys))
+    return df.withColumn(column, F.col(column) / _scale(median))
+
+
+def _scale(median: Column) -> Column:
     digits = F.floor(F.log10(F.abs(median))) + 1
-    scale = (
-        F.when(digits == 16, 1e6).when(digits == 13, 1000.0).when(digits.isin(11, 12), 100.0).otherwise(1.0)
-    )
-    return df.withColumn(column, F.col(column) / scale)
+    return F.when(digits == 16, 1e6).when(digits == 13, 1000.0).when(digits.isin(11, 12), 100.0).otherwise(1.0)
 
 
 def parsed(text: Column, order: str) -> Column:
@@ -39,25 +40,28 @@ def parsed(text: Column, order: str) -> Column:
 def text_to_epoch(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """Epoch seconds from text: numbers where most are, else dates.
 
-    More than 80 % numbers are taken as numbers, and brought to seconds only
-    where their median is above 100,000 (frame numbers stay). Otherwise the
-    first of nine orders (year, day or month first; seconds, minutes or no
-    clock) that reads more than half of the values is used for the load; if
-    none does, the values are null.
+    Each session is judged by its own values, as files may differ. More than
+    80 % numbers are taken as numbers, and brought to seconds only where their
+    median is above 100,000 (frame numbers stay). Otherwise the first of nine
+    orders (year, day or month first; seconds, minutes or no clock) that reads
+    more than half of the session's values is used; if none does, its values
+    are null.
     """
     c = F.col(column).cast("string")
-    number = F.try_cast(c, "double") if hasattr(F, "try_cast") else c.try_cast("double")
+    number = c.try_cast("double")
     formats = [d + k for k in _CLOCKS for d in _DATES]
-    seen = df.agg(
-        F.count(c).alias("n"),
-        F.count(number).alias("numbers"),
-        F.percentile(number, F.lit(0.5)).alias("median"),
-        *[F.count(parsed(c, f)).alias(f"f{i}") for i, f in enumerate(formats)],
-    ).first()
-    n = seen["n"] or 0
-    if seen["numbers"] > 0.8 * n:
-        out = df.withColumn(column, number)
-        return normalise_times(out, keys, column) if (seen["median"] or 0) > 100_000 else out
-    best = next((f for i, f in enumerate(formats) if seen[f"f{i}"] > 0.5 * n), None)
-    value = epoch(parsed(c, best)) if best else F.lit(None).cast("double")
-    return df.withColumn(column, value)
+    whole = session(keys)
+    marked = df.withColumns(
+        {
+            "__n": F.count(c).over(whole),
+            "__numbers": F.count(number).over(whole),
+            "__median": F.percentile(number, F.lit(0.5)).over(whole),
+            **{f"__f{i}": F.count(parsed(c, f)).over(whole) for i, f in enumerate(formats)},
+        }
+    )
+    value = F.lit(None).cast("double")
+    for i, f in reversed(list(enumerate(formats))):
+        value = F.when(F.col(f"__f{i}") > 0.5 * F.col("__n"), epoch(parsed(c, f))).otherwise(value)
+    seconds = number / F.when(F.col("__median") > 100_000, _scale(F.col("__median"))).otherwise(1.0)
+    value = F.when(F.col("__numbers") > 0.8 * F.col("__n"), seconds).otherwise(value)
+    return marked.withColumn(column, value).select(*df.columns)

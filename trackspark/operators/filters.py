@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from trackspark.functions.columns import ROW, TIME, clean
+from trackspark.functions.columns import RATE, ROW, TIME, clean
 
 METHODS = {"butterworth", "sma", "ema", "savgol"}
 ALIASES = {"moving_average": "sma", "savitzky_golay": "savgol"}
@@ -125,11 +125,17 @@ def zero_phase(b: np.ndarray, a: np.ndarray, v: np.ndarray, edge: str = "zero")
     return recursive(b, a, recursive(b, a, padded)[::-1])[::-1][: len(v)]
 
 
-def by_session(df: DataFrame, keys: Sequence[str], columns: dict[str, str], rule: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """Apply ``rule`` to each session's non-null values of a column, in order of time."""
+def by_session(
+    df: DataFrame, keys: Sequence[str], columns: dict[str, str], made: Callable[[float | None], Callable[[np.ndarray], np.ndarray]]
+) -> DataFrame:
+    """Apply a rule to each session's non-null values of a column, in order of time.
+
+    ``made`` gives the rule for a session's own frame rate, or for none.
+    """
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([TIME, ROW]).reset_index(drop=True)
+        rule = made(float(part[RATE].iloc[0]) if RATE in part else None)
         for source, name in columns.items():
             v = part[source].to_numpy(float)
             ok = ~np.isnan(v)
@@ -172,14 +178,16 @@ def filtrate(
     elif method == "savgol":
         out = df.withColumns({f"f_{c}": savgol(source[c], keys, poly_order, window) for c in columns})
     else:
-        if method == "ema":
-            rule = partial(ema, alpha=alpha)
-        else:
-            b, a = butterworth_design(n, cutoff / (rate / 2), kind)
-            rule = partial(zero_phase, b, a, edge=edge)
+        def made(own: float | None) -> Callable[[np.ndarray], np.ndarray]:
+            if method == "ema":
+                return partial(ema, alpha=alpha)
+            return partial(zero_phase, *butterworth_design(n, cutoff / ((own or rate) / 2), kind), edge=edge)
+
+        if RATE not in df.columns:
+            made(None)  # a wrong cutoff fails here
         held = {c: f"__s_{c}" for c in columns}
         work = df.withColumns({held[c]: F.col(source[c]) for c in columns}).drop(*[f"f_{c}" for c in columns])
-        out = by_session(work, keys, {held[c]: f"f_{c}" for c in columns}, rule).drop(*held.values())
+        out = by_session(work, keys, {held[c]: f"f_{c}" for c in columns}, made).drop(*held.values())
     clamped = [clamp] if isinstance(clamp, str) else list(clamp or [])
     return out.withColumns(
         {f"f_{c}": F.when(F.col(f"f_{c}") < 0, 0.0).otherwise(F.col(f"f_{c}")) for c in clamped if c in columns}

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from trackspark.functions.columns import TIME, finite, in_order
+from trackspark.functions.columns import RATE, TIME, finite, in_order
 
 OPTIONAL = ("velocity", "acceleration", "angular_velocity", "jerk", "lateral_g")
 DEFAULT = ("velocity", "acceleration", "angular_velocity")
@@ -53,11 +54,25 @@ def derivate(
     signed_omega: bool = False,
     derivatives: Sequence[str] | None = None,
     rate: float = 5,
+    rates: Sequence[int] = (),
 ) -> DataFrame:
-    """distance, heading and the asked-for derivatives; others of them are dropped."""
+    """distance, heading and the asked-for derivatives; others of them are dropped.
+
+    ``rates`` are the whole frame rates of the sessions, where they have their own.
+    """
     wanted = tuple(derivatives or DEFAULT)
     if unknown := set(wanted) - set(OPTIONAL):
         raise ValueError(f"unknown derivatives: {', '.join(sorted(unknown))}")
+    if rates and window is None or isinstance(window, Mapping) and rates:
+        # Sessions of one rate have one window: a part of the trace for each.
+        parts = [
+            derivate(
+                df.filter(F.greatest(F.floor(RATE), F.lit(1)) == r), keys, use_filtered, window, speed_floor,
+                signed_omega, derivatives, r,
+            )
+            for r in rates
+        ]
+        return reduce(DataFrame.unionByName, parts)
     rows = windows(window, rate)
     w = in_order(keys)
     smooth = use_filtered and {"f_x", "f_y"} <= set(df.columns)

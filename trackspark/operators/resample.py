@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StructField, StructType, DoubleType
 
-from trackspark.functions.columns import ROW, TIME
+from trackspark.functions.columns import RATE, ROW, TIME
 
 METHODS = ("linear", "constant", "spline")
 FRAME = "__k"
@@ -35,10 +35,17 @@ def with_rate(df: DataFrame, keys: Sequence[str], hz: float | None) -> DataFrame
 
 
 def snapped(df: DataFrame, keys: Sequence[str], hz: float | None) -> DataFrame:
-    """Rows on a grid of frames, the first to arrive of each frame; no null times."""
+    """Rows on a grid of frames, the first to arrive of each frame; no null times.
+
+    The shuffle by session has as many partitions as the session asks for: the
+    grid can have many times the rows, so few partitions for few rows would
+    leave it to few tasks. All that follows keeps to this partitioning.
+    """
     by_frame = Window.partitionBy(*keys).orderBy(FRAME, ROW)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.filter(F.col(TIME).isNotNull()).repartition(parts, *keys)
     return (
-        with_rate(df.filter(F.col(TIME).isNotNull()), keys, hz)
+        with_rate(dealt, keys, hz)
         .withColumn(FRAME, F.rint(F.col(TIME) * F.col("__hz")).cast("long"))
         .withColumn("__before", F.lag(FRAME).over(by_frame))
         .filter(F.col("__before").isNull() | (F.col("__before") != F.col(FRAME)))
@@ -159,7 +166,7 @@ def interpolate(
         raise ValueError(f"method is one of {', '.join(METHODS)}")
     if passthrough not in ("none", "constant"):
         raise ValueError("fill_passthrough is 'none' or 'constant'")
-    own = {*keys, TIME, ROW, "is_interpolated"}
+    own = {*keys, TIME, ROW, RATE, "is_interpolated"}
     axes = [c for c in ("x", "y", "z") if c in df.columns]
     if "x" not in axes or "y" not in axes:
         raise ValueError("interpolate needs x and y; use coordinate first")
@@ -167,7 +174,7 @@ def interpolate(
         f.name for f in df.schema if isinstance(f.dataType, NumericType) and f.name not in own
     ]
     others = [c for c in df.columns if c not in own and c not in numbers]
-    grid = on_grid(snapped(df.drop("is_interpolated"), keys, hz), keys)
+    grid = on_grid(snapped(df.drop("is_interpolated", RATE), keys, hz), keys)
     whole = Window.partitionBy(*keys)
     # A z that a session has nowhere is no axis of it.
     has_z = F.coalesce(F.max(F.col("z").isNotNull()).over(whole), F.lit(False)) if "z" in axes else F.lit(False)
@@ -189,11 +196,12 @@ def interpolate(
         filled = grid.withColumns({c: rule(c, keys, max_gap_frames) for c in numbers})
     if passthrough == "constant" and others:
         filled = filled.withColumns({c: constant(c, keys, None) for c in others})
-    return (
+    out = (
         filled.withColumn("is_interpolated", ~F.col("__was") & every())
         .withColumn(ROW, F.coalesce(ROW, F.lit(0).cast("long")))
-        .drop("__new", "__was", "__has_z", "__hz", FRAME)
+        .drop("__new", "__was", "__has_z", FRAME)
     )
+    return out.withColumnRenamed("__hz", RATE) if hz is None else out.drop("__hz")
 
 
 def gap_runs(df: DataFrame, keys: Sequence[str], hz: float | None, max_gap_frames: int) -> DataFrame:

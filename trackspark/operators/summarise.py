@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 SCOPES = ("designation", "session", "active")
 
 
-def band_duration(rate: float = 10) -> Column:
-    """Seconds that the rows of a group stand for."""
-    return F.count("*") / F.lit(float(rate))
+def band_duration(rate: float | Column = 10) -> Column:
+    """Seconds that the rows of a group stand for, at one rate or that of each row."""
+    return F.sum(1 / rate) if isinstance(rate, Column) else F.count("*") / F.lit(float(rate))
 
 
 def quantitate(
@@ -43,12 +44,21 @@ def quantitate(
 def elaborate(
     df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column | str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """New columns one after the other; with ``by``, aggregates within session and ``by``.
+    """New columns one after the other; with ``by``, aggregates are within session and ``by``.
 
-    A value is a Column or a SQL expression; later ones see earlier ones.
+    A value is a Column or a SQL expression; later ones see earlier ones. With
+    ``by``, a Column is an aggregate, or an expression whose aggregates have
+    their own ``over``. In a SQL expression, write OVER () after an aggregate
+    that stands beside other terms: it then means the group
+    (``x - avg(x) over ()``).
     """
     group = Window.partitionBy(*keys, *by)
+    over = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in (*keys, *by))})"
     for name, value in columns.items():
+        mixed = isinstance(value, str) and re.search(r"\bover\s*\(\s*\)", value, re.I)
+        if by and mixed:
+            df = df.withColumn(name, F.expr(re.sub(r"\bover\s*\(\s*\)", over, value, flags=re.I)))
+            continue
         c = F.expr(value) if isinstance(value, str) else value
         df = df.withColumn(name, c.over(group) if by else c)
     return df

@@ -66,8 +66,10 @@ def initiate(
             template = replace(textcsv.REPLAY, **options)
         elif not isinstance(template, CsvTemplate):
             raise ValueError("source 'template_csv' needs a template")
-        df, more = textcsv.read_csv(spark, session, template)
+        df, more = textcsv.read_csv(spark, session, template, lenient=source == "guess_csv")
         notes, system = notes + more, template.coord_system
+        if source == "catapult_replay":
+            df = df.join(textcsv.replay_start(spark, session), "session_id", "left")
     trace = Trace.from_dataframe(df, ("session_id",), system, order_by="_row", **meta)
     return trace.noted(*notes)
 

@@ -9,19 +9,19 @@ from pyspark.sql import functions as F
 
 from trackspark.functions.columns import ROW
 from trackspark.functions.times import epoch
+from trackspark.sources.textcsv import session_names
 
 
 def read_gpx(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """session_id (the file's name), unix_time, lat, lng, altitude, _row by time."""
+    """session_id (from the file's name), unix_time, lat, lng, altitude, _row by time."""
     points = (
         spark.read.format("xml")
         .option("rowTag", "trkpt")
         .schema("_lat double, _lon double, ele double, time string")
         .load(path if isinstance(path, str) else list(path))
     )
-    name = F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1)
     out = points.select(
-        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias("session_id"),
+        session_names(points).alias("session_id"),
         epoch(F.try_to_timestamp("time")).alias("unix_time"),
         F.col("_lat").alias("lat"),
         F.col("_lon").alias("lng"),

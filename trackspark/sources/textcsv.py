@@ -7,6 +7,8 @@ read in parallel and cut to their data without a shuffle.
 from __future__ import annotations
 
 import csv
+import posixpath
+import re
 from collections import Counter
 from collections.abc import Sequence
 from dataclasses import replace
@@ -19,7 +21,7 @@ from trackspark.functions.times import text_to_epoch
 from trackspark.sources.templates import CsvTemplate, Ref
 
 SESSION = "session_id"
-#: Names by which a file's columns are guessed, the likeliest first.
+#: Names by which a file's columns are guessed, the likeliest first.
 GUESSES = {
     "gps": {
         "unix_time": ("unix", "timestamp", "unixtime", "time_ms", "utc", "epoch", "time", "datetime", "date", "frame", "frameid", "frame_id", "frame_number"),
@@ -37,14 +39,24 @@ GUESSES = {
 _MISSING = ("", "na", "n/a", "null", "nan")
 
 
+def session_names(found: DataFrame) -> Column:
+    """A file's name without its ending; its path below the common folder if names repeat."""
+    paths = [re.sub(r"^[a-z0-9]+:/*", "/", f) for f in found.inputFiles()]
+    stems = [f.rpartition("/")[2].partition(".")[0] for f in paths]
+    if len(set(stems)) == len(stems):
+        name = F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1)
+    else:
+        folder = posixpath.commonpath(paths)
+        name = F.regexp_extract(F.col("_metadata.file_path"), f"\\Q{folder}\\E/(.*?)(\\.[^./]*)?$", 1)
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+
+
 def files(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """session_id (a file's name without its ending), lines."""
+    """session_id (from a file's name), lines."""
     paths = [path] if isinstance(path, str) else list(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1)
     text = F.regexp_replace("value", "^\ufeff", "")
-    return spark.read.text(paths, wholetext=True).select(
-        F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))).alias(SESSION), F.split(text, "\r?\n").alias("lines")
-    )
+    found = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True)
+    return found.select(session_names(found).alias(SESSION), F.split(text, "\r?\n").alias("lines"))
 
 
 def _data_lines(template: CsvTemplate) -> Column:
@@ -87,9 +99,12 @@ def position(header: Sequence[str], ref: Ref, duplicates: str = "return_error")
     return None if not hits else hits[min(len(hits) - 1, 1 if duplicates == "use_second" else 0)]
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], template: CsvTemplate) -> tuple[DataFrame, list[str]]:
+def read_csv(
+    spark: SparkSession, path: str | Sequence[str], template: CsvTemplate, lenient: bool = False
+) -> tuple[DataFrame, list[str]]:
     """The rows of all files, a session each, and notes on columns that aren't there.
 
+    A coordinate that a file doesn't have is null if ``lenient``, else an error.
     Files may differ in their headers. An extra column is numeric if every
     value of the load is, else text.
     """
@@ -103,7 +118,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], template: CsvTempla
     for h in headers:
         names = split_header(h, template.delimiter)
         own = {t: position(names, ref, template.duplicate_method) for t, ref in wanted.items()}
-        needed = list(wanted)[:3]
+        needed = list(wanted)[: 1 if lenient else 3]
         if missing := [str(wanted[t]) for t in needed if own[t] is None]:
             raise ValueError(f"no column {', '.join(missing)} in the header {names}")
         for ref, name in template.extra.items():
@@ -167,11 +182,11 @@ def guess_csv_template(spark: SparkSession, path: str, coord_system: str = "auto
         flat = {"x", "y", "coord_x", "coord_y"} & set(lower)
         coord_system = "local" if flat and not geo else "gps"
     found = match_names(list(dict.fromkeys(header)), GUESSES[coord_system], least)
-    if missing := [t for t in list(GUESSES[coord_system])[:3] if t not in found]:
-        raise ValueError(f"no column for {', '.join(missing)} among {header}")
+    if "unix_time" not in found:
+        raise ValueError(f"no column for unix_time among {header}")
     refs = {t: header.index(c) + 1 if lower.count(c.lower()) > 1 else c for t, c in found.items()}
     axes = list(GUESSES[coord_system])[1:]
-    made = CsvTemplate(refs["unix_time"], *[refs.get(a) for a in axes], coord_system=coord_system, skip=head, comment=None)
+    made = CsvTemplate(refs["unix_time"], *[refs.get(a, a if k < 2 else None) for k, a in enumerate(axes)], coord_system=coord_system, skip=head, comment=None)
     if save_path:
         made.save(save_path)
     return made

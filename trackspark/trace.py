@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackspark.functions.columns import ROW, TIME, clean, numeric_columns
+from trackspark.functions.columns import RATE, ROW, TIME, clean, numeric_columns
 from trackspark.functions.times import epoch, normalise_times
 from trackspark.operators import (
     bands,
@@ -38,15 +38,15 @@ RESERVED = (
     "designation",
     "is_interpolated",
 )
-#: Priority lists by which from_dataframe finds columns.
+#: The names by which from_dataframe finds columns, in order.
 NAMES = {
-    "unix_time": ("unix_time", "timestamp", "time", "unix", "epoch", "datetime", "t"),
+    "unix_time": ("unix_time", "time", "timestamp", "t", "unix", "epoch"),
     "lat": ("lat", "latitude"),
-    "lng": ("lng", "lon", "long", "longitude"),
-    "altitude": ("altitude", "alt", "elevation", "ele"),
-    "x": ("x", "pos_x", "coord_x"),
-    "y": ("y", "pos_y", "coord_y"),
-    "z": ("z", "pos_z", "coord_z"),
+    "lng": ("lng", "lon", "longitude"),
+    "altitude": ("altitude", "alt", "elevation"),
+    "x": ("x",),
+    "y": ("y",),
+    "z": ("z",),
 }
 
 
@@ -69,7 +69,7 @@ class Step:
 class Trace:
     """Sessions by ``keys``, rows by unix_time and _row. Verbs give a new trace.
 
-    No verb runs a job; metadata, quality and reports are worked out when read.
+    No verb runs a job (but derivate, which asks for the rates where each session has its own); metadata, quality and reports are worked out when read.
     """
 
     df: DataFrame
@@ -214,6 +214,10 @@ class Trace:
                 return float(self.metadata[n])
         return default
 
+    def own_rates(self) -> bool:
+        """Whether each session has its own rate, from an interpolation without ``hz``."""
+        return RATE in self.df.columns
+
     # Verbs -----------------------------------------------------------------
 
     def coordinate(
@@ -238,8 +242,11 @@ class Trace:
             x, y = coordinate.projected(F.col("lat"), F.col("lng"), crs)
             norm = tuple(point.select(x, y).first())
         df = coordinate.coordinate(self.df, self.keys, source, crs, norm, from_units, to_units, rotate, drop_outliers)
+        notes = []
+        if source == "latlong" and crs == 3857:
+            notes.append("EPSG:3857 stretches distances by 1 / cos(latitude); quality('crs') has each session's share")
         detail = {"source": source, "crs": crs, "norm": norm, "units": [from_units, to_units], "rotate": rotate, "drop_outliers": drop_outliers}
-        return self._after("coordinate", df, detail)
+        return self._after("coordinate", df, detail, notes)
 
     def utm_zone_suggest(self) -> DataFrame:
         return coordinate.utm_zone(self.df, self.keys)
@@ -251,18 +258,20 @@ class Trace:
         df = resample.interpolate(self.df, self.keys, hz, method, max_gap_frames, fill_passthrough)
         notes = [] if hz is not None else ["each session keeps its own frame rate"]
         detail = {"method": method, "hz": hz, "max_gap_frames": max_gap_frames, "fill_passthrough": fill_passthrough}
-        return self._after("interpolate", df, detail, notes, **({"interpolation_hz": hz} if hz is not None else {}))
+        return self._after("interpolate", df, detail, notes, interpolation_hz=hz)
 
     def filtrate(self, method: str = "butterworth", target: str | Sequence[str] = "coordinates", **options) -> Trace:
         """Smoothed copies f_<column>."""
-        rate = options.pop("rate", None) or self.rate(10)
+        given = options.pop("rate", None)
+        rate = given or self.rate(10)
         notes = [
             f"f_{c} is filtered once more"
             for c in filters.targets(self.df, target)
             if f"f_{c}" in self.df.columns
         ]
         options = {"clamp" if k == "clamp_non_negative" else "kind" if k == "type" else k: v for k, v in options.items()}
-        df = filters.filtrate(self.df, self.keys, method, target, rate=rate, **options)
+        rows = self.df.withColumn(RATE, F.lit(float(given))) if given and self.own_rates() else self.df
+        df = filters.filtrate(rows, self.keys, method, target, rate=rate, **options)
         return self._after("filtrate", df, {"method": method, "target": target, "rate": rate, **options}, notes)
 
     def filtrate_cutoff(
@@ -292,8 +301,12 @@ class Trace:
     ) -> Trace:
         """distance, heading and derivatives by backward differences."""
         self.validate("x", "y")
+        rates: list[int] = []
+        if self.own_rates() and not isinstance(window, int):
+            whole = F.greatest(F.floor(RATE), F.lit(1)).cast("int")
+            rates = sorted(r[0] for r in self.df.select(whole).distinct().collect())  # kinds of device
         df = kinematics.derivate(
-            self.df, self.keys, use_filtered, window, speed_floor, signed_omega, derivatives, self.rate(5)
+            self.df, self.keys, use_filtered, window, speed_floor, signed_omega, derivatives, self.rate(5), rates
         )
         detail = {"window": window, "speed_floor": speed_floor, "signed_omega": signed_omega, "derivatives": derivatives}
         return self._after("derivate", df, detail)
@@ -311,8 +324,10 @@ class Trace:
                 labels = self.df.sparkSession.read.option("header", True).csv(labels)
             df = segment.label(self.df, self.keys, labels, cols)
             return self._after("designate", df, {"method": "manual", "cols": cols})
-        points = min_pts or int(5 * self.rate(10))
-        df = segment.designate(self.df, self.keys, v_threshold, points)
+        points = int(5 * self.rate(10)) if min_pts is None else min_pts
+        own = self.own_rates() and min_pts is None
+        df = segment.designate(self.df, self.keys, v_threshold, F.floor(5 * F.col(RATE)) if own else points)
+        points = "5 seconds" if own else points
         return self._after("designate", df, {"method": "changepoint", "v_threshold": v_threshold, "min_pts": points})
 
     def export_designations(self, path: str | None = None, strict: bool = False) -> DataFrame:
@@ -359,7 +374,7 @@ class Trace:
         return summarise.quantitate(self.df, keys, measures, allocation, derivative, scope, active_only, extra_keys)
 
     def band_duration(self) -> Column:
-        return summarise.band_duration(self.rate(10))
+        return summarise.band_duration(F.col(RATE) if self.own_rates() else self.rate(10))
 
     # Metadata and quality ----------------------------------------------------
 
@@ -382,6 +397,8 @@ class Trace:
         df, keys = self.df, self.keys
         if step == "initiate":
             return provenance.initial_quality(self.initial if self.initial is not None else df, keys)
+        if step == "crs":
+            return coordinate.mercator_stretch(df, keys)
         if step == "interpolate":
             return provenance.interpolation_quality(df, keys)
         if step == "designate":
