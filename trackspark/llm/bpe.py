@@ -18,7 +18,7 @@ from trackspark.llm.common import small_batches
 #: Distinct words whose encodings a Python worker keeps between batches.
 KEEP_WORDS = 100_000
 #: Pairs of tokens of which a worker keeps whether one may follow the other.
-KEEP_PAIRS = 500_000
+KEEP_PAIRS = 200_000
 #: Rows of one Arrow batch, so that a batch of long texts fits in memory.
 BATCH_ROWS = 256
 
@@ -76,7 +76,8 @@ class WordEncoder:
         #: By the last two symbols, for tokens within a word and at its end: the
         #: lengths of the tokens that end so, longest first.
         self.lengths = (self._lengths(""), self._lengths(self.end))
-        self.fits: dict[tuple[int, int], bool] = {}
+        #: By pair of tokens, as one number: whether the second may follow the first.
+        self.fits: dict[int, bool] = {}
 
     def _lengths(self, end: str) -> dict[str, list[int]]:
         found: dict[str, set[int]] = {}
@@ -150,10 +151,10 @@ class WordEncoder:
                 if token is not None:
                     if size == at:
                         return token, size
-                    pair = (last[at - size], token)
+                    pair = last[at - size] << 32 | token
                     fit = fits.get(pair)
                     if fit is None:
-                        fit = fits[pair] = self._apart(*pair)
+                        fit = fits[pair] = self._apart(last[at - size], token)
                     if fit:
                         return token, size
         return vocab[word[at - 1] + suffix], 1

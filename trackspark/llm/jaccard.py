@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from trackspark.llm.common import join_groups, materialise, only_ids, small_batches, without_ids
@@ -453,12 +453,13 @@ def components(links: DataFrame) -> DataFrame:
             "hooked",
         )
         own = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = materialise(
-            hooked.join(own, "label").select("node", "old", F.least("label", "above").alias("label")),
+        jumped = hooked.join(own, "label").select("node", "old", F.least("label", "above").alias("label"))
+        seen = Observation()
+        labels = materialise(
+            jumped.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("changed")).select("node", "label"),
             "labels",
         )
-        labels = jumped.select("node", "label")
-        if jumped.filter("old <> label").isEmpty():
+        if not seen.get["changed"]:
             return labels
 
 

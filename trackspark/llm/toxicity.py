@@ -21,7 +21,7 @@ LEAST_Z = 3.5
 BEGINNINGS = (4, 5, 6)
 FOLDS = 3
 #: Features that a task counts before it passes them on.
-HELD_FEATURES = 300_000
+HELD_FEATURES = 150_000
 STEPS = 150
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
