@@ -511,7 +511,7 @@ def designate_manual(spark, sf_dir):
 
 @query("designate_overlap_last_wins", f"WITH {LAB} SELECT designation, count(*) AS n FROM w GROUP BY designation")
 def designate_overlap_last_wins(spark, sf_dir):
-    labels = _labels(spark, sf_dir).toDF("name", "start_time", "end_time", "_row")
+    labels = _labels(spark, sf_dir).toDF("label", "start_time", "end_time", "_row")
     trace = events(spark, sf_dir).designate(labels=labels, cols="guess")
     return trace.df.groupBy("designation").agg(F.count("*").alias("n"))
 
