@@ -6,7 +6,6 @@ import os
 import duckdb
 import pytest
 
-from trackspark.llm import queries as corpus
 from trackspark.plans.catalogue import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -42,11 +41,3 @@ def test_query_gives_what_its_sql_gives(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_query_without_sql_runs(spark, name):
     assert QUERIES[name](spark, DATA).limit(5).count() > 0
-
-
-@pytest.mark.parametrize("name", sorted(corpus.ORACLES))
-def test_corpus_query_gives_what_its_sql_gives(spark, duck, name):
-    found = [r.asDict() for r in corpus.QUERIES[name](spark, DATA).collect()]
-    cursor = duck.execute(corpus.ORACLES[name])
-    columns = [d[0] for d in cursor.description]
-    assert rows(found) == rows([dict(zip(columns, r)) for r in cursor.fetchall()])
