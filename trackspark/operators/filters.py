@@ -206,26 +206,29 @@ def residual_sweep(
 ) -> DataFrame:
     """session, signal, cutoff, residual: the RMS of what each cutoff takes away.
 
-    Sessions meet the list of cutoffs (50 or so) by explode, and each pair of
-    session and cutoff is a task of its own.
+    A session's signal is shuffled once and meets all cutoffs in its task.
     """
     long = df.unpivot([*keys, TIME, ROW], list(columns), "signal", "value").filter("value is not null")
-    every = long.withColumn("cutoff", F.explode(F.array(*[F.lit(float(c)) for c in cutoffs])))
+    cuts = [float(c) for c in cutoffs]
 
-    def rms(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([TIME, ROW])
-        v, cut = part["value"].to_numpy(float), float(part["cutoff"].iloc[0])
+    def residual(v: np.ndarray, cutoff: float) -> float:
         try:
-            smooth = _smoothed(v, cut, rate, method, n, poly_order)
-            ok = ~np.isnan(smooth)
-            value = float(np.sqrt(np.mean((v[ok] - smooth[ok]) ** 2))) if ok.any() else math.nan
+            smooth = _smoothed(v, cutoff, rate, method, n, poly_order)
         except ValueError:  # a cutoff beyond the rate has no filter
-            value = math.nan
-        return part.iloc[:1][[*keys, "signal", "cutoff"]].assign(residual=value)
+            return math.nan
+        ok = ~np.isnan(smooth)
+        return float(np.sqrt(np.mean((v[ok] - smooth[ok]) ** 2))) if ok.any() else math.nan
+
+    def sweep(part: pd.DataFrame) -> pd.DataFrame:
+        v = part.sort_values([TIME, ROW])["value"].to_numpy(float)
+        out = pd.DataFrame({"cutoff": cuts, "residual": [residual(v, c) for c in cuts]})
+        for k in [*keys, "signal"]:
+            out[k] = part[k].iloc[0]
+        return out[[*keys, "signal", "cutoff", "residual"]]
 
     fields = [f for f in df.schema if f.name in keys]
     schema = StructType(fields).add("signal", "string").add("cutoff", "double").add("residual", "double")
-    return every.groupBy(*keys, "signal", "cutoff").applyInPandas(rms, schema).withColumn("residual", clean(F.col("residual")))
+    return long.groupBy(*keys, "signal").applyInPandas(sweep, schema).withColumn("residual", clean(F.col("residual")))
 
 
 def _smoothed(v: np.ndarray, cutoff: float, rate: float, method: str, n: int, order: int) -> np.ndarray:

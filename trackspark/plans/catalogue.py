@@ -203,7 +203,21 @@ def project_mercator(spark, sf_dir):
     return rounded(gps(spark, sf_dir).coordinate().df.select(SESSION, "_row", "x", "y", "z"), x=4, y=4)
 
 
-@query("project_utm")
+# Krüger's series to the third power of n, its constants worked out by SQL itself.
+UTM = f"""{C}, w AS (SELECT 1 / 298.257223563::DOUBLE AS f), n AS (SELECT f / (2 - f) AS n FROM w),
+    q AS (SELECT n, 6378137.0::DOUBLE / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) AS arc, n / 2 - 2 * n * n / 3 + 5 * n ** 3 / 16 AS a1,
+          13 * n * n / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3, 2 * sqrt(n) / (1 + n) AS e FROM n),
+    t AS (SELECT session_id, _row, lat, lng, q.*, radians(lng - 3) AS lam,
+          sinh(atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat)))) AS t FROM c, q),
+    v AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta FROM t)"""
+
+
+@query(
+    "project_utm",
+    f"""WITH {UTM} SELECT session_id, _row,
+    round(500000 + 0.9996::DOUBLE * arc * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS x,
+    round(10000000 + 0.9996::DOUBLE * arc * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS y FROM v""",
+)
 def project_utm(spark, sf_dir):
     return rounded(gps(spark, sf_dir).coordinate(crs=32731).df.select(SESSION, "_row", "x", "y"), x=3, y=3)
 
@@ -403,23 +417,75 @@ def clamp_non_negative(spark, sf_dir):
     return rounded(trace.df.select(SESSION, "_row", "f_velocity"), f_velocity=6)
 
 
-@query("butterworth")
+def _twice(cuts: str) -> str:
+    """Each session's x through a second-order Butterworth low pass and back, for each cutoff c of ``cuts`` (Hz).
+
+    The textbook biquad, run from rest as a recursion over six zeros beyond the end.
+    """
+    step = """SELECT p.session_id, p.i, l.c, l.b * p.x + 2 * l.b * l.x1 + l.b * l.x2 - l.a1 * l.v - l.a2 * l.v1 AS v,
+        l.v AS v1, p.x AS x1, l.x1 AS x2, l.b, l.a1, l.a2"""
+    return f"""{E}, o AS (SELECT session_id, _row, x, row_number() OVER (PARTITION BY session_id ORDER BY unix_time, _row) AS i,
+        count(*) OVER (PARTITION BY session_id) AS n FROM e WHERE x IS NOT NULL),
+    p AS (SELECT session_id, i, x FROM o UNION ALL SELECT session_id, n + j, 0.0 FROM o, range(1, 7) AS q(j) WHERE i = n),
+    k AS (SELECT c, tan(pi() * c / 10) AS k FROM ({cuts})),
+    h AS (SELECT c, k * k / (1 + sqrt(2) * k + k * k) AS b, 2 * (k * k - 1) / (1 + sqrt(2) * k + k * k) AS a1,
+          (1 - sqrt(2) * k + k * k) / (1 + sqrt(2) * k + k * k) AS a2 FROM k),
+    f AS (SELECT session_id, i, c, b * x AS v, 0.0::DOUBLE AS v1, x AS x1, 0.0::DOUBLE AS x2, b, a1, a2 FROM p, h WHERE i = 1
+          UNION ALL {step} FROM f AS l JOIN p ON p.session_id = l.session_id AND p.i = l.i + 1),
+    r AS (SELECT session_id, c, v AS x, max(i) OVER (PARTITION BY session_id, c) + 1 - i AS i FROM f),
+    g AS (SELECT session_id, i, c, b * x AS v, 0.0::DOUBLE AS v1, x AS x1, 0.0::DOUBLE AS x2, b, a1, a2 FROM r JOIN h USING (c) WHERE i = 1
+          UNION ALL {step} FROM g AS l JOIN r AS p ON p.session_id = l.session_id AND p.c = l.c AND p.i = l.i + 1),
+    s AS (SELECT o.session_id, o._row, o.x, o.n, g.c, g.v FROM o JOIN g ON g.session_id = o.session_id AND g.i = o.n + 7 - o.i)"""
+
+
+SWEEP = f"""{_twice("SELECT 0.1::DOUBLE + (4.75::DOUBLE - 0.1::DOUBLE) * j / 49 AS c FROM range(50) AS q(j)")},
+    m AS (SELECT session_id, c AS cutoff, sqrt(avg((x - v) * (x - v))) AS residual FROM s GROUP BY session_id, c)"""
+
+
+@query(
+    "butterworth",
+    f"""WITH RECURSIVE {_twice("SELECT 1.0::DOUBLE AS c")}
+    SELECT e.session_id, e._row, CASE WHEN n >= 4 THEN round(v, 6) + 0.0 END AS f_x FROM e LEFT JOIN s USING (session_id, _row)""",
+)
 def butterworth(spark, sf_dir):
     return _filtered(spark, sf_dir, "butterworth", cutoff=1, n=2)
 
 
-@query("residual_sweep")
+@query("residual_sweep", f"WITH RECURSIVE {SWEEP} SELECT session_id, 'x' AS signal, cutoff, round(residual, 6) AS residual FROM m")
 def residual_sweep(spark, sf_dir):
     curves, _, _ = events(spark, sf_dir).filtrate_cutoff("x")
     return rounded(curves, residual=6)
 
 
-@query("psd")
+# The Fourier sum of each frequency, term by term.
+PSD = f"""{E}, o AS (SELECT session_id, x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n
+        FROM e WHERE x IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY unix_time, _row)),
+    l AS (SELECT *, x - regr_intercept(x, i) OVER w - i * regr_slope(x, i) OVER w AS v, floor(n * 0.1::DOUBLE) AS m FROM o
+          WHERE n >= 4 WINDOW w AS (PARTITION BY session_id)),
+    t AS (SELECT *, CASE WHEN least(i, n - 1 - i) < m THEN 0.5 * (1 - cos(pi() * (2 * least(i, n - 1 - i) + 1) / (2 * m))) ELSE 1 END AS u FROM l),
+    smooth AS (SELECT 2 ** a * 3 ** b * 5 ** c AS q FROM range(21) AS a(a), range(13) AS b(b), range(9) AS c(c)),
+    size AS (SELECT n, (SELECT min(q) FROM smooth WHERE q >= n) AS long FROM (SELECT DISTINCT n FROM t)),
+    f AS (SELECT session_id, n, CAST(long AS BIGINT) AS long, list(v * u ORDER BY i) AS z, avg(u * u) AS kept FROM t JOIN size USING (n) GROUP BY ALL),
+    k AS (SELECT *, unnest(range(1, long // 2 + 1)) AS k FROM f),
+    d AS (SELECT session_id, n, long, kept, k, list_sum(list_transform(z, lambda y, i: y * cos(2 * pi() * k * (i - 1) / long))) AS re,
+          list_sum(list_transform(z, lambda y, i: y * sin(2 * pi() * k * (i - 1) / long))) AS im FROM k)"""
+
+
+@query(
+    "psd",
+    f"""WITH {PSD} SELECT session_id, 'x' AS signal, k * 10.0::DOUBLE / long AS freq,
+    round((re * re + im * im) / (n * 10) / kept, 6) AS power FROM d""",
+)
 def psd(spark, sf_dir):
     return rounded(filters.psd(events(spark, sf_dir).df, KEYS, ["x"], 10.0), power=6)
 
 
-@query("cutoff_elbow")
+@query(
+    "cutoff_elbow",
+    f"""WITH RECURSIVE {SWEEP}, z AS (SELECT *, abs(lead(residual) OVER w - 2 * residual + lag(residual) OVER w) AS bend FROM m
+        WINDOW w AS (PARTITION BY session_id ORDER BY cutoff))
+    SELECT session_id, 'x' AS signal, arg_max(cutoff, bend) AS cutoff FROM z GROUP BY session_id""",
+)
 def cutoff_elbow(spark, sf_dir):
     _, _, suggested = events(spark, sf_dir).filtrate_cutoff("x")
     return suggested
@@ -598,6 +664,42 @@ def rolling_mean(spark, sf_dir):
     return rounded(trace.df.select(SESSION, "_row", "roll"), roll=6)
 
 
+# Rates by session: times in units of 25,000, 12,500 or 8,333 seconds, so that the rates are about 1, 2 and 3
+RATES = f"""{E}, v AS (SELECT session_id, _row, x, y, unix_time * (1 + session_id % 3) / 25000.0::DOUBLE AS unix_time FROM e),
+    st AS (SELECT *, unix_time - lag(unix_time) OVER (PARTITION BY session_id ORDER BY _row) AS step FROM v),
+    hz AS (SELECT session_id, coalesce(round(1 / quantile_cont(CASE WHEN step > 0 THEN step END, 0.5), 2), 1) AS hz FROM st GROUP BY session_id),
+    sn AS (SELECT v.*, hz, CAST(round_even(unix_time * hz, 0) AS BIGINT) AS k FROM v JOIN hz USING (session_id)),
+    u AS (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY session_id, k ORDER BY _row) = 1),
+    b AS (SELECT session_id, hz, unnest(generate_series(min(k), max(k))) AS k FROM u GROUP BY session_id, hz),
+    r AS (SELECT b.session_id, b.hz, b.k, b.k / b.hz AS unix_time, u.x, u.y, u._row IS NULL AS is_new
+          FROM b LEFT JOIN u ON u.session_id = b.session_id AND u.k = b.k),
+    n AS (SELECT *, last_value(CASE WHEN NOT is_new THEN {{'k': k, 'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY k
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a,
+          first_value(CASE WHEN NOT is_new THEN {{'k': k, 'x': x, 'y': y}} END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY k
+            ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS z FROM r),
+    i AS (SELECT session_id, hz, greatest(CAST(floor(hz) AS BIGINT), 1) AS w, k, unix_time,
+          CASE WHEN NOT is_new THEN x WHEN z.k - a.k - 1 <= 5 THEN a.x + (z.x - a.x) * (k - a.k) / (z.k - a.k) END AS x,
+          CASE WHEN NOT is_new THEN y WHEN z.k - a.k - 1 <= 5 THEN a.y + (z.y - a.y) * (k - a.k) / (z.k - a.k) END AS y FROM n),
+    j AS (SELECT *, (x IS NULL OR y IS NULL)::INT AS gap, sum((x IS NULL OR y IS NULL)::INT) OVER (PARTITION BY session_id ORDER BY k) AS gaps FROM i),
+    d AS (SELECT h.session_id, h.hz, CASE WHEN h.gaps - o.gaps + o.gap = 0 THEN sqrt((h.x - o.x) ** 2 + (h.y - o.y) ** 2) END AS distance,
+          h.unix_time - o.unix_time AS dt FROM j h LEFT JOIN j o ON o.session_id = h.session_id AND o.k = h.k - h.w),
+    q AS (SELECT session_id, hz, coalesce(distance, 0) AS distance, coalesce(distance / dt, 0) AS velocity FROM d)"""
+
+
+@query(
+    "rate_default_chain",
+    f"""WITH {RATES} SELECT session_id, 'band_' || CAST(1 + (velocity >= 20)::INT + (velocity >= 50)::INT AS VARCHAR) AS allocation_1_velocity_band,
+    round(sum(distance), 4) AS total_distance, round(count(*) / max(hz), 6) AS seconds FROM q GROUP BY ALL""",
+)
+def rate_default_chain(spark, sf_dir):
+    whole = 1 + F.col(SESSION) % 3
+    trace = events(spark, sf_dir).transform(lambda d: d.withColumn(TIME, F.col(TIME) * whole / F.lit(25000.0))).interpolate()
+    trace = trace.derivate(use_filtered=False).allocate({"velocity": (0, 20, 50, 100)})
+    return trace.quantitate(
+        scope="session", total_distance=F.round(F.sum("distance"), 4), seconds=F.round(trace.band_duration(), 6)
+    )
+
+
 # Bands and summaries -----------------------------------------------------------------------
 
 SPEEDS = {"velocity": (0, 10, 20, 40, 80)}
