@@ -373,11 +373,15 @@ def sma_even(spark, sf_dir):
     return _filtered(spark, sf_dir, "moving_average", window=4)
 
 
+# 35 times the published weights of a quadratic over five points, by the point smoothed.
+SAVGOL_35 = ((31, 9, -3, -5, 3), (9, 13, 12, 6, -5), (-3, 12, 17, 12, -3), (-5, 6, 12, 13, 9), (3, -5, -3, 9, 31))
+
+
 def _savgol_sql() -> str:
-    w = filters.savgol_weights(2, 5)
+    w = SAVGOL_35
 
     def mix(row, values) -> str:
-        return " + ".join(f"({q!r}) * {v}" for q, v in zip(map(float, row), values))
+        return " + ".join(f"({q} / 35.0::DOUBLE) * {v}" for q, v in zip(row, values))
 
     inner = mix(w[2], ["lag(x, 2) OVER o", "lag(x, 1) OVER o", "x", "lead(x, 1) OVER o", "lead(x, 2) OVER o"])
     head = [f"nth_value(x, {i}) OVER a" for i in range(1, 6)]
