@@ -380,8 +380,9 @@ def _distance(a: str, b: str) -> Column:
 def may_link(a: str, b: str, percent: int) -> Column:
     """What must hold of two structs (node, n, at of a token they share, sketch) that link.
 
-    Their sizes are near; the shorter one has the token early in its prefix;
-    and the sets, so their sketches as well, differ in few tokens.
+    Their sizes are near; the token is as early in both as the first one that
+    they share must be; and the sets, so their sketches as well, differ in few
+    tokens.
     """
     x, y = F.col(f"{a}.n"), F.col(f"{b}.n")
     parts = F.lit(100 + percent)
@@ -390,9 +391,9 @@ def may_link(a: str, b: str, percent: int) -> Column:
         """The fewest tokens that two sets of so many in all have in common."""
         return F.floor((F.lit(percent) * total + parts - 1) / parts)
 
-    a_first = (x < y) | ((x == y) & (F.col(f"{a}.node") < F.col(f"{b}.node")))
-    early = F.when(a_first, F.col(f"{a}.at") <= x - least(2 * x)).otherwise(F.col(f"{b}.at") <= y - least(2 * y))
-    few = _distance(a, b) <= x + y - 2 * least(x + y)
+    both = least(x + y)
+    early = (F.col(f"{a}.at") <= x - both) & (F.col(f"{b}.at") <= y - both)
+    few = _distance(a, b) <= x + y - 2 * both
     return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & early & few
 
 
@@ -503,6 +504,42 @@ def nearest_pivots(placed: DataFrame, likely: Column, turn: int, percent: int) -
     )
 
 
+def joined_across(
+    cross: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """All links, and the labels that they give, once the pairs of ``cross`` are verified.
+
+    ``cross`` has pairs (a, b) with their components so far (low, high) and the
+    distance of their sketches. Of each pair of components the nearest pair of
+    nodes comes first; most of the others are within one component then, and
+    need no verification.
+    """
+    nearest = materialise(
+        cross.groupBy("low", "high")
+        .agg(F.min(F.struct("away", "a", "b")).alias("nearest"))
+        .select("nearest.a", "nearest.b"),
+        "nearest",
+    )
+    found = linked(nearest, sets, percent, "cross_links")
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        labels = components(links)
+    now = {end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in "ab"}
+    rest = (
+        cross.select("a", "b")
+        .join(nearest, ["a", "b"], "left_anti")
+        .join(now["a"], "a", "left")
+        .join(now["b"], "b", "left")
+        .filter(F.coalesce("a_label", "a") != F.coalesce("b_label", "b"))
+        .select("a", "b")
+    )
+    found = linked(materialise(rest, "rest"), sets, percent, "rest_links")
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        labels = components(links)
+    return links, labels
+
+
 def near_duplicates(
     docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -528,9 +565,11 @@ def near_duplicates(
     4. In each token's bucket, nodes in the most frequent component so far need
        nothing more from each other. The others meet the nodes of other
        components; only pairs whose sketches don't rule a link out are given.
-       They are filtered and verified likewise. No pair of different components is left out, so
-       the components are complete. Pairs that are near but do not link are the
-       only ones whose number can grow faster than the nodes.
+       They are filtered and verified likewise, first one pair for each pair of
+       components, then those that still are in two. No pair of different
+       components is left out, so the components are complete. Pairs that are
+       near but do not link are the only ones whose number can grow faster than
+       the nodes.
 
     Edge cases: a text without words, or null, has no shingles and links with
     nothing; one of fewer than ``width`` words has one; rows that repeat an id
@@ -614,12 +653,16 @@ def near_duplicates(
     cross = (
         minor.join(open_rows, "token")
         .filter((F.col("label_y") != F.col("label")) & once & may_link("x", "y", percent))
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        .select(
+            F.least("x.node", "y.node").alias("a"),
+            F.greatest("x.node", "y.node").alias("b"),
+            F.least("label", "label_y").alias("low"),
+            F.greatest("label", "label_y").alias("high"),
+            _distance("x", "y").alias("away"),
+        )
         .distinct()
     )
-    more_links = linked(materialise(cross, "cross"), sets, percent, "cross_links")
-    if not more_links.isEmpty():
-        labels = components(links.unionByName(more_links))
+    links, labels = joined_across(materialise(cross, "cross"), sets, links, labels, percent)
 
     named = labels.join(nodes, "node")
     whole = named.groupBy("label").agg(F.min("first").alias("component_id"))
