@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,11 +45,15 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='trackspark-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _local_dir()
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='trackspark-')}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, which :func:`release` deletes."""
     path = f"{shared_dir(spark)}/trackspark/{name}-{uuid.uuid4().hex}"
