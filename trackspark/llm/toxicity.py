@@ -23,6 +23,8 @@ FOLDS = 3
 #: Features that a task counts before it passes them on.
 HELD_FEATURES = 150_000
 STEPS = 150
+#: Training documents of which the fit works out sums at a time.
+BLOCK_ROWS = 1_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xD6E8FEB86659FD93)
@@ -95,10 +97,13 @@ def _sigmoid(z):
 
 
 class Rows:
-    """Training documents as index lists into the known features."""
+    """Training documents as index lists into the known features.
+
+    Sums go over blocks of documents, so that what they hold beside the lists is small.
+    """
 
     def __init__(self, lists: list[np.ndarray], width: int):
-        self.index = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        self.index = np.concatenate(lists, dtype=np.int32) if lists else np.zeros(0, np.int32)
         self.starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
         self.width = width
 
@@ -108,12 +113,25 @@ class Rows:
     def __len__(self) -> int:
         return len(self.starts) - 1
 
+    def _blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Of some documents at a time: which, where each one's list starts and ends, and the lists."""
+        for first in range(0, len(self), BLOCK_ROWS):
+            own = slice(first, min(first + BLOCK_ROWS, len(self)))
+            starts = self.starts[own.start : own.stop + 1]
+            yield own, starts - starts[0], self.index[starts[0] : starts[-1]]
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(weights[self.index])])
-        return sums[self.starts[1:]] - sums[self.starts[:-1]]
+        out = np.zeros(len(self))
+        for own, starts, index in self._blocks():
+            sums = np.concatenate([[0.0], np.cumsum(weights[index])])
+            out[own] = sums[starts[1:]] - sums[starts[:-1]]
+        return out
 
     def spread(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.index, np.repeat(values, np.diff(self.starts)), self.width)
+        out = np.zeros(self.width)
+        for own, starts, index in self._blocks():
+            out += np.bincount(index, np.repeat(values[own], np.diff(starts)), self.width)
+        return out
 
 
 def fit(rows: Rows, earlier: np.ndarray, y: np.ndarray, decay: float = 1e-4) -> Linear:
@@ -215,20 +233,19 @@ def _places(known: np.ndarray, own: np.ndarray) -> np.ndarray:
 
 
 def fit_chain(
-    known: np.ndarray, lists: list[np.ndarray], targets: Mapping[str, np.ndarray], folds: np.ndarray
+    known: np.ndarray, rows: Rows, targets: Mapping[str, np.ndarray], folds: np.ndarray
 ) -> Chain:
     """The chain of the categories of ``targets`` (0, 1 or NaN for no label).
 
-    ``lists`` has each training document's places in ``known``. A model's
+    ``rows`` has each training document's places in ``known``. A model's
     training rows get the earlier categories' probabilities from models that
     have not seen the row: those fitted on the other folds.
     """
-    rows = Rows(lists, len(known))
     earlier = np.zeros((len(rows), 0))
     models = []
     for k, y in enumerate(targets.values()):
         has = np.flatnonzero(~np.isnan(y))
-        models.append(fit(rows.take(has), earlier[has], y[has]))
+        models.append(fit(rows if len(has) == len(rows) else rows.take(has), earlier[has], y[has]))
         if k + 1 < len(targets):
             unseen = np.zeros(len(rows))
             for f in range(FOLDS):
@@ -277,9 +294,9 @@ def train(
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [_places(shared.value, features(t.as_py() or "")) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], names=["id", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["id", "places"])
 
-    placed = found.select("id", "text").mapInArrow(place, f"id {kind}, places array<long>")
+    placed = found.select("id", "text").mapInArrow(place, f"id {kind}, places array<int>")
     fitted = (
         placed.groupBy("id")
         .agg(F.min("places").alias("places"))
@@ -291,7 +308,10 @@ def train(
     )
     lists = [x.values.to_numpy() for x in fitted.column("places")]
     targets = {n: np.array(fitted.column(n).to_pylist(), float) for n in names}
-    return fit_chain(known, lists, targets, fitted.column("fold").to_numpy())
+    folds = fitted.column("fold").to_numpy()
+    rows = Rows(lists, len(known))
+    del fitted, lists  # the rows have their own copy
+    return fit_chain(known, rows, targets, folds)
 
 
 def default_categories() -> dict[str, Column]:
