@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trackspark.llm.common import small_batches
+from trackspark.llm.common import small_batches, tidy
 
-#: Distinct words whose encodings a Python worker keeps between batches.
+#: Distinct words whose encodings a task keeps between batches.
 KEEP_WORDS = 100_000
-#: Pairs of tokens of which a worker keeps whether one may follow the other.
+#: Pairs of tokens of which a task keeps whether one may follow the other.
 KEEP_PAIRS = 200_000
 #: Rows of one Arrow batch, so that a batch of long texts fits in memory.
 BATCH_ROWS = 256
@@ -223,6 +223,13 @@ def _byte_level(word: str) -> str:
     return word.encode().decode("latin-1").translate(_byte_symbols())
 
 
+def forget(path: str) -> None:
+    """Let go of the words that a task has met: its worker may serve other stages next."""
+    _, encoder, known = _tools(path)
+    known.clear()
+    encoder.fits.clear()
+
+
 def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, ids (binary), decoded.
 
@@ -234,7 +241,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     little-endian unsigned 32-bit integers, ``decoded`` is their text.
 
     Rows are mapped one to one, in Arrow batches of a few hundred rows, without
-    a shuffle; a worker keeps a bounded number of known words. A null text is
+    a shuffle; a task keeps a bounded number of known words. A null text is
     an empty one, with no tokens; long texts are encoded whole; repeated rows,
     null ids and other columns do no harm; an empty table gives an empty result.
     """
@@ -253,6 +260,7 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
                     ],
                     names=["id", "n_tokens", "ids", "decoded"],
                 )
+        forget(path)
 
     small_batches(docs.sparkSession)
     rows = docs.select(
@@ -260,5 +268,5 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     )
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
-        encode, f"id {kind}, n_tokens long, ids binary, decoded string"
+        tidy(encode), f"id {kind}, n_tokens long, ids binary, decoded string"
     ).withColumnRenamed("id", id_col)

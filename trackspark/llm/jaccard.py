@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from trackspark.llm.common import join_groups, materialise, only_ids, small_batches, without_ids
+from trackspark.llm.common import join_groups, materialise, only_ids, small_batches, tidy, without_ids
 
 #: Bytes of text whose shingles are worked out at a time.
 CHUNK_BYTES = 1 << 18
@@ -217,7 +217,7 @@ def profiles(docs: DataFrame, width: int, percent: int, shards: int) -> DataFram
     bits = _known_bits(percent)
     names = ["id", "n", "node", "shard", "cells"]
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(profile, f"id {kind}, n long, node long, shard int, cells binary")
+    return docs.mapInArrow(tidy(profile), f"id {kind}, n long, node long, shard int, cells binary")
 
 
 def _packed(cells: np.ndarray) -> bytes:
@@ -258,7 +258,7 @@ def frequencies(parts: DataFrame, percent: int, shards: int) -> Frequencies:
             yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array(packed, pa.binary())], names=["shard", "cells"])
 
     if pieces > 1:
-        parts = parts.mapInArrow(cut, "shard int, cells binary")
+        parts = parts.mapInArrow(tidy(cut), "shard int, cells binary")
 
     def count(key: tuple, group: pa.Table) -> pa.Table:
         k = key[0].as_py()
@@ -325,7 +325,7 @@ def postings(docs: DataFrame, known, width: int, percent: int) -> DataFrame:
                     names=["token", "node", "n", "at"],
                 )
 
-    return docs.mapInArrow(post, "token long, node long, n int, at int")
+    return docs.mapInArrow(tidy(post), "token long, node long, n int, at int")
 
 
 def _sketch(tokens: np.ndarray) -> np.ndarray:
@@ -361,7 +361,7 @@ def candidate_sets(docs: DataFrame, known, width: int, percent: int) -> DataFram
 
     words = "".join(f"{c} long, " for c in SKETCH)
     arrays = "".join(f"{c} array<int>, " for c in PREFIXES)
-    return docs.mapInArrow(sets, f"node long, n int, {words}{arrays}tokens binary")
+    return docs.mapInArrow(tidy(sets), f"node long, n int, {words}{arrays}tokens binary")
 
 
 def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -423,7 +423,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFr
                 keep.append(_links(x, y, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    found = whole.select("a", "b", "tokens_a", "tokens_b").mapInArrow(verify, "a long, b long")
+    found = whole.select("a", "b", "tokens_a", "tokens_b").mapInArrow(tidy(verify), "a long, b long")
     return materialise(found, name)
 
 

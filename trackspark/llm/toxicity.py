@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.llm.common import materialise, only_ids, small_batches, without_ids
+from trackspark.llm.common import materialise, only_ids, small_batches, tidy, without_ids
 
 #: Labelled documents that the classifiers are fitted on, at most.
 TRAIN_ROWS = 8_000
@@ -209,7 +209,7 @@ def telling(texts: DataFrame, names: Sequence[str]) -> DataFrame:
     counted = [f"{n}_{part}" for n in names for part in ("docs", "ones")]
     each = (
         texts.select("text", *names)
-        .mapInArrow(count, "feature long, " + ", ".join(f"{c} double" for c in counted))
+        .mapInArrow(tidy(count), "feature long, " + ", ".join(f"{c} double" for c in counted))
         .groupBy("feature")
         .agg(*[F.sum(c).alias(c) for c in counted])
     )
@@ -296,7 +296,7 @@ def train(
             own = [_places(shared.value, features(t.as_py() or "")) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["id", "places"])
 
-    placed = found.select("id", "text").mapInArrow(place, f"id {kind}, places array<int>")
+    placed = found.select("id", "text").mapInArrow(tidy(place), f"id {kind}, places array<int>")
     fitted = (
         placed.groupBy("id")
         .agg(F.min("places").alias("places"))
@@ -352,7 +352,7 @@ def score(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return (
-        rows.mapInArrow(predict, ", ".join([f"id {kind}", *[f"{n} double" for n in names]]))
+        rows.mapInArrow(tidy(predict), ", ".join([f"id {kind}", *[f"{n} double" for n in names]]))
         .withColumn("rejected", F.col(names[-1]) >= threshold)
         .withColumnRenamed("id", id_col)
     )
