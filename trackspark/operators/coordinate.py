@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.functions.columns import ROW, session
+from trackspark.operators import projections
 
-# Units per metre, and the WGS 84 ellipsoid.
+# Units per metre, and the radius of the sphere of EPSG:3857.
 PER_METRE = {
     "mm": 1000.0,
     "cm": 100.0,
@@ -21,7 +22,7 @@ PER_METRE = {
     "yd": 1.09361,
     "mi": 0.000621371,
 }
-RADIUS, FLATTENING, UTM_SCALE, FALSE_EAST, FALSE_NORTH = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0, 10000000.0
+RADIUS = 6378137.0
 
 
 def drop_zero_gps(df: DataFrame) -> DataFrame:
@@ -36,45 +37,28 @@ def mercator(lat: Column, lng: Column) -> tuple[Column, Column]:
     return x, y
 
 
-def utm(lat: Column, lng: Column, zone: int, south: bool) -> tuple[Column, Column]:
-    """Transverse Mercator by Krüger's series in the third flattening."""
-    n = FLATTENING / (2 - FLATTENING)
-    arc = RADIUS / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
-    alpha = (
-        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16,
-        13 * n**2 / 48 - 3 * n**3 / 5,
-        61 * n**3 / 240,
-    )
-    e = 2 * math.sqrt(n) / (1 + n)
-    phi, lam = F.radians(lat), F.radians(lng - F.lit(6.0 * zone - 183.0))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - F.lit(e) * F.atanh(F.lit(e) * s))
-    xi = F.atan2(t, F.cos(lam))
-    eta = F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    east, north = eta, xi
-    for j, a in enumerate(alpha, 1):
-        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-    k = UTM_SCALE * arc
-    return FALSE_EAST + k * east, (FALSE_NORTH if south else 0.0) + k * north
-
-
-def projected(lat: Column, lng: Column, crs: int) -> tuple[Column, Column]:
+def positions(df: DataFrame, crs: int) -> DataFrame:
+    """x, y in metres of lat, lng."""
     if crs == 4326:
         raise ValueError("EPSG:4326 is in degrees; choose a projected system such as 3857 or a UTM zone")
     if crs == 3857:
-        return mercator(lat, lng)
-    if 32601 <= crs <= 32660 or 32701 <= crs <= 32760:
-        return utm(lat, lng, crs % 100, crs >= 32700)
-    raise ValueError(f"EPSG:{crs} is not supported: 3857, 32601-32660 and 32701-32760 are")
+        x, y = mercator(F.col("lat"), F.col("lng"))
+        return df.withColumns({"x": x, "y": y})
+    out = projections.project(df, projections.system(crs))
+    return out.withColumns({"x": F.col(projections.EAST), "y": F.col(projections.NORTH)}).drop(projections.EAST, projections.NORTH)
+
+
+def point(spark: SparkSession, lat: float, lng: float, crs: int) -> tuple[float, float]:
+    """x, y of one position."""
+    one = spark.createDataFrame([(float(lat), float(lng))], "lat double, lng double")
+    return tuple(positions(one, crs).select("x", "y").first())
 
 
 def project(df: DataFrame, crs: int) -> DataFrame:
     """x, y in metres where both lat and lng are there; z is the altitude or 0."""
     there = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    x, y = projected(F.col("lat"), F.col("lng"), crs)
     z = F.coalesce("altitude", F.lit(0.0)) if "altitude" in df.columns else F.lit(0.0)
-    return df.withColumns({"x": F.when(there, x), "y": F.when(there, y), "z": z})
+    return positions(df, crs).withColumns({"x": F.when(there, F.col("x")), "y": F.when(there, F.col("y")), "z": z})
 
 
 def convert_units(df: DataFrame, from_units: str | None, to_units: str) -> DataFrame:
@@ -109,10 +93,7 @@ def rotate(df: DataFrame, sideline: Sequence[Sequence[float]], crs: int | None)
     """
     points = [tuple(map(float, p)) for p in sideline]
     if crs is not None:
-        spark = df.sparkSession
-        rows = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "i int, lat double, lng double")
-        x, y = projected(F.col("lat"), F.col("lng"), crs)
-        points = [(r["x"], r["y"]) for r in rows.select("i", x.alias("x"), y.alias("y")).orderBy("i").collect()]
+        points = [point(df.sparkSession, *p, crs) for p in points]
     (x0, y0), (x1, y1) = points
     angle = -math.atan2(y1 - y0, x1 - x0)
     c, s = math.cos(angle), math.sin(angle)

@@ -222,6 +222,92 @@ def project_utm(spark, sf_dir):
     return rounded(gps(spark, sf_dir).coordinate(crs=32731).df.select(SESSION, "_row", "x", "y"), x=3, y=3)
 
 
+# Positions near a place: a sixtieth of the degrees of the others.
+def near(spark, sf_dir, lat: float, lng: float, crs: int) -> DataFrame:
+    def moved(d: DataFrame) -> DataFrame:
+        zero = (F.col("lat") == 0) & (F.col("lng") == 0)
+        places = {"lat": F.lit(lat) + F.col("lat") / 60, "lng": F.lit(lng) + F.col("lng") / 60}
+        return d.withColumns({c: F.when(zero, 0.0).otherwise(p) for c, p in places.items()})
+
+    trace = gps(spark, sf_dir).transform(moved).coordinate(crs=crs)
+    return rounded(trace.df.select(SESSION, "_row", "x", "y"), x=3, y=3)
+
+
+def _near_sql(lat: float, lng: float) -> str:
+    return f"{C}, o AS (SELECT session_id, _row, radians({lat}::DOUBLE + lat / 60) AS phi, {lng}::DOUBLE + lng / 60 AS lng FROM c)"
+
+
+# The textbook's two-parallel conic on GRS 80, its constants worked out by SQL itself.
+LCC = f"""{_near_sql(47.0, 5.5)},
+    ell AS (SELECT sqrt(2 / 298.257222101::DOUBLE - 1 / 298.257222101::DOUBLE ** 2) AS e),
+    q AS (SELECT e, phi, cos(phi) / sqrt(1 - (e * sin(phi)) ** 2) AS m, tan(pi() / 4 - phi / 2) / ((1 - e * sin(phi)) / (1 + e * sin(phi))) ** (e / 2) AS t,
+          deg FROM ell, (SELECT radians(deg) AS phi, deg FROM (VALUES (49.0::DOUBLE), (44.0::DOUBLE), (46.5::DOUBLE)) AS v(deg))),
+    k AS (SELECT a.e, (ln(a.m) - ln(b.m)) / (ln(a.t) - ln(b.t)) AS n, a.m AS m1, a.t AS t1, o.t AS t0
+          FROM q a, q b, q o WHERE a.deg = 49 AND b.deg = 44 AND o.deg = 46.5),
+    r AS (SELECT session_id, _row, n, radians(lng - 3.0::DOUBLE) * n AS theta, 6378137.0::DOUBLE * m1 / (n * t1 ** n) * t0 ** n AS r0,
+          6378137.0::DOUBLE * m1 / (n * t1 ** n)
+          * (tan(pi() / 4 - phi / 2) / ((1 - e * sin(phi)) / (1 + e * sin(phi))) ** (e / 2)) ** n AS r FROM o, k)"""
+
+
+@query(
+    "project_lcc",
+    f"WITH {LCC} SELECT session_id, _row, round(700000 + r * sin(theta), 3) AS x, round(6600000 + r0 - r * cos(theta), 3) AS y FROM r",
+)
+def project_lcc(spark, sf_dir):
+    return near(spark, sf_dir, 47.0, 5.5, 2154)
+
+
+# Geocentric positions, the seven parameters turned round, Bowring's latitude, and Krüger's series on the Airy ellipsoid.
+SHIFTED = f"""{_near_sql(53.0, 0.5)},
+    w AS (SELECT 1 / 298.257223563::DOUBLE AS f, 1 / 299.3249646::DOUBLE AS lf, 6377563.396::DOUBLE AS la,
+          pi() / 648000 AS sec, 1 - 20.489e-6::DOUBLE AS m),
+    ell AS (SELECT *, f * (2 - f) AS e2, lf * (2 - lf) AS le2, la * (1 - lf) AS lb, lf / (2 - lf) AS n FROM w),
+    c1 AS (SELECT session_id, _row, ell.*, 6378137.0::DOUBLE / sqrt(1 - e2 * sin(phi) ** 2) AS nu, phi, radians(lng) AS lam FROM o, ell),
+    c2 AS (SELECT *, (nu * cos(phi) * cos(lam) - 446.448::DOUBLE) / m AS x1, (nu * cos(phi) * sin(lam) + 125.157::DOUBLE) / m AS y1,
+           (nu * (1 - e2) * sin(phi) - 542.06::DOUBLE) / m AS z1 FROM c1),
+    c3 AS (SELECT *, x1 + 0.842::DOUBLE * sec * y1 - 0.247::DOUBLE * sec * z1 AS x2, y1 - 0.842::DOUBLE * sec * x1 + 0.15::DOUBLE * sec * z1 AS y2,
+           z1 + 0.247::DOUBLE * sec * x1 - 0.15::DOUBLE * sec * y1 AS z2 FROM c2),
+    c4 AS (SELECT *, sqrt(x2 * x2 + y2 * y2) AS p, atan2(z2 * la, sqrt(x2 * x2 + y2 * y2) * lb) AS theta FROM c3),
+    c5 AS (SELECT session_id, _row, n, la, atan2(z2 + le2 / (1 - le2) * lb * sin(theta) ** 3, p - le2 * la * cos(theta) ** 3) AS phi,
+           atan2(y2, x2) + radians(2.0::DOUBLE) AS lam, 2 * sqrt(n) / (1 + n) AS ecc, la / (1 + n) * (1 + n * n / 4 + n ** 4 / 64) AS arc,
+           n / 2 - 2 * n * n / 3 + 5 * n ** 3 / 16 AS a1, 13 * n * n / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM c4),
+    c6 AS (SELECT *, sinh(atanh(sin(phi)) - ecc * atanh(ecc * sin(phi))) AS t,
+           atan(sinh(atanh(sin(radians(49.0::DOUBLE))) - ecc * atanh(ecc * sin(radians(49.0::DOUBLE))))) AS xi0 FROM c5),
+    c7 AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta,
+           xi0 + a1 * sin(2 * xi0) + a2 * sin(4 * xi0) + a3 * sin(6 * xi0) AS north0 FROM c6)"""
+
+
+@query(
+    "project_tm_shifted",
+    f"""WITH {SHIFTED} SELECT session_id, _row,
+    round(400000 + 0.9996012717::DOUBLE * arc * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS x,
+    round(-100000 + 0.9996012717::DOUBLE * arc * (xi - north0 + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS y FROM c7""",
+)
+def project_tm_shifted(spark, sf_dir):
+    return near(spark, sf_dir, 53.0, 0.5, 27700)
+
+
+LAEA = f"""{_near_sql(51.0, 12.5)},
+    ell AS (SELECT 2 / 298.257222101::DOUBLE - 1 / 298.257222101::DOUBLE ** 2 AS e2),
+    par AS (SELECT e2, sqrt(e2) AS e, radians(52.0::DOUBLE) AS phi0 FROM ell),
+    q0 AS (SELECT *, (1 - e2) * (1 / (1 - e2) - ln((1 - e) / (1 + e)) / (2 * e)) AS qp,
+           (1 - e2) * (sin(phi0) / (1 - e2 * sin(phi0) ** 2) - ln((1 - e * sin(phi0)) / (1 + e * sin(phi0))) / (2 * e)) AS q FROM par),
+    k AS (SELECT *, asin(q / qp) AS b0, 6378137.0::DOUBLE * sqrt(qp / 2) AS rq,
+          6378137.0::DOUBLE * cos(phi0) / sqrt(1 - e2 * sin(phi0) ** 2) / (6378137.0::DOUBLE * sqrt(qp / 2) * cos(asin(q / qp))) AS d FROM q0),
+    b AS (SELECT session_id, _row, k.*, radians(lng - 10.0::DOUBLE) AS lam,
+          asin((1 - e2) * (sin(phi) / (1 - e2 * sin(phi) ** 2) - ln((1 - e * sin(phi)) / (1 + e * sin(phi))) / (2 * e)) / qp) AS beta FROM o, k),
+    r AS (SELECT *, rq * sqrt(2 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(lam))) AS s FROM b)"""
+
+
+@query(
+    "project_laea",
+    f"""WITH {LAEA} SELECT session_id, _row, round(4321000 + s * d * cos(beta) * sin(lam), 3) AS x,
+    round(3210000 + s / d * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(lam)), 3) AS y FROM r""",
+)
+def project_laea(spark, sf_dir):
+    return near(spark, sf_dir, 51.0, 12.5, 3035)
+
+
 @query(
     "utm_zone",
     f"""WITH {C}, m AS (SELECT session_id, quantile_cont(lat, 0.5) AS la, quantile_cont(lng, 0.5) AS lo FROM g GROUP BY session_id)

@@ -237,10 +237,7 @@ class Trace:
             raise ValueError("to is 'xyz'")
         self.validate(*(("lat", "lng") if source == "latlong" else ("x", "y")))
         if origin_latlng is not None:
-            spark = self.df.sparkSession
-            point = spark.createDataFrame([tuple(map(float, origin_latlng))], "lat double, lng double")
-            x, y = coordinate.projected(F.col("lat"), F.col("lng"), crs)
-            norm = tuple(point.select(x, y).first())
+            norm = coordinate.point(self.df.sparkSession, *origin_latlng, crs)
         df = coordinate.coordinate(self.df, self.keys, source, crs, norm, from_units, to_units, rotate, drop_outliers)
         notes = []
         if source == "latlong" and crs == 3857:
