@@ -115,20 +115,29 @@ def drop_outliers(df: DataFrame, keys: Sequence[str], k: float = 3.0) -> DataFra
     ).drop("__out")
 
 
-def utm_zone(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """session, zone, epsg: the UTM zone of each session's median position."""
+def utm_zone(df: DataFrame, keys: Sequence[str], **more: Column) -> DataFrame:
+    """session, zone, epsg: the UTM zone of each session's median position; ``more`` are of its lat and lng."""
     at = df.groupBy(*keys).agg(
         F.percentile("lat", F.lit(0.5)).alias("lat"), F.percentile("lng", F.lit(0.5)).alias("lng")
     )
     zone = (F.floor((F.col("lng") + 180) / 6) + 1).cast("int")
-    return at.select(*keys, zone.alias("zone"), (F.when(F.col("lat") >= 0, 32600).otherwise(32700) + zone).alias("epsg"))
+    return at.select(*keys, zone.alias("zone"), (F.when(F.col("lat") >= 0, 32600).otherwise(32700) + zone).alias("epsg"), *[c.alias(n) for n, c in more.items()])
+
+
+#: Stretch in percent from which EPSG:3857 is worth a warning.
+LEAST_STRETCH = 0.5
 
 
 def mercator_stretch(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """session, stretch: how much longer than true 3857 makes distances there."""
-    return df.groupBy(*keys).agg(
-        (1 / F.cos(F.radians(F.percentile("lat", F.lit(0.5)))) - 1).alias("stretch")
-    )
+    """session, stretch, percent, epsg, warning: how much longer than true 3857 makes distances.
+
+    A session whose median position is stretched by half a percent or more has
+    a warning that names its UTM zone; others, and those of no position, have none.
+    """
+    zones = utm_zone(df, keys, stretch=1 / F.cos(F.radians(F.abs("lat"))) - 1)
+    out = zones.withColumn("percent", F.round(100 * F.col("stretch"), 1))
+    text = F.format_string("EPSG:3857 stretches distances by %.1f%% here; EPSG:%d does not", "percent", "epsg")
+    return out.select(*keys, "stretch", "percent", "epsg", F.when(F.col("percent") >= LEAST_STRETCH, text).alias("warning"))
 
 
 def coordinate(

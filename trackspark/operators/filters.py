@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -135,7 +135,8 @@ def by_session(
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values([TIME, ROW]).reset_index(drop=True)
-        rule = made(float(part[RATE].iloc[0]) if RATE in part else None)
+        own = float(part[RATE].iloc[0]) if RATE in part else math.nan
+        rule = made(None if math.isnan(own) else own)
         for source, name in columns.items():
             v = part[source].to_numpy(float)
             ok = ~np.isnan(v)
@@ -194,11 +195,18 @@ def filtrate(
     )
 
 
+def _signals(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rate: float) -> DataFrame:
+    """keys, time, row, signal, value and ``__rate``: each session's own rate, or else ``rate``."""
+    own = F.coalesce(RATE, F.lit(float(rate))) if RATE in df.columns else F.lit(float(rate))
+    slim = df.select(*keys, TIME, ROW, own.alias("__rate"), *columns)
+    return slim.unpivot([*keys, TIME, ROW, "__rate"], list(columns), "signal", "value").filter("value is not null")
+
+
 def residual_sweep(
     df: DataFrame,
     keys: Sequence[str],
     columns: Sequence[str],
-    cutoffs: Sequence[float],
+    cutoffs: Sequence[float] | Callable[[float], Sequence[float]],
     rate: float,
     method: str = "butterworth",
     n: int = 2,
@@ -206,14 +214,14 @@ def residual_sweep(
 ) -> DataFrame:
     """session, signal, cutoff, residual: the RMS of what each cutoff takes away.
 
-    A session's signal is shuffled once and meets all cutoffs in its task.
+    ``cutoffs`` may be a function of a session's rate, which is its own where it
+    has one. A session's signal is shuffled once and meets all cutoffs in its task.
     """
-    long = df.unpivot([*keys, TIME, ROW], list(columns), "signal", "value").filter("value is not null")
-    cuts = [float(c) for c in cutoffs]
+    cuts = cutoffs if callable(cutoffs) else lambda _: [float(c) for c in cutoffs]
 
-    def residual(v: np.ndarray, cutoff: float) -> float:
+    def residual(v: np.ndarray, cutoff: float, own: float) -> float:
         try:
-            smooth = _smoothed(v, cutoff, rate, method, n, poly_order)
+            smooth = _smoothed(v, cutoff, own, method, n, poly_order)
         except ValueError:  # a cutoff beyond the rate has no filter
             return math.nan
         ok = ~np.isnan(smooth)
@@ -221,13 +229,15 @@ def residual_sweep(
 
     def sweep(part: pd.DataFrame) -> pd.DataFrame:
         v = part.sort_values([TIME, ROW])["value"].to_numpy(float)
-        out = pd.DataFrame({"cutoff": cuts, "residual": [residual(v, c) for c in cuts]})
+        own = float(part["__rate"].iloc[0])
+        out = pd.DataFrame({"cutoff": cuts(own), "residual": [residual(v, c, own) for c in cuts(own)]})
         for k in [*keys, "signal"]:
             out[k] = part[k].iloc[0]
         return out[[*keys, "signal", "cutoff", "residual"]]
 
     fields = [f for f in df.schema if f.name in keys]
     schema = StructType(fields).add("signal", "string").add("cutoff", "double").add("residual", "double")
+    long = _signals(df, keys, columns, rate)
     return long.groupBy(*keys, "signal").applyInPandas(sweep, schema).withColumn("residual", clean(F.col("residual")))
 
 
@@ -278,11 +288,11 @@ def _rest(n: int) -> int:
 
 def psd(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rate: float) -> DataFrame:
     """session, signal, freq, power."""
-    long = df.unpivot([*keys, TIME, ROW], list(columns), "signal", "value").filter("value is not null")
+    long = _signals(df, keys, columns, rate)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         v = part.sort_values([TIME, ROW])["value"].to_numpy(float)
-        freq, power = spectrum(v, rate) if len(v) >= 4 else (np.zeros(0), np.zeros(0))
+        freq, power = spectrum(v, float(part["__rate"].iloc[0])) if len(v) >= 4 else (np.zeros(0), np.zeros(0))
         out = pd.DataFrame({"freq": freq, "power": power})
         for k in [*keys, "signal"]:
             out[k] = part[k].iloc[0]
@@ -293,18 +303,85 @@ def psd(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rate: float)
     return long.groupBy(*keys, "signal").applyInPandas(run, schema)
 
 
-def elbows(residuals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """session, signal, cutoff: where a residual curve bends most.
+def knots(x: np.ndarray) -> np.ndarray:
+    """Knots of a smoothing spline: all points, or a part of them that grows slower from 50 on."""
+    n = len(x)
+    size = {50: 50.0, 200: 100.0, 800: 140.0, 3200: 200.0}  # fixed values: knots at so many points
+    if n < 50:
+        return x
+    if n >= 3200:
+        many = 200 + (n - 3200) ** 0.2
+    else:
+        low = max(k for k in size if k <= n)
+        high = min(k for k in size if k > n)
+        many = 2 ** (math.log2(size[low]) + math.log2(size[high] / size[low]) * (n - low) / (high - low))
+    return x[np.floor(np.linspace(0, n - 1, int(many + 1e-9)) + 1e-9).astype(int)]
+
+
+def b_splines(knot: np.ndarray, x: np.ndarray, derivative: int = 0) -> np.ndarray:
+    """Cubic B-splines over the knots (the outer ones fourfold) at x: a column for each."""
+    t = np.concatenate([[knot[0]] * 3, knot, [knot[-1]] * 3])
+    at = np.clip(np.searchsorted(knot, x, "right") - 1, 0, len(knot) - 2) + 3
+    out = (np.arange(len(t) - 1) == at[:, None]).astype(float)
+
+    def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.zeros(np.broadcast(a, b).shape), where=b != 0)
+
+    for degree in range(1, 4):
+        m = len(t) - 1 - degree
+        left, right = t[degree : degree + m] - t[:m], t[degree + 1 : degree + 1 + m] - t[1 : 1 + m]
+        if degree > 3 - derivative:
+            out = degree * (ratio(out[:, :m], left) - ratio(out[:, 1 : m + 1], right))
+        else:
+            here = x[:, None]
+            out = ratio((here - t[:m]) * out[:, :m], left) + ratio((t[degree + 1 : degree + 1 + m] - here) * out[:, 1 : m + 1], right)
+    return out
+
 
-    The largest second difference of the curve (per step of the cutoffs), or
-    the smallest residual with fewer than four points. An approximation: a
-    smoothing spline's curvature is not worked out.
+@lru_cache(maxsize=64)
+def bending(x: tuple[float, ...], spar: float) -> np.ndarray:
+    """The matrix that takes values at x to the second derivatives there of their smoothing spline.
+
+    The spline has the least sum of squared deviations plus a penalty times the
+    integral of its squared second derivative. The penalty is
+    256^(3 spar - 1) times the ratio of the traces of both parts, without the
+    outer B-splines, over x scaled to 0 ... 1.
     """
-    by_cutoff = Window.partitionBy(*keys, "signal").orderBy("cutoff")
-    bend = F.abs(F.lead("residual").over(by_cutoff) - 2 * F.col("residual") + F.lag("residual").over(by_cutoff))
-    marked = residuals.filter("residual is not null").withColumn("__bend", bend)
-    return marked.groupBy(*keys, "signal").agg(
-        F.when(F.count("*") >= 4, F.max_by("cutoff", F.struct("__bend", -F.col("cutoff"))))
-        .otherwise(F.min_by("cutoff", F.struct("residual", "cutoff")))
-        .alias("cutoff")
-    )
+    u = np.array(x)
+    u = (u - u[0]) / (u[-1] - u[0])
+    knot = knots(u)
+    design = b_splines(knot, u)
+    width = np.diff(knot)
+    # Second derivatives are linear between knots: two points of Gauss are exact for their products.
+    roughness = 0.0
+    for g in (-1, 1):
+        bend = b_splines(knot, knot[:-1] + width * (1 + g / math.sqrt(3)) / 2, 2)
+        roughness = roughness + (bend * width[:, None] / 2).T @ bend
+    fit, inner = design.T @ design, slice(2, design.shape[1] - 3)
+    penalty = np.trace(fit[inner, inner]) / np.trace(roughness[inner, inner]) * 256 ** (3 * spar - 1)
+    return b_splines(knot, u, 2) @ np.linalg.solve(fit + penalty * roughness, design.T)
+
+
+def elbow(x: np.ndarray, y: np.ndarray, spar: float = 0.6) -> float:
+    """Where the smoothing spline of a curve bends most; of fewer than four points the lowest."""
+    order = np.argsort(x, kind="stable")
+    x, first = np.unique(x[order], return_index=True)
+    y = y[order][first]
+    return float(x[y.argmin()] if len(x) < 4 else x[np.abs(bending(tuple(x), spar) @ y).argmax()])
+
+
+def elbows(residuals: DataFrame, keys: Sequence[str], spar: float = 0.6) -> DataFrame:
+    """session, signal, cutoff: where a residual curve bends most, by its smoothing spline.
+
+    A curve has a point for each cutoff, so a group is small; curves over the
+    same cutoffs share one factorised system in a worker.
+    """
+
+    def find(part: pd.DataFrame) -> pd.DataFrame:
+        at = elbow(part["cutoff"].to_numpy(float), part["residual"].to_numpy(float), spar)
+        return part[[*keys, "signal"]].head(1).assign(cutoff=at)
+
+    fields = [f for f in residuals.schema if f.name in (*keys, "signal")]
+    schema = StructType([f for k in (*keys, "signal") for f in fields if f.name == k]).add("cutoff", "double")
+    there = residuals.filter("residual is not null").select(*keys, "signal", "cutoff", "residual")
+    return there.groupBy(*keys, "signal").applyInPandas(find, schema)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trackspark.functions.columns import RATE, TIME, finite, in_order
@@ -28,21 +28,54 @@ def windows(given: int | Mapping[str, int] | None, rate: float) -> dict[str, int
     return {n: int(w) for n, w in found.items()}
 
 
-def difference(c: str, w: WindowSpec, rows: int) -> Column:
-    return F.col(c) - F.lag(c, rows).over(w)
+#: What one span of rows is in the order that _key gives: any number from the largest span on.
+UNIT = 1 << 20
 
 
-def elapsed(w: WindowSpec, rows: int) -> Column:
-    dt = difference(TIME, w, rows)
-    return F.when(dt > 0, dt)
+@dataclass(frozen=True)
+class Span:
+    """A number of rows back: the same for all sessions, or each session's own.
 
+    A session's own number w is a column, so ``lag`` can't take it. Rows are
+    numbered n = 0, 1, 2 ..., and UNIT * n / w, rounded down, orders them as n
+    does; w rows are exactly UNIT of it. A frame of that range begins with the
+    row to be found, for all sessions in one window.
+    """
+
+    keys: tuple[str, ...]
+    rows: int | None = None
+
+    def before(self, c: str) -> Column:
+        if self.rows is not None:
+            return F.lag(c, self.rows).over(in_order(self.keys))
+        return F.when(F.col("__n") >= F.col("__w"), F.first(c).over(self.frame()))
+
+    def frame(self) -> WindowSpec:
+        if self.rows is not None:
+            return in_order(self.keys).rowsBetween(-self.rows, 0)
+        return Window.partitionBy(*self.keys).orderBy("__key").rangeBetween(-UNIT, 0)
+
+    def difference(self, c: str) -> Column:
+        return F.col(c) - self.before(c)
 
-def gapless(w: WindowSpec, rows: int, *columns: str) -> Column:
-    """Whether none of the columns is null in the rows that the difference spans."""
-    missing = F.lit(False)
-    for c in columns:
-        missing = missing | F.col(c).isNull()
-    return ~F.max(missing).over(w.rowsBetween(-rows, 0))
+    def elapsed(self) -> Column:
+        dt = self.difference(TIME)
+        return F.when(dt > 0, dt)
+
+    def gapless(self, *columns: str) -> Column:
+        """Whether none of the columns is null in the rows that the difference spans."""
+        missing = F.lit(False)
+        for c in columns:
+            missing = missing | F.col(c).isNull()
+        return ~F.max(missing).over(self.frame())
+
+
+def with_spans(df: DataFrame, keys: Sequence[str], rate: float) -> DataFrame:
+    """``__w``, rows of each session's own span (its whole rate), with what Span orders by."""
+    width = F.greatest(F.floor(F.coalesce(RATE, F.lit(float(rate)))), F.lit(1)).cast("long")
+    number = (F.row_number().over(in_order(keys)) - 1).cast("long")
+    out = df.withColumns({"__w": width, "__n": number})
+    return out.withColumn("__key", F.expr(f"__n * {UNIT} div __w"))
 
 
 def derivate(
@@ -54,48 +87,43 @@ def derivate(
     signed_omega: bool = False,
     derivatives: Sequence[str] | None = None,
     rate: float = 5,
-    rates: Sequence[int] = (),
+    own_rates: bool = False,
 ) -> DataFrame:
     """distance, heading and the asked-for derivatives; others of them are dropped.
 
-    ``rates`` are the whole frame rates of the sessions, where they have their own.
+    With ``own_rates`` a span that is not given is each session's own rate.
     """
     wanted = tuple(derivatives or DEFAULT)
     if unknown := set(wanted) - set(OPTIONAL):
         raise ValueError(f"unknown derivatives: {', '.join(sorted(unknown))}")
-    if rates and window is None or isinstance(window, Mapping) and rates:
-        # Sessions of one rate have one window: a part of the trace for each.
-        parts = [
-            derivate(
-                df.filter(F.greatest(F.floor(RATE), F.lit(1)) == r), keys, use_filtered, window, speed_floor,
-                signed_omega, derivatives, r,
-            )
-            for r in rates
-        ]
-        return reduce(DataFrame.unionByName, parts)
     rows = windows(window, rate)
-    w = in_order(keys)
+    own = own_rates and not isinstance(window, int)
+    given = window if isinstance(window, Mapping) else {}
+    v, o, a, j = (
+        Span(tuple(keys), None if own and n not in given else rows[n])
+        for n in ("velocity", "angular_velocity", "acceleration", "jerk")
+    )
     smooth = use_filtered and {"f_x", "f_y"} <= set(df.columns)
     x, y = ("f_x", "f_y") if smooth else ("x", "y")
 
-    v, o, a, j = (rows[n] for n in ("velocity", "angular_velocity", "acceleration", "jerk"))
-    dx, dy = difference(x, w, v), difference(y, w, v)
-    out = df.withColumn("distance", F.when(gapless(w, v, x, y), F.sqrt(dx * dx + dy * dy)))
-    out = out.withColumn("velocity", F.col("distance") / elapsed(w, v))
+    dx, dy = v.difference(x), v.difference(y)
+    out = with_spans(df, keys, rate) if own else df
+    out = out.withColumn("distance", F.when(v.gapless(x, y), F.sqrt(dx * dx + dy * dy)))
+    out = out.withColumn("velocity", F.col("distance") / v.elapsed())
     heading = F.atan2(dy, dx) * F.lit(180.0 / math.pi)
     out = out.withColumn("heading", F.when(F.col("velocity") >= speed_floor, heading))
 
-    turn = difference("heading", w, o) + 180.0
-    omega = (turn - 360.0 * F.floor(turn / 360.0) - 180.0) / elapsed(w, o)
+    turn = o.difference("heading") + 180.0
+    omega = (turn - 360.0 * F.floor(turn / 360.0) - 180.0) / o.elapsed()
     out = out.withColumn("angular_velocity", omega if signed_omega else F.abs(omega))
     out = out.withColumn(
         "acceleration",
-        F.when(gapless(w, a, "velocity"), difference("velocity", w, a) / elapsed(w, a)),
+        F.when(a.gapless("velocity"), a.difference("velocity") / a.elapsed()),
     )
     if "jerk" in wanted:
         out = out.withColumn(
             "jerk",
-            F.when(gapless(w, j, "acceleration"), difference("acceleration", w, j) / elapsed(w, j)),
+            F.when(j.gapless("acceleration"), j.difference("acceleration") / j.elapsed()),
         )
     zero = F.lit(0.0)
     omega = F.col("angular_velocity")
@@ -109,4 +137,4 @@ def derivate(
     if "lateral_g" in wanted:
         force = F.col("velocity") * F.col("angular_velocity") * (math.pi / 180.0) / GRAVITY
         out = out.withColumn("lateral_g", F.when(F.col("velocity") >= speed_floor, force).otherwise(zero))
-    return out.drop(*[c for c in OPTIONAL if c not in wanted])
+    return out.drop("__w", "__n", "__key", *[c for c in OPTIONAL if c not in wanted])

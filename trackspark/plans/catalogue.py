@@ -365,6 +365,18 @@ def drop_outliers_iqr(spark, sf_dir):
     return events(spark, sf_dir).coordinate("xyz", drop_outliers=True).df.select(SESSION, "_row", "x", "y")
 
 
+@query(
+    "crs_check",
+    f"""WITH {C}, m AS (SELECT session_id, quantile_cont(lat, 0.5) AS la, quantile_cont(lng, 0.5) AS lo FROM p GROUP BY session_id),
+    s AS (SELECT session_id, round(100 * (1 / cos(radians(abs(la))) - 1), 1) AS percent,
+          CAST(CASE WHEN la >= 0 THEN 32600 ELSE 32700 END + floor((lo + 180) / 6) + 1 AS INT) AS epsg FROM m)
+    SELECT session_id, percent, epsg, percent >= 0.5 AS warned FROM s""",
+)
+def crs_check(spark, sf_dir):
+    checked = gps(spark, sf_dir).coordinate().quality("crs")
+    return checked.select(SESSION, "percent", "epsg", F.col("warning").isNotNull().alias("warned"))
+
+
 # Resampling ----------------------------------------------------------------------
 
 L = """l AS (SELECT l_suppkey AS session_id, CAST(round_even(epoch(l_shipdate) * (1.0::DOUBLE / 3600.0::DOUBLE), 0) AS BIGINT) AS k,
@@ -508,33 +520,40 @@ def clamp_non_negative(spark, sf_dir):
 
 
 def _twice(cuts: str) -> str:
-    """Each session's x through a second-order Butterworth low pass and back, for each cutoff c of ``cuts`` (Hz).
+    """Each session's x through a second-order Butterworth low pass and back, for each cutoff c of ``cuts``.
 
-    The textbook biquad, run from rest as a recursion over six zeros beyond the end.
+    ``cuts`` has session_id, c and the session's rate (both in Hz). The textbook
+    biquad, run from rest as a recursion over six zeros beyond the end.
     """
     step = """SELECT p.session_id, p.i, l.c, l.b * p.x + 2 * l.b * l.x1 + l.b * l.x2 - l.a1 * l.v - l.a2 * l.v1 AS v,
         l.v AS v1, p.x AS x1, l.x1 AS x2, l.b, l.a1, l.a2"""
     return f"""{E}, o AS (SELECT session_id, _row, x, row_number() OVER (PARTITION BY session_id ORDER BY unix_time, _row) AS i,
         count(*) OVER (PARTITION BY session_id) AS n FROM e WHERE x IS NOT NULL),
     p AS (SELECT session_id, i, x FROM o UNION ALL SELECT session_id, n + j, 0.0 FROM o, range(1, 7) AS q(j) WHERE i = n),
-    k AS (SELECT c, tan(pi() * c / 10) AS k FROM ({cuts})),
-    h AS (SELECT c, k * k / (1 + sqrt(2) * k + k * k) AS b, 2 * (k * k - 1) / (1 + sqrt(2) * k + k * k) AS a1,
+    k AS (SELECT session_id, c, tan(pi() * c / rate) AS k FROM ({cuts})),
+    h AS (SELECT session_id, c, k * k / (1 + sqrt(2) * k + k * k) AS b, 2 * (k * k - 1) / (1 + sqrt(2) * k + k * k) AS a1,
           (1 - sqrt(2) * k + k * k) / (1 + sqrt(2) * k + k * k) AS a2 FROM k),
-    f AS (SELECT session_id, i, c, b * x AS v, 0.0::DOUBLE AS v1, x AS x1, 0.0::DOUBLE AS x2, b, a1, a2 FROM p, h WHERE i = 1
+    f AS (SELECT session_id, i, c, b * x AS v, 0.0::DOUBLE AS v1, x AS x1, 0.0::DOUBLE AS x2, b, a1, a2 FROM p JOIN h USING (session_id) WHERE i = 1
           UNION ALL {step} FROM f AS l JOIN p ON p.session_id = l.session_id AND p.i = l.i + 1),
     r AS (SELECT session_id, c, v AS x, max(i) OVER (PARTITION BY session_id, c) + 1 - i AS i FROM f),
-    g AS (SELECT session_id, i, c, b * x AS v, 0.0::DOUBLE AS v1, x AS x1, 0.0::DOUBLE AS x2, b, a1, a2 FROM r JOIN h USING (c) WHERE i = 1
+    g AS (SELECT session_id, i, c, b * x AS v, 0.0::DOUBLE AS v1, x AS x1, 0.0::DOUBLE AS x2, b, a1, a2 FROM r JOIN h USING (session_id, c) WHERE i = 1
           UNION ALL {step} FROM g AS l JOIN r AS p ON p.session_id = l.session_id AND p.c = l.c AND p.i = l.i + 1),
     s AS (SELECT o.session_id, o._row, o.x, o.n, g.c, g.v FROM o JOIN g ON g.session_id = o.session_id AND g.i = o.n + 7 - o.i)"""
 
 
-SWEEP = f"""{_twice("SELECT 0.1::DOUBLE + (4.75::DOUBLE - 0.1::DOUBLE) * j / 49 AS c FROM range(50) AS q(j)")},
-    m AS (SELECT session_id, c AS cutoff, sqrt(avg((x - v) * (x - v))) AS residual FROM s GROUP BY session_id, c)"""
+def _sweep_sql(rate: str) -> str:
+    """Residuals of the 50 default cutoffs, for a rate in Hz of each session."""
+    cuts = f"""SELECT session_id, 0.1::DOUBLE + (0.95::DOUBLE * rate / 2 - 0.1::DOUBLE) * j / 49 AS c, rate
+        FROM (SELECT DISTINCT session_id, {rate} AS rate FROM e), range(50) AS q(j)"""
+    return f"""{_twice(cuts)}, m AS (SELECT session_id, c AS cutoff, sqrt(avg((x - v) * (x - v))) AS residual FROM s GROUP BY session_id, c)"""
+
+
+SWEEP = _sweep_sql("10.0::DOUBLE")
 
 
 @query(
     "butterworth",
-    f"""WITH RECURSIVE {_twice("SELECT 1.0::DOUBLE AS c")}
+    f"""WITH RECURSIVE {_twice("SELECT DISTINCT session_id, 1.0::DOUBLE AS c, 10.0::DOUBLE AS rate FROM e")}
     SELECT e.session_id, e._row, CASE WHEN n >= 4 THEN round(v, 6) + 0.0 END AS f_x FROM e LEFT JOIN s USING (session_id, _row)""",
 )
 def butterworth(spark, sf_dir):
@@ -547,6 +566,24 @@ def residual_sweep(spark, sf_dir):
     return rounded(curves, residual=6)
 
 
+OWN_RATE = "CASE session_id % 4 WHEN 0 THEN 2.0::DOUBLE WHEN 1 THEN 5.0::DOUBLE WHEN 2 THEN 10.0::DOUBLE ELSE 20.0::DOUBLE END"
+
+
+def own_rate() -> Column:
+    k = F.col(SESSION) % 4
+    return F.when(k == 0, 2.0).when(k == 1, 5.0).when(k == 2, 10.0).otherwise(20.0)
+
+
+@query(
+    "rate_cutoff",
+    f"""WITH RECURSIVE {_sweep_sql(OWN_RATE)} SELECT session_id, 'x' AS signal, round(cutoff, 9) AS cutoff, round(residual, 6) AS residual FROM m""",
+)
+def rate_cutoff(spark, sf_dir):
+    """Sessions of 2, 5, 10 and 20 frames a second, each up to 0.95 of its own Nyquist rate."""
+    curves, _, _ = events(spark, sf_dir).transform(lambda d: d.withColumn("_hz", own_rate())).filtrate_cutoff("x")
+    return rounded(curves, cutoff=9, residual=6)
+
+
 # The Fourier sum of each frequency, term by term.
 PSD = f"""{E}, o AS (SELECT session_id, x, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY session_id) AS n
         FROM e WHERE x IS NOT NULL WINDOW w AS (PARTITION BY session_id ORDER BY unix_time, _row)),
@@ -570,15 +607,32 @@ def psd(spark, sf_dir):
     return rounded(filters.psd(events(spark, sf_dir).df, KEYS, ["x"], 10.0), power=6)
 
 
+# Second derivatives g of the smoothing spline with all 50 cutoffs as knots: a symmetric system of five
+# diagonals (a, b, c), solved by its LDL factors. The traces are those of the inner B-splines on equal steps h.
+ELBOW = f"""{SWEEP},
+    n AS (SELECT *, row_number() OVER w - 1 AS i, (lead(residual) OVER w - 2 * residual + lag(residual) OVER w) * 49 AS bend FROM m
+          WINDOW w AS (PARTITION BY session_id ORDER BY cutoff)),
+    lam AS (SELECT 1 / 49::DOUBLE AS h, (53 / 144::DOUBLE + 46 * 0.5::DOUBLE) / ((4.5::DOUBLE + 46 * 8 / 3::DOUBLE) * 49 ** 3) * 256 ** 0.8::DOUBLE AS l),
+    co AS (SELECT 2 * h / 3 + 6 * l / h ** 2 AS a, h / 6 - 4 * l / h ** 2 AS b, l / h ** 2 AS c FROM lam),
+    fac AS (SELECT 1 AS i, a AS d, b / a AS e, c / a AS f, 0::DOUBLE AS dp, 0::DOUBLE AS fp, a, b, c FROM co
+            UNION ALL SELECT i + 1, a - d * e * e - dp * fp * fp, (b - d * e * f) / (a - d * e * e - dp * fp * fp),
+                      c / (a - d * e * e - dp * fp * fp), d, f, a, b, c FROM fac WHERE i < 48),
+    z AS (SELECT session_id, 1 AS i, bend AS z, 0::DOUBLE AS zp FROM n WHERE i = 1
+          UNION ALL SELECT z.session_id, z.i + 1, n.bend - fac.e * z.z - fac.fp * z.zp, z.z
+          FROM z JOIN n ON n.session_id = z.session_id AND n.i = z.i + 1 JOIN fac ON fac.i = z.i WHERE z.i < 48),
+    gamma AS (SELECT session_id, i, z / d AS g, 0::DOUBLE AS gn FROM z JOIN fac USING (i) WHERE i = 48
+          UNION ALL SELECT g.session_id, g.i - 1, z.z / fac.d - fac.e * g.g - fac.f * g.gn, g.g
+          FROM gamma AS g JOIN z ON z.session_id = g.session_id AND z.i = g.i - 1 JOIN fac ON fac.i = g.i - 1)"""
+
+
 @query(
     "cutoff_elbow",
-    f"""WITH RECURSIVE {SWEEP}, z AS (SELECT *, abs(lead(residual) OVER w - 2 * residual + lag(residual) OVER w) AS bend FROM m
-        WINDOW w AS (PARTITION BY session_id ORDER BY cutoff))
-    SELECT session_id, 'x' AS signal, arg_max(cutoff, bend) AS cutoff FROM z GROUP BY session_id""",
+    f"""WITH RECURSIVE {ELBOW}
+    SELECT session_id, 'x' AS signal, arg_max(round(cutoff, 9), abs(gamma.g)) AS cutoff FROM gamma JOIN n USING (session_id, i) GROUP BY session_id""",
 )
 def cutoff_elbow(spark, sf_dir):
     _, _, suggested = events(spark, sf_dir).filtrate_cutoff("x")
-    return suggested
+    return rounded(suggested, cutoff=9)
 
 
 # Kinematics -----------------------------------------------------------------------
@@ -754,10 +808,12 @@ def rolling_mean(spark, sf_dir):
     return rounded(trace.df.select(SESSION, "_row", "roll"), roll=6)
 
 
-# Rates by session: times in units of 25,000, 12,500 or 8,333 seconds, so that the rates are about 1, 2 and 3
-RATES = f"""{E}, v AS (SELECT session_id, _row, x, y, unix_time * (1 + session_id % 3) / 25000.0::DOUBLE AS unix_time FROM e),
+# Rates by session: times in units of 25,000, 12,500 or 8,333 seconds, so that the rates are about 1, 2 and 3.
+def _rates_sql(view: str, given: str = "NULL") -> str:
+    """The chain of grid, fill and derivatives of a view whose sessions have their own rates, or those of ``given``."""
+    return f"""{E}, v AS ({view}),
     st AS (SELECT *, unix_time - lag(unix_time) OVER (PARTITION BY session_id ORDER BY _row) AS step FROM v),
-    hz AS (SELECT session_id, coalesce(round(1 / quantile_cont(CASE WHEN step > 0 THEN step END, 0.5), 2), 1) AS hz FROM st GROUP BY session_id),
+    hz AS (SELECT session_id, coalesce({given}, round(1 / quantile_cont(CASE WHEN step > 0 THEN step END, 0.5), 2), 1) AS hz FROM st GROUP BY session_id),
     sn AS (SELECT v.*, hz, CAST(round_even(unix_time * hz, 0) AS BIGINT) AS k FROM v JOIN hz USING (session_id)),
     u AS (SELECT * FROM sn QUALIFY row_number() OVER (PARTITION BY session_id, k ORDER BY _row) = 1),
     b AS (SELECT session_id, hz, unnest(generate_series(min(k), max(k))) AS k FROM u GROUP BY session_id, hz),
@@ -776,6 +832,9 @@ RATES = f"""{E}, v AS (SELECT session_id, _row, x, y, unix_time * (1 + session_i
     q AS (SELECT session_id, hz, coalesce(distance, 0) AS distance, coalesce(distance / dt, 0) AS velocity FROM d)"""
 
 
+RATES = _rates_sql("SELECT session_id, _row, x, y, unix_time * (1 + session_id % 3) / 25000.0::DOUBLE AS unix_time FROM e")
+
+
 @query(
     "rate_default_chain",
     f"""WITH {RATES} SELECT session_id, 'band_' || CAST(1 + (velocity >= 20)::INT + (velocity >= 50)::INT AS VARCHAR) AS allocation_1_velocity_band,
@@ -790,6 +849,30 @@ def rate_default_chain(spark, sf_dir):
     )
 
 
+# Sessions of about 2, 5, 10 and 20 frames a second that keep their rates, and the same ones at 5 by request.
+STACK = _rates_sql(
+    f"""SELECT session_id, _row, x, y, unix_time / (25000 * ({OWN_RATE})) AS unix_time FROM e
+        UNION ALL SELECT session_id + 100000, _row, x, y, unix_time / 125000.0::DOUBLE FROM e""",
+    "CASE WHEN session_id >= 100000 THEN 5.0::DOUBLE END",
+)
+
+
+@query(
+    "rate_stack_chain",
+    f"""WITH {STACK} SELECT session_id, 'band_' || CAST(1 + (velocity >= 20)::INT + (velocity >= 50)::INT AS VARCHAR) AS allocation_1_velocity_band,
+    round(sum(distance), 4) AS total_distance, round(count(*) / max(hz), 6) AS seconds FROM q GROUP BY ALL""",
+)
+def rate_stack_chain(spark, sf_dir):
+    own = events(spark, sf_dir).transform(lambda d: d.withColumn(TIME, F.col(TIME) / (25000 * own_rate()))).interpolate()
+    five = events(spark, sf_dir).transform(
+        lambda d: d.withColumns({SESSION: F.col(SESSION) + 100000, TIME: F.col(TIME) / F.lit(125000.0)})
+    )
+    trace = own.stack(five.interpolate(hz=5.0)).derivate(use_filtered=False).allocate({"velocity": (0, 20, 50, 100)})
+    return trace.quantitate(
+        scope="session", total_distance=F.round(F.sum("distance"), 4), seconds=F.round(trace.band_duration(), 6)
+    )
+
+
 # Bands and summaries -----------------------------------------------------------------------
 
 SPEEDS = {"velocity": (0, 10, 20, 40, 80)}

@@ -69,7 +69,7 @@ class Step:
 class Trace:
     """Sessions by ``keys``, rows by unix_time and _row. Verbs give a new trace.
 
-    No verb runs a job (but derivate, which asks for the rates where each session has its own); metadata, quality and reports are worked out when read.
+    No verb runs a job (but designate, which counts a table of labels up to a bound); metadata, quality and reports are worked out when read.
     """
 
     df: DataFrame
@@ -168,15 +168,26 @@ class Trace:
         return self
 
     def stack(self, *others: Trace) -> Trace:
-        """The sessions of several traces in one; columns that one lacks are null."""
-        df = self.df
-        for o in others:
-            df = df.unionByName(o.df, allowMissingColumns=True)
-        initial = self.initial
+        """The sessions of several traces in one; columns that one lacks are null.
+
+        Traces of different rates keep them: each row then has its session's.
+        Metadata on which the traces differ is left out.
+        """
+        traces = [self, *others]
+        rates = {t.rate(0.0) for t in traces}
+        own = any(t.own_rates() for t in traces) or len(rates) > 1
+
+        def rows(t: Trace) -> DataFrame:
+            known = t.rate(0.0) or None
+            return t.df if not own or t.own_rates() else t.df.withColumn(RATE, F.lit(known).cast("double"))
+
+        df, initial = rows(self), self.initial
         for o in others:
+            df = df.unionByName(rows(o), allowMissingColumns=True)
             if initial is not None and o.initial is not None:
                 initial = initial.unionByName(o.initial, allowMissingColumns=True)
-        return replace(self, df=df, initial=initial)
+        shared = {k: v for k, v in self.metadata.items() if all(k in o.metadata and o.metadata[k] == v for o in others)}
+        return replace(self, df=df, initial=initial, metadata=shared)
 
     def write(self, path: str) -> None:
         """Parquet of the rows, the metadata and the log."""
@@ -215,9 +226,14 @@ class Trace:
         return default
 
     def own_rates(self) -> bool:
-        """Whether each session has its own rate, from an interpolation without ``hz``."""
+        """Whether each session has its own rate, from an interpolation without ``hz`` or a stack."""
         return RATE in self.df.columns
 
+    def rates(self, default: float) -> Column:
+        """The rate of each row's session; the trace's where it has none of its own."""
+        known = F.lit(self.rate(default))
+        return F.coalesce(RATE, known) if self.own_rates() else known
+
     # Verbs -----------------------------------------------------------------
 
     def coordinate(
@@ -241,7 +257,7 @@ class Trace:
         df = coordinate.coordinate(self.df, self.keys, source, crs, norm, from_units, to_units, rotate, drop_outliers)
         notes = []
         if source == "latlong" and crs == 3857:
-            notes.append("EPSG:3857 stretches distances by 1 / cos(latitude); quality('crs') has each session's share")
+            notes.append("quality('crs') warns of sessions that EPSG:3857 stretches by 0.5 % or more")
         detail = {"source": source, "crs": crs, "norm": norm, "units": [from_units, to_units], "rotate": rotate, "drop_outliers": drop_outliers}
         return self._after("coordinate", df, detail, notes)
 
@@ -278,12 +294,15 @@ class Trace:
 
         The cutoffs go from ``low`` to ``high``: by default 0.1 Hz to 0.95 of the
         Nyquist rate for Butterworth, and 0.01 to 0.5 for other methods (alpha,
-        or one over the window).
+        or one over the window). A session with its own rate is analysed at it.
         """
         rate = self.rate(10)
-        first, last = (0.1, 0.95 * rate / 2) if method == "butterworth" else (0.01, 0.5)
-        first, last = first if low is None else low, last if high is None else high
-        cutoffs = [first + (last - first) * i / (steps - 1) for i in range(steps)]
+
+        def cutoffs(own: float) -> list[float]:
+            first, last = (0.1, 0.95 * own / 2) if method == "butterworth" else (0.01, 0.5)
+            first, last = first if low is None else low, last if high is None else high
+            return [first + (last - first) * i / (steps - 1) for i in range(steps)]
+
         columns = filters.targets(self.df, target)
         curves = filters.residual_sweep(self.df, self.keys, columns, cutoffs, rate, method)
         return curves, filters.psd(self.df, self.keys, columns, rate), filters.elbows(curves, self.keys)
@@ -298,12 +317,8 @@ class Trace:
     ) -> Trace:
         """distance, heading and derivatives by backward differences."""
         self.validate("x", "y")
-        rates: list[int] = []
-        if self.own_rates() and not isinstance(window, int):
-            whole = F.greatest(F.floor(RATE), F.lit(1)).cast("int")
-            rates = sorted(r[0] for r in self.df.select(whole).distinct().collect())  # kinds of device
         df = kinematics.derivate(
-            self.df, self.keys, use_filtered, window, speed_floor, signed_omega, derivatives, self.rate(5), rates
+            self.df, self.keys, use_filtered, window, speed_floor, signed_omega, derivatives, self.rate(5), self.own_rates()
         )
         detail = {"window": window, "speed_floor": speed_floor, "signed_omega": signed_omega, "derivatives": derivatives}
         return self._after("derivate", df, detail)
@@ -323,7 +338,7 @@ class Trace:
             return self._after("designate", df, {"method": "manual", "cols": cols})
         points = int(5 * self.rate(10)) if min_pts is None else min_pts
         own = self.own_rates() and min_pts is None
-        df = segment.designate(self.df, self.keys, v_threshold, F.floor(5 * F.col(RATE)) if own else points)
+        df = segment.designate(self.df, self.keys, v_threshold, F.floor(5 * self.rates(10)) if own else points)
         points = "5 seconds" if own else points
         return self._after("designate", df, {"method": "changepoint", "v_threshold": v_threshold, "min_pts": points})
 
@@ -371,7 +386,7 @@ class Trace:
         return summarise.quantitate(self.df, keys, measures, allocation, derivative, scope, active_only, extra_keys)
 
     def band_duration(self) -> Column:
-        return summarise.band_duration(F.col(RATE) if self.own_rates() else self.rate(10))
+        return summarise.band_duration(self.rates(10) if self.own_rates() else self.rate(10))
 
     # Metadata and quality ----------------------------------------------------
 
