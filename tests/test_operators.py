@@ -98,10 +98,9 @@ def test_bands_at_their_edges(spark):
 
 def test_utm_of_a_known_point(spark):
     df = spark.createDataFrame([(0.0, 3.0)], "lat double, lng double")
-    x, y = coordinate.projected(F.col("lat"), F.col("lng"), 32631)
-    assert tuple(df.select(x, y).first()) == pytest.approx((500000.0, 0.0), abs=1e-3)
+    assert tuple(coordinate.positions(df, 32631).select("x", "y").first()) == pytest.approx((500000.0, 0.0), abs=1e-3)
     with pytest.raises(ValueError):
-        coordinate.projected(F.col("lat"), F.col("lng"), 4326)
+        coordinate.positions(df, 4326)
 
 
 def test_kept_traces_and_reports(spark, tmp_path):

@@ -1,8 +1,8 @@
 """Smoothing, and the choice of a cutoff.
 
 Moving averages and Savitzky-Golay filters are window expressions. Recursive
-filters and spectra run by session in Arrow batches: one session at a time is
-in a worker's memory.
+filters and spectra run by session in Arrow: one session at a time is in a
+worker's memory, and recursions take blocks of samples, not single ones.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructType
 
 from trackspark.functions.columns import RATE, ROW, TIME, clean
+from trackspark.operators.sessions import by_session
 
 METHODS = {"butterworth", "sma", "ema", "savgol"}
 ALIASES = {"moving_average": "sma", "savitzky_golay": "savgol"}
+#: Values that a series must have to be smoothed.
+LEAST_VALUES = 4
 DERIVED = ("velocity", "acceleration", "angular_velocity")
 
 
@@ -79,12 +82,59 @@ def savgol(c: str, keys: Sequence[str], order: int, n: int) -> Column:
     return out.otherwise(inner)
 
 
+#: Samples that a recursive filter takes in one matrix product.
+BLOCK = 128
+
+
+class Recursion:
+    """A recursive filter as a linear map of its state, many samples at a time.
+
+    After a block of samples x the state s is A^n s + G x, and what the filter
+    gives is H x + O s: no sample waits for the one before it, only a block's
+    state for that of the block before. States of blocks compose the same way,
+    so a series may also be cut anywhere and its pieces joined by their states.
+    """
+
+    def __init__(self, b: np.ndarray, a: np.ndarray):
+        k = max(len(a), len(b)) - 1
+        b, a = (np.pad(np.asarray(q, float) / a[0], (0, k + 1 - len(q))) for q in (b, a))
+        self.step = np.eye(k, k=1)
+        self.step[:, 0] -= a[1:]
+        self.enter = b[1:] - a[1:] * b[0]
+        reach = [np.eye(k)[0]]  # row i: what comes out i samples after a state
+        for _ in range(BLOCK):
+            reach.append(reach[-1] @ self.step)
+        self.out = np.array(reach[:BLOCK])
+        response = np.concatenate([[b[0]], self.out[: BLOCK - 1] @ self.enter])
+        lags = np.arange(BLOCK)[:, None] - np.arange(BLOCK)
+        self.within = np.where(lags >= 0, response[np.maximum(lags, 0)], 0.0)
+        powers = [self.enter]
+        for _ in range(BLOCK - 1):
+            powers.append(self.step @ powers[-1])
+        self.gather = np.array(powers[::-1])  # row i: what sample i leaves in the block's last state
+
+    def run(self, v: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The filtered series and the state after it; from rest, or from a state."""
+        state = np.zeros(len(self.step)) if state is None else state
+        many = len(v) // BLOCK
+        blocks = v[: many * BLOCK].reshape(many, BLOCK)
+        left, whole = blocks @ self.gather, np.linalg.matrix_power(self.step, BLOCK)
+        states = np.empty((many, len(state)))
+        for i in range(many):
+            states[i] = state
+            state = whole @ state + left[i]
+        rest = v[many * BLOCK :]
+        n = len(rest)
+        tail = self.within[:n, :n] @ rest + self.out[:n] @ state
+        state = np.linalg.matrix_power(self.step, n) @ state + rest @ self.gather[BLOCK - n :]
+        return np.concatenate([(blocks @ self.within.T + states @ self.out.T).ravel(), tail]), state
+
+
 def ema(v: np.ndarray, alpha: float) -> np.ndarray:
-    out, at = np.empty(len(v)), math.nan
-    for i, x in enumerate(v):
-        at = x if math.isnan(at) else alpha * x + (1 - alpha) * at
-        out[i] = at
-    return out
+    """An exponential average that begins with the first value."""
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha is above 0 and at most 1")
+    return pd.Series(v).ewm(alpha=alpha, adjust=False).mean().to_numpy()
 
 
 def butterworth_design(order: int, cutoff: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -103,54 +153,49 @@ def butterworth_design(order: int, cutoff: float, kind: str) -> tuple[np.ndarray
     return b * np.polyval(a, at) / np.polyval(b, at), a
 
 
-def recursive(b: np.ndarray, a: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """A direct-form recursive filter from rest."""
-    out = np.convolve(v, b)[: len(v)]
-    back = [-float(q) for q in a[1:]]
-    held = [0.0] * len(back)
-    for i, x in enumerate(out):
-        y = x + sum(q * h for q, h in zip(back, held))
-        held = [y, *held[:-1]]
-        out[i] = y
-    return out
+@lru_cache(maxsize=256)
+def _recursion(b: tuple[float, ...], a: tuple[float, ...]) -> Recursion:
+    return Recursion(b, a)
 
 
 def zero_phase(b: np.ndarray, a: np.ndarray, v: np.ndarray, edge: str = "zero") -> np.ndarray:
     """Forward and backward, after padding the end with zeros (or by reflection of both ends)."""
+    way = _recursion(tuple(b), tuple(a))
+
+    def both(x: np.ndarray) -> np.ndarray:
+        return way.run(way.run(x)[0][::-1])[0][::-1]
+
     if edge == "reflect":
         n = min(3 * max(len(a), len(b)), len(v) - 1)
         v = np.concatenate([2 * v[0] - v[n:0:-1], v, 2 * v[-1] - v[-2 : -n - 2 : -1]])
-        return recursive(b, a, recursive(b, a, v)[::-1])[::-1][n : len(v) - n]
-    padded = np.concatenate([v, np.zeros(2 * max(len(a), len(b)))])
-    return recursive(b, a, recursive(b, a, padded)[::-1])[::-1][: len(v)]
+        return both(v)[n : len(v) - n]
+    return both(np.concatenate([v, np.zeros(2 * max(len(a), len(b)))]))[: len(v)]
 
 
-def by_session(
+def by_valid(
     df: DataFrame, keys: Sequence[str], columns: dict[str, str], made: Callable[[float | None], Callable[[np.ndarray], np.ndarray]]
 ) -> DataFrame:
     """Apply a rule to each session's non-null values of a column, in order of time.
 
-    ``made`` gives the rule for a session's own frame rate, or for none.
+    ``columns`` are the new columns by their sources. ``made`` gives the rule for
+    a session's own frame rate, or for none. Series of fewer than
+    LEAST_VALUES values give nulls.
     """
+    rated = RATE in df.columns
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([TIME, ROW]).reset_index(drop=True)
-        own = float(part[RATE].iloc[0]) if RATE in part else math.nan
-        rule = made(None if math.isnan(own) else own)
+    def run(read: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        own = float(read[RATE][0]) if rated else math.nan
+        rule, out = made(None if math.isnan(own) else own), {}
         for source, name in columns.items():
-            v = part[source].to_numpy(float)
+            v = read[source].astype(float)
             ok = ~np.isnan(v)
-            out = np.full(len(v), np.nan)
-            if ok.sum() >= 4:
-                out[ok] = rule(v[ok])
-            part[name] = out
-        return part
+            out[name] = np.full(len(v), np.nan)
+            if ok.sum() >= LEAST_VALUES:
+                out[name][ok] = rule(v[ok])
+        return out
 
-    have = [f for f in df.schema if f.name not in columns.values()]
-    schema = StructType(have + [StructField(n, DoubleType()) for n in columns.values()])
-    kept = df.select(*[f.name for f in have], *[c for c in columns if c not in {f.name for f in have}])
-    out = kept.groupBy(*keys).applyInPandas(run, StructType([f for f in schema]))
-    return out.withColumns({n: clean(F.col(n)) for n in columns.values()})
+    needs = [*columns, *([RATE] if rated else [])]
+    return by_session(df, keys, (TIME, ROW), needs, dict.fromkeys(columns.values(), DoubleType()), run)
 
 
 def filtrate(
@@ -186,9 +231,7 @@ def filtrate(
 
         if RATE not in df.columns:
             made(None)  # a wrong cutoff fails here
-        held = {c: f"__s_{c}" for c in columns}
-        work = df.withColumns({held[c]: F.col(source[c]) for c in columns}).drop(*[f"f_{c}" for c in columns])
-        out = by_session(work, keys, {held[c]: f"f_{c}" for c in columns}, made).drop(*held.values())
+        out = by_valid(df, keys, {source[c]: f"f_{c}" for c in columns}, made)
     clamped = [clamp] if isinstance(clamp, str) else list(clamp or [])
     return out.withColumns(
         {f"f_{c}": F.when(F.col(f"f_{c}") < 0, 0.0).otherwise(F.col(f"f_{c}")) for c in clamped if c in columns}

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType, StructField, StructType, DoubleType
+from pyspark.sql.types import DoubleType, NumericType
 
 from trackspark.functions.columns import RATE, ROW, TIME
+from trackspark.operators.sessions import by_session
 
 METHODS = ("linear", "constant", "spline")
 FRAME = "__k"
@@ -137,21 +137,19 @@ def splined(df: DataFrame, keys: Sequence[str], columns: Sequence[str], most: in
     at a time is in a worker's memory.
     """
 
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(FRAME).reset_index(drop=True)
-        k = part[FRAME].to_numpy(float) - part[FRAME].iloc[0]
+    def fill(read: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        k, out = (read[FRAME] - read[FRAME][0]).astype(float), {}
         for c in columns:
-            v = part[c].to_numpy(float)
+            v = read[c].astype(float)
             ok = ~np.isnan(v)
             if ok.sum() >= 4 and not ok.all():
                 run = np.cumsum(np.concatenate([[True], ok[1:] != ok[:-1]]))
                 short = np.bincount(run)[run] <= most
                 v = np.where(~ok & short, cubic(k[ok], v[ok], k), v)
-            part[c] = v
-        return part
+            out[c] = v
+        return out
 
-    schema = StructType([StructField(f.name, DoubleType()) if f.name in columns else f for f in df.schema])
-    return df.groupBy(*keys).applyInPandas(fill, schema)
+    return by_session(df, keys, (FRAME,), [*columns, FRAME], dict.fromkeys(columns, DoubleType()), fill)
 
 
 def interpolate(

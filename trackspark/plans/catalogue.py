@@ -628,11 +628,11 @@ ELBOW = f"""{SWEEP},
 @query(
     "cutoff_elbow",
     f"""WITH RECURSIVE {ELBOW}
-    SELECT session_id, 'x' AS signal, arg_max(round(cutoff, 9), abs(gamma.g)) AS cutoff FROM gamma JOIN n USING (session_id, i) GROUP BY session_id""",
+    SELECT session_id, 'x' AS signal, arg_max(cutoff, abs(gamma.g)) AS cutoff FROM gamma JOIN n USING (session_id, i) GROUP BY session_id""",
 )
 def cutoff_elbow(spark, sf_dir):
     _, _, suggested = events(spark, sf_dir).filtrate_cutoff("x")
-    return rounded(suggested, cutoff=9)
+    return suggested
 
 
 # Kinematics -----------------------------------------------------------------------
