@@ -86,28 +86,40 @@ def normalise(df: DataFrame, keys: Sequence[str], origin: bool | Sequence[float]
     )
 
 
-def rotate(df: DataFrame, sideline: Sequence[Sequence[float]], crs: int | None) -> DataFrame:
-    """Turn x, y so that the sideline (two points) lies along x.
+def sideline_angle(spark: SparkSession, sideline: Sequence[Sequence[float]], crs: int | None) -> float:
+    """Radians to turn by so that the sideline (two points) lies along x.
 
     With ``crs`` the points are latitude and longitude, else x and y.
     """
     points = [tuple(map(float, p)) for p in sideline]
-    if crs is not None:
-        points = [point(df.sparkSession, *p, crs) for p in points]
-    (x0, y0), (x1, y1) = points
-    angle = -math.atan2(y1 - y0, x1 - x0)
+    (x0, y0), (x1, y1) = points if crs is None else [point(spark, *p, crs) for p in points]
+    return -math.atan2(y1 - y0, x1 - x0)
+
+
+def rotate(df: DataFrame, sideline: Sequence[Sequence[float]], crs: int | None) -> DataFrame:
+    """Turn x, y by :func:`sideline_angle`."""
+    angle = sideline_angle(df.sparkSession, sideline, crs)
     c, s = math.cos(angle), math.sin(angle)
     x, y = F.col("x"), F.col("y")
     return df.withColumns({"x": x * c - y * s, "y": x * s + y * c})
 
 
-def drop_outliers(df: DataFrame, keys: Sequence[str], k: float = 3.0) -> DataFrame:
+#: Interquartile ranges beyond the quartiles from which a position is an outlier.
+REACH = 3.0
+
+
+def fences(c: str, keys: Sequence[str], k: float = REACH) -> tuple[Column, Column]:
+    """Below and above which a session's values of a column are outliers."""
+    q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).over(session(keys))
+    return q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])
+
+
+def drop_outliers(df: DataFrame, keys: Sequence[str], k: float = REACH) -> DataFrame:
     """Null x, y, z where x or y is beyond the session's quartiles by k ranges."""
 
     def beyond(c: str) -> Column:
-        q = F.percentile(F.col(c), F.array(F.lit(0.25), F.lit(0.75))).over(session(keys))
-        reach = k * (q[1] - q[0])
-        return F.coalesce((F.col(c) < q[0] - reach) | (F.col(c) > q[1] + reach), F.lit(False))
+        low, high = fences(c, keys, k)
+        return F.coalesce((F.col(c) < low) | (F.col(c) > high), F.lit(False))
 
     flagged = df.withColumn("__out", beyond("x") | beyond("y"))
     return flagged.withColumns(

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from trackspark.functions.columns import RATE, TIME, finite, in_order
+from trackspark.functions.columns import RATE, TIME, finite, in_order, session
 
 OPTIONAL = ("velocity", "acceleration", "angular_velocity", "jerk", "lateral_g")
 DEFAULT = ("velocity", "acceleration", "angular_velocity")
@@ -88,10 +88,13 @@ def derivate(
     derivatives: Sequence[str] | None = None,
     rate: float = 5,
     own_rates: bool = False,
+    marks: bool = False,
 ) -> DataFrame:
     """distance, heading and the asked-for derivatives; others of them are dropped.
 
     With ``own_rates`` a span that is not given is each session's own rate.
+    Filtered coordinates are used in sessions that have any. With ``marks`` the
+    columns __gap_velocity and __gap_acceleration tell what a gap has voided.
     """
     wanted = tuple(derivatives or DEFAULT)
     if unknown := set(wanted) - set(OPTIONAL):
@@ -104,10 +107,16 @@ def derivate(
         for n in ("velocity", "angular_velocity", "acceleration", "jerk")
     )
     smooth = use_filtered and {"f_x", "f_y"} <= set(df.columns)
-    x, y = ("f_x", "f_y") if smooth else ("x", "y")
+    x, y = ("__sx", "__sy") if smooth else ("x", "y")
+    if smooth:
+        there = F.max(F.col("f_x").isNotNull()).over(session(keys)) & F.max(F.col("f_y").isNotNull()).over(session(keys))
+        df = df.withColumn("__smooth", there)
+        df = df.withColumns({x: F.when(F.col("__smooth"), F.col("f_x")).otherwise(F.col("x")), y: F.when(F.col("__smooth"), F.col("f_y")).otherwise(F.col("y"))})
 
     dx, dy = v.difference(x), v.difference(y)
     out = with_spans(df, keys, rate) if own else df
+    if marks:
+        out = out.withColumn("__gap_velocity", ~v.gapless(x, y))
     out = out.withColumn("distance", F.when(v.gapless(x, y), F.sqrt(dx * dx + dy * dy)))
     out = out.withColumn("velocity", F.col("distance") / v.elapsed())
     heading = F.atan2(dy, dx) * F.lit(180.0 / math.pi)
@@ -120,6 +129,8 @@ def derivate(
         "acceleration",
         F.when(a.gapless("velocity"), a.difference("velocity") / a.elapsed()),
     )
+    if marks:
+        out = out.withColumn("__gap_acceleration", ~a.gapless("velocity"))
     if "jerk" in wanted:
         out = out.withColumn(
             "jerk",
@@ -137,4 +148,4 @@ def derivate(
     if "lateral_g" in wanted:
         force = F.col("velocity") * F.col("angular_velocity") * (math.pi / 180.0) / GRAVITY
         out = out.withColumn("lateral_g", F.when(F.col("velocity") >= speed_floor, force).otherwise(zero))
-    return out.drop("__w", "__n", "__key", *[c for c in OPTIONAL if c not in wanted])
+    return out.drop("__w", "__n", "__key", "__sx", "__sy", "__smooth", *[c for c in OPTIONAL if c not in wanted])

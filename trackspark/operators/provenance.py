@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.functions.columns import ROW, TIME, session
+from trackspark.functions.columns import RATE, ROW, TIME, finite, in_order, island, session
+from trackspark.operators import coordinate, kinematics, resample
 
 GPS_BOUNDS = {"lat": 90, "lng": 180}
 
@@ -121,19 +122,140 @@ def column_quality(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     )
 
 
-def interpolation_quality(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """session, rows, how many are interpolated or still empty, and issues."""
-    out = df.groupBy(*keys).agg(
+def interpolation_quality(
+    before: DataFrame,
+    keys: Sequence[str],
+    hz: float | None = None,
+    method: str = "linear",
+    max_gap_frames: int = 5,
+) -> DataFrame:
+    """One row per session: what an interpolation of ``before`` finds and leaves, with issues.
+
+    Counted in one pass over the rows as they are made: repeated frames, added
+    frames, runs of frames without x before filling, what is filled, what stays
+    empty, and the rows that the duration asks for.
+    """
+    there = {f"__had_{c}": F.col(c).isNotNull().cast("string") for c in "xy"}
+    marked = before.withColumns(there | {"__n_in": F.count(TIME).over(session(keys)).cast("string")})
+    out = resample.interpolate(marked, keys, hz, method, max_gap_frames)
+    rate = F.lit(float(hz)) if hz is not None else F.col(RATE)
+    w = in_order(keys)
+    new = F.col("__had_x").isNull()
+    had = {c: F.coalesce(F.col(f"__had_{c}") == "true", F.lit(False)) for c in "xy"}
+    rows = out.withColumns({"__rate": rate, "__new": new, "__gap": ~had["x"]})
+    change = F.coalesce(F.col("__gap") != F.lag("__gap").over(w), F.lit(True))
+    runs = rows.withColumn("__run", island(change, w)).groupBy(*keys, "__run").agg(
+        F.first("__gap").alias("gap"),
+        F.count("*").alias("n"),
+        F.count_if("__new").alias("new"),
+        F.max(F.col("__n_in").cast("long")).alias("n_in"),
+        F.count_if("is_interpolated").alias("interpolated"),
+        *[F.count_if(F.col(c).isNull()).alias(f"na_{c}") for c in "xy"],
+        *[F.count_if(F.col(c).isNotNull() & ~had[c]).alias(f"filled_{c}") for c in "xy"],
+        F.min(TIME).alias("first"),
+        F.max(TIME).alias("last"),
+        F.max("__rate").alias("rate"),
+    )
+    length = F.when(F.col("gap"), F.col("n"))
+    found = runs.groupBy(*keys).agg(
+        F.max("n_in").alias("n_input"),
+        F.sum("n").alias("n_rows"),
+        (F.max("n_in") - F.sum("n") + F.sum("new")).alias("n_duplicates"),
+        F.sum("new").alias("n_time_gaps"),
+        F.sum("interpolated").alias("n_interpolated"),
+        *[F.sum(f"filled_{c}").alias(f"filled_{c}") for c in "xy"],
+        *[F.sum(f"na_{c}").alias(f"na_{c}") for c in "xy"],
+        F.count_if("gap").alias("n_gaps"),
+        F.coalesce(F.sum(length), F.lit(0).cast("long")).alias("total_missing"),
+        F.min(length).alias("min_gap"),
+        F.max(length).alias("max_gap"),
+        F.round(F.avg(length), 2).alias("mean_gap"),
+        F.percentile(length, F.lit(0.5)).alias("median_gap"),
+        F.count_if(length > max_gap_frames).alias("n_exceeding"),
+        (F.floor((F.max("last") - F.min("first")) * F.max("rate")) + 1).alias("expected_rows"),
+        F.max("rate").alias("rate"),
+    )
+    c = F.col
+    share = F.round(100.0 * c("n_interpolated") / c("n_rows"), 2)
+    own = {*keys, TIME, ROW, RATE, "is_interpolated", "x", "y", "z"}
+    carried = [n for n in before.columns if n not in own]
+    issues = _listed(
+        _flag(share > 50, "%.2f%% of the rows are interpolated", share),
+        _flag(c("n_exceeding") > 0, f"%d gaps are longer than {max_gap_frames} frames and stay empty", c("n_exceeding")),
+        _flag((c("na_x") > 0) | (c("na_y") > 0), "%d rows have no x and %d no y", c("na_x"), c("na_y")),
+        _flag(c("n_duplicates") > 0, "%d repeated times were dropped", c("n_duplicates")),
+        _flag(F.abs(c("n_rows") - c("expected_rows")) > 1, "%d rows were expected at %.2f a second, there are %d", c("expected_rows"), c("rate"), c("n_rows")),
+        F.when(
+            (c("n_time_gaps") > 0) & F.lit(bool(carried)),
+            F.concat(F.lit(f"{len(carried)} other columns are empty in added rows, "), c("n_time_gaps").cast("string"), F.lit(": " + ", ".join(carried))),
+        ),
+    )
+    return found.withColumns({"share": share, "issues": issues}).drop("rate")
+
+
+def coordinate_quality(
+    df: DataFrame, keys: Sequence[str], before: DataFrame | None = None, most: int = 100
+) -> DataFrame:
+    """One row per session: ranges, and outliers by kind, each with its fences and the first ``most`` rows.
+
+    ``before`` are the rows before the step, for positions at exactly 0, 0 of
+    latitude and longitude. Lists have a bound; counts are whole.
+    """
+    axes = [c for c in "xy" if c in df.columns]
+    zero = (F.col("lat") == 0) & (F.col("lng") == 0) if before is not None and {"lat", "lng"} <= set(before.columns) else F.lit(False)
+    slim = df.select(*keys, ROW, *[c for c in "xyz" if c in df.columns])
+    for c in axes:
+        low, high = coordinate.fences(c, keys)
+        slim = slim.withColumns({f"__low_{c}": low, f"__high_{c}": high})
+        slim = slim.withColumn(f"__out_{c}", F.coalesce((F.col(c) < F.col(f"__low_{c}")) | (F.col(c) > F.col(f"__high_{c}")), F.lit(False)))
+    for c in axes:  # a rank within the outliers, so that a list never holds more
+        by = Window.partitionBy(*keys, f"__out_{c}").orderBy(ROW)
+        slim = slim.withColumn(f"__at_{c}", F.row_number().over(by))
+    anywhere = F.greatest(*[F.col(f"__out_{c}") for c in axes])
+    z = F.coalesce(F.max(F.col("z") != 0), F.lit(False)) if "z" in df.columns else F.lit(False)
+    found = slim.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"),
+        *[(F.max(c) - F.min(c)).alias(f"{c}_range") for c in axes],
+        z.alias("z_present"),
+        *[F.count_if(f"__out_{c}").alias(f"n_out_{c}") for c in axes],
+        *[F.max(f"__{side}_{c}").alias(f"{side}_{c}") for c in axes for side in ("low", "high")],
+        *[
+            F.array_sort(F.collect_list(F.when(F.col(f"__out_{c}") & (F.col(f"__at_{c}") <= most), F.col(ROW)))).alias(f"rows_{c}")
+            for c in axes
+        ],
+        F.count_if(anywhere).alias("n_outlier_rows"),
+    )
+    if before is not None:
+        zeros = before.select(*keys, zero.alias("__zero")).groupBy(*keys).agg(F.count_if("__zero").alias("n_zero_gps"))
+        found = found.join(zeros, list(keys), "left")
+    else:
+        found = found.withColumn("n_zero_gps", F.lit(0).cast("long"))
+    kinds = _listed(F.when(F.col("n_zero_gps") > 0, "zero_gps"), *[F.when(F.col(f"n_out_{c}") > 0, f"{c}_iqr") for c in axes])
+    return found.withColumn("outlier_types", kinds)
+
+
+def derivative_quality(before: DataFrame, keys: Sequence[str], **options) -> DataFrame:
+    """One row per session: valid, empty, least and largest of each derivative, rows voided by gaps, issues.
+
+    Worked out from the rows before the step, in the pass that makes the derivatives.
+    """
+    out = kinematics.derivate(before, keys, marks=True, **options)
+    made = [c for c in ("distance", "velocity", "acceleration", "heading", "angular_velocity", "jerk", "lateral_g") if c in out.columns]
+    found = out.groupBy(*keys).agg(
         F.count("*").alias("n_rows"),
-        F.count_if("is_interpolated").alias("n_interpolated"),
-        F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("n_empty"),
+        *[F.count_if(finite(F.col(c))).alias(f"{c}_valid") for c in made],
+        *[F.count_if(F.col(c).isNull()).alias(f"{c}_null") for c in made],
+        *[F.min(F.when(finite(F.col(c)), F.col(c))).alias(f"{c}_min") for c in made],
+        *[F.max(F.when(finite(F.col(c)), F.col(c))).alias(f"{c}_max") for c in made],
+        F.count_if("__gap_velocity").alias("gap_velocity"),
+        F.count_if("__gap_acceleration").alias("gap_acceleration"),
     )
-    share = 100.0 * F.col("n_interpolated") / F.col("n_rows")
+    raw = options.get("use_filtered", True) and not {"f_x", "f_y"} <= set(before.columns)
     issues = _listed(
-        _flag(share > 50, "%.1f%% of the frames are interpolated", share),
-        _flag(F.col("n_empty") > 0, "%d frames have no position", F.col("n_empty")),
+        _flag(F.lit(raw), "there are no filtered coordinates; x and y are used"),
+        _flag(F.col("gap_velocity") > 0, "%d rows have velocity 0 as their span has a gap", F.col("gap_velocity")),
     )
-    return out.withColumns({"share": share, "issues": issues})
+    return found.withColumn("issues", issues)
 
 
 def designation_quality(df: DataFrame, keys: Sequence[str]) -> DataFrame:

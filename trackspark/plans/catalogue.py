@@ -873,6 +873,69 @@ def rate_stack_chain(spark, sf_dir):
     )
 
 
+# Quality ---------------------------------------------------------------------------------
+
+
+@query(
+    "quality_interpolate",
+    f"""WITH {GRID}, c AS (SELECT session_id, count(*) AS n_input FROM e GROUP BY session_id),
+    g AS (SELECT *, (x0 IS NULL) AS gap, CASE WHEN (x0 IS NULL) = lag(x0 IS NULL) OVER w THEN 0 ELSE 1 END AS chg FROM i
+          WINDOW w AS (PARTITION BY session_id ORDER BY k)),
+    u2 AS (SELECT *, sum(chg) OVER (PARTITION BY session_id ORDER BY k) AS run FROM g),
+    v AS (SELECT session_id, run, any_value(gap) AS gap, count(*) AS n FROM u2 GROUP BY session_id, run),
+    w AS (SELECT session_id, count(*) FILTER (WHERE gap) AS n_gaps, max(n) FILTER (WHERE gap) AS max_gap,
+          count(*) FILTER (WHERE gap AND n > 5) AS n_exceeding FROM v GROUP BY session_id),
+    s2 AS (SELECT session_id, count(*) AS n_rows, count(*) FILTER (WHERE is_new) AS n_time_gaps,
+          count(*) FILTER (WHERE is_new AND x IS NOT NULL AND y IS NOT NULL) AS n_interpolated,
+          count(*) FILTER (WHERE x IS NULL) AS na_x, count(*) FILTER (WHERE x0 IS NULL AND x IS NOT NULL) AS filled_x,
+          CAST(floor((max(unix_time) - min(unix_time)) * (1.0::DOUBLE / 3600.0::DOUBLE)) AS BIGINT) + 1 AS expected_rows FROM i GROUP BY session_id),
+    j AS (SELECT *, n_input - n_rows + n_time_gaps AS n_duplicates, round(100.0::DOUBLE * n_interpolated / n_rows, 2) AS share
+          FROM s2 JOIN c USING (session_id) JOIN w USING (session_id))
+    SELECT session_id, n_input, n_rows, n_duplicates, n_time_gaps, n_interpolated, filled_x, na_x, n_gaps, max_gap, n_exceeding, expected_rows, share,
+           (share > 50)::INT + (n_exceeding > 0)::INT + (na_x > 0)::INT + (n_duplicates > 0)::INT + (abs(n_rows - expected_rows) > 1)::INT
+           + (n_time_gaps > 0)::INT AS n_issues FROM j""",
+)
+def quality_interpolate(spark, sf_dir):
+    found = gridded(spark, sf_dir).quality("interpolate")
+    names = ("n_input", "n_rows", "n_duplicates", "n_time_gaps", "n_interpolated", "filled_x", "na_x", "n_gaps", "max_gap", "n_exceeding", "expected_rows", "share")
+    return found.select(SESSION, *names, F.size("issues").alias("n_issues"))
+
+
+# Positions far from most: a high power of the values.
+FAR = "pow(x / 20, 8)"
+
+
+@query(
+    "quality_coordinate",
+    f"""WITH {E}, p AS (SELECT session_id, _row, {FAR} AS x, y FROM e),
+    q AS (SELECT *, quantile_cont(x, 0.25) OVER w AS a, quantile_cont(x, 0.75) OVER w AS b, quantile_cont(y, 0.25) OVER w AS c, quantile_cont(y, 0.75) OVER w AS d
+          FROM p WINDOW w AS (PARTITION BY session_id)),
+    f AS (SELECT *, coalesce(x < a - 3 * (b - a) OR x > b + 3 * (b - a), false) AS ox, coalesce(y < c - 3 * (d - c) OR y > d + 3 * (d - c), false) AS oy FROM q)
+    SELECT session_id, count(*) AS n_rows, round(max(x) - min(x), 4) AS x_range, round(max(y) - min(y), 6) AS y_range,
+           count(*) FILTER (WHERE ox) AS n_out_x, count(*) FILTER (WHERE oy) AS n_out_y, count(*) FILTER (WHERE ox OR oy) AS n_outlier_rows,
+           coalesce(string_agg(CAST(_row AS VARCHAR), ',' ORDER BY _row) FILTER (WHERE ox), '') AS rows_x FROM f GROUP BY session_id""",
+)
+def quality_coordinate(spark, sf_dir):
+    trace = events(spark, sf_dir).elaborate(x=FAR).coordinate("xyz")
+    found = trace.quality("coordinate").withColumn("rows_x", F.concat_ws(",", F.col("rows_x").cast("array<string>")))
+    return rounded(found, x_range=4, y_range=6).select(SESSION, "n_rows", "x_range", "y_range", "n_out_x", "n_out_y", "n_outlier_rows", "rows_x")
+
+
+@query(
+    "quality_derivate",
+    f"""WITH {derived()}, v2 AS (SELECT d2.session_id, d2.k, max(x IS NULL OR y IS NULL) OVER w AS gv, max(vel IS NULL) OVER w AS ga FROM d2
+          WINDOW w AS ({W} ROWS BETWEEN 1 PRECEDING AND CURRENT ROW))
+    SELECT d.session_id, count(*) AS n_rows, count(acceleration) AS acceleration_valid, count(*) - count(acceleration) AS acceleration_null,
+           count(*) - count(heading) AS heading_null, round(max(velocity), 9) AS velocity_max, count(*) FILTER (WHERE gv) AS gap_velocity,
+           count(*) FILTER (WHERE ga) AS gap_acceleration, (bool_or(gv))::INT AS n_issues
+    FROM d JOIN v2 USING (session_id, k) GROUP BY d.session_id""",
+)
+def quality_derivate(spark, sf_dir):
+    found = moving(spark, sf_dir).quality("derivate").withColumn("n_issues", F.size("issues"))
+    names = ("n_rows", "acceleration_valid", "acceleration_null", "heading_null", "velocity_max", "gap_velocity", "gap_acceleration", "n_issues")
+    return rounded(found.select(SESSION, *names), velocity_max=9)
+
+
 # Bands and summaries -----------------------------------------------------------------------
 
 SPEEDS = {"velocity": (0, 10, 20, 40, 80)}

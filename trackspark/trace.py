@@ -78,6 +78,8 @@ class Trace:
     metadata: Mapping[str, object] = field(default_factory=dict)
     log: tuple[Step, ...] = ()
     initial: DataFrame | None = None
+    #: By step: the rows before it and its options, from which its quality is worked out.
+    sources: Mapping[str, tuple[DataFrame, Mapping[str, object]]] = field(default_factory=dict, repr=False)
 
     # Making and keeping traces -------------------------------------------
 
@@ -148,6 +150,10 @@ class Trace:
         out = replace(self, df=df, metadata={**self.metadata, **metadata})
         return out._logged(step, self.df.columns, detail, notes)
 
+    def _from(self, step: str, **options) -> Trace:
+        """A trace that knows what its next step's quality is worked out from."""
+        return replace(self, sources={**self.sources, step: (self.df, options)})
+
     def noted(self, *notes: str) -> Trace:
         """The trace with notes added to its last step."""
         last = replace(self.log[-1], notes=(*self.log[-1].notes, *notes))
@@ -259,7 +265,10 @@ class Trace:
         if source == "latlong" and crs == 3857:
             notes.append("quality('crs') warns of sessions that EPSG:3857 stretches by 0.5 % or more")
         detail = {"source": source, "crs": crs, "norm": norm, "units": [from_units, to_units], "rotate": rotate, "drop_outliers": drop_outliers}
-        return self._after("coordinate", df, detail, notes)
+        more = {}
+        if rotate is not None:
+            more["rotation_angle"] = coordinate.sideline_angle(self.df.sparkSession, rotate, crs if source == "latlong" else None)
+        return self._from("coordinate")._after("coordinate", df, detail | more, notes, **more)
 
     def utm_zone_suggest(self) -> DataFrame:
         return coordinate.utm_zone(self.df, self.keys)
@@ -271,7 +280,8 @@ class Trace:
         df = resample.interpolate(self.df, self.keys, hz, method, max_gap_frames, fill_passthrough)
         notes = [] if hz is not None else ["each session keeps its own frame rate"]
         detail = {"method": method, "hz": hz, "max_gap_frames": max_gap_frames, "fill_passthrough": fill_passthrough}
-        return self._after("interpolate", df, detail, notes, interpolation_hz=hz)
+        source = self._from("interpolate", hz=hz, method=method, max_gap_frames=max_gap_frames)
+        return source._after("interpolate", df, detail, notes, interpolation_hz=hz)
 
     def filtrate(self, method: str = "butterworth", target: str | Sequence[str] = "coordinates", **options) -> Trace:
         """Smoothed copies f_<column>."""
@@ -317,11 +327,20 @@ class Trace:
     ) -> Trace:
         """distance, heading and derivatives by backward differences."""
         self.validate("x", "y")
-        df = kinematics.derivate(
-            self.df, self.keys, use_filtered, window, speed_floor, signed_omega, derivatives, self.rate(5), self.own_rates()
-        )
+        options = {
+            "use_filtered": use_filtered,
+            "window": window,
+            "speed_floor": speed_floor,
+            "signed_omega": signed_omega,
+            "derivatives": derivatives,
+            "rate": self.rate(5),
+            "own_rates": self.own_rates(),
+        }
+        df = kinematics.derivate(self.df, self.keys, **options)
+        raw = use_filtered and not {"f_x", "f_y"} <= set(self.df.columns)
+        notes = ["there are no filtered coordinates; x and y are used"] if raw else []
         detail = {"window": window, "speed_floor": speed_floor, "signed_omega": signed_omega, "derivatives": derivatives}
-        return self._after("derivate", df, detail)
+        return self._from("derivate", **options)._after("derivate", df, detail, notes)
 
     def designate(
         self,
@@ -411,14 +430,20 @@ class Trace:
             return provenance.initial_quality(self.initial if self.initial is not None else df, keys)
         if step == "crs":
             return coordinate.mercator_stretch(df, keys)
-        if step == "interpolate":
-            return provenance.interpolation_quality(df, keys)
+        before, options = self.sources.get(step, (None, {}))
+        if step == "coordinate" and {"x", "y"} <= set(df.columns):
+            return provenance.coordinate_quality(df, keys, before)
+        if step == "interpolate" and before is not None:
+            return provenance.interpolation_quality(before, keys, **options)
+        if step == "derivate" and before is not None:
+            return provenance.derivative_quality(before, keys, **options)
         if step == "designate":
             return provenance.designation_quality(df, keys)
         if step == "allocate":
             return provenance.band_counts(df, keys, [c for c in df.columns if c.endswith("_band")])
         names = {
             "coordinate": ["x", "y", "z"],
+            "interpolate": ["x", "y", "z"],
             "filtrate": [c for c in numeric_columns(df.schema) if c.startswith("f_")],
             "derivate": ["distance", "heading", *kinematics.OPTIONAL],
         }
