@@ -41,6 +41,35 @@ def quantitate(
     return df.groupBy(*by).agg(*[c.alias(n) for n, c in measures.items()])
 
 
+def quantitate_rollup(
+    df: DataFrame,
+    keys: Sequence[str],
+    measures: Mapping[str, Column],
+    allocation: str | None = "allocation_1",
+    derivative: str | Sequence[str] = "velocity",
+) -> DataFrame:
+    """Summaries of segments, sessions and all sessions, with and without bands, in one pass.
+
+    ``scope`` tells what a row sums up (designation, session or all), and
+    ``all_bands`` whether it does so over the bands: a null among the other
+    columns then stands for all, else for rows that have none. A task's rows are
+    summed for every grouping set before the one shuffle.
+    """
+    names = [derivative] if isinstance(derivative, str) else list(derivative)
+    bands = [f"{allocation}_{d}_band" for d in names] if allocation else []
+    if missing := [c for c in (*bands, "designation") if c not in df.columns]:
+        raise ValueError(f"no such columns: {', '.join(missing)}")
+    levels = ([*keys, "designation"], [*keys], [])
+    sets = [[*level, *extra] for level in levels for extra in ([bands, []] if bands else [[]])]
+    sets = [[F.col(c) for c in s] for s in sets]
+    scope = F.when(F.grouping("designation") == 0, "designation").when(F.grouping(keys[0]) == 0, "session").otherwise("all")
+    whole = F.grouping(bands[0]) == 1 if bands else F.lit(True)
+    by = [F.col(c) for c in (*keys, "designation", *bands)]
+    return df.groupingSets(sets, *by).agg(
+        scope.alias("scope"), whole.alias("all_bands"), *[c.alias(n) for n, c in measures.items()]
+    )
+
+
 def elaborate(
     df: DataFrame, keys: Sequence[str], columns: Mapping[str, Column | str], by: Sequence[str] = ()
 ) -> DataFrame:

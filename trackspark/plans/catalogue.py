@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.functions.columns import TIME, in_order, pmax, pmin, rolling
-from trackspark.functions.times import normalise_times
+from trackspark.functions.shared import shared_folder
+from trackspark.functions.times import epoch, normalise_times
 from trackspark.operators import coordinate, filters, provenance, resample, segment
+from trackspark.streaming import live
 from trackspark.trace import Trace
 
 HZ = 1.0 / 3600.0
@@ -1048,6 +1050,18 @@ def across_sessions(spark, sf_dir):
     return banded(spark, sf_dir).quantitate(scope="session", across_sessions=True, **measures())
 
 
+@query(
+    "quantitate_rollup",
+    f"""WITH {B} SELECT session_id, designation, allocation_1_velocity_band,
+    CASE WHEN grouping(designation) = 0 THEN 'designation' WHEN grouping(session_id) = 0 THEN 'session' ELSE 'all' END AS scope,
+    grouping(allocation_1_velocity_band) = 1 AS all_bands, {MEASURES} FROM q GROUP BY GROUPING SETS (
+    (session_id, designation, allocation_1_velocity_band), (session_id, designation), (session_id, allocation_1_velocity_band), (session_id),
+    (allocation_1_velocity_band), ())""",
+)
+def quantitate_rollup(spark, sf_dir):
+    return banded(spark, sf_dir).quantitate_rollup(**measures())
+
+
 # Batches ------------------------------------------------------------------------------------
 
 
@@ -1076,6 +1090,32 @@ def roster_left_join(spark, sf_dir):
     return by.join(roster, F.col(SESSION) * 2 == F.col("__key"), "left").drop("__key")
 
 
+# Streams: the events in one go, with what the watermark has not passed left out.
+DELAY = "2 hours"
+
+
+@query(
+    "stream_running",
+    f"""WITH RECURSIVE {E}, m AS (SELECT CAST(floor(max(unix_time) * 1000) AS BIGINT) - 7200000 AS mark FROM e),
+    o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY unix_time, _row) AS i,
+          coalesce(unix_time - lag(unix_time) OVER (PARTITION BY session_id ORDER BY unix_time, _row) > 3600, false) AS gap FROM e),
+    r AS (SELECT session_id, i, _row, unix_time, x AS v, gap FROM o WHERE i = 1
+          UNION ALL SELECT o.session_id, o.i, o._row, o.unix_time, 0.3 * o.x + 0.7 * r.v, o.gap FROM r JOIN o ON o.session_id = r.session_id AND o.i = r.i + 1)
+    SELECT session_id, _row, round(v, 9) AS average, gap FROM r, m WHERE CAST(floor(unix_time * 1000) AS BIGINT) <= mark""",
+)
+def stream_running(spark, sf_dir):
+    """Events as a stream of files, through the running average to a table, read back."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # As a pattern: a stream's plain path must be a folder, and the table may be one file.
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select(
+        F.col("user_id").alias(SESSION), epoch(F.col("ts")).alias(TIME), F.col("event_id").alias("_row"), F.col("value").alias("x")
+    )
+    given = live.running(rows, KEYS, "x", alpha=0.3, gap_seconds=3600, delay=DELAY)
+    table, marks = shared_folder(spark, "stream"), shared_folder(spark, "stream-marks")
+    given.writeStream.format("parquet").option("path", table).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    return rounded(spark.read.schema(given.schema).parquet(table).select(SESSION, "_row", "average", "gap"), average=9)
+
+
 @query(
     "minimum_slice",
     f"WITH {B} SELECT session_id, allocation_1_velocity_band, {MEASURES} FROM q GROUP BY session_id, allocation_1_velocity_band",

@@ -57,17 +57,18 @@ def initiate(
             df, more = api.read_api(spark, session, template, fetch)
         notes, system = notes + more, template.coord_system
     else:
-        if source == "guess_csv":
-            path = session if isinstance(session, str) else session[0]
-            template = textcsv.guess_csv_template(spark, path, coord_system, options.pop("confidence_threshold", 0.8))
-        elif source == "manual_csv":
+        if source == "manual_csv":
             template = textcsv.manual_template(coord_system, options.pop("col_unix"), options.pop("columns"), **options)
         elif source == "catapult_replay":
             template = replace(textcsv.REPLAY, **options)
-        elif not isinstance(template, CsvTemplate):
+        elif source != "guess_csv" and not isinstance(template, CsvTemplate):
             raise ValueError("source 'template_csv' needs a template")
-        df, more = textcsv.read_csv(spark, session, template, lenient=source == "guess_csv")
-        notes, system = notes + more, template.coord_system
+        if source == "guess_csv" and template is None:
+            df, more, system = textcsv.read_guessed(spark, session, coord_system, options.pop("confidence_threshold", 0.8))
+        else:
+            df, more = textcsv.read_csv(spark, session, template)
+            system = template.coord_system
+        notes = notes + more
         if source == "catapult_replay":
             df = df.join(textcsv.replay_start(spark, session), "session_id", "left")
     trace = Trace.from_dataframe(df, ("session_id",), system, order_by="_row", **meta)

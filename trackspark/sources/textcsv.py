@@ -9,7 +9,6 @@ from __future__ import annotations
 import csv
 import posixpath
 import re
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import replace
 
@@ -127,7 +126,16 @@ def read_csv(
             own[label] = at
         notes += [f"no column for {t}" for t, at in own.items() if at is None]
         places[h] = own
-    width = max(len(split_header(h, template.delimiter)) for h in headers)
+    return parsed_rows(cut, places, list(wanted), template), sorted(set(notes))
+
+
+def parsed_rows(cut: DataFrame, places: dict[str, dict[str, int | None]], wanted: Sequence[str], template: CsvTemplate) -> DataFrame:
+    """session_id, _row and values of the lines ``rows`` of each file.
+
+    ``places`` tells for each ``header`` where each target is. Targets beyond
+    ``wanted`` are numeric if every value of the load is, else text.
+    """
+    width = max(len(split_header(h, template.delimiter)) for h in places)
     schema = ", ".join(f"c{i} string" for i in range(width))
     rows = cut.select(SESSION, "header", F.posexplode("rows").alias("pos", "line"))
     if template.n_max is not None:
@@ -155,35 +163,80 @@ def read_csv(
         {t: number(F.col(t)) for t in names if t in extra or t in wanted and t != "unix_time"}
         | ({"unix_time": F.coalesce(number(time).cast("string"), time)} if template.decimal == "," else {})
     )
-    return text_to_epoch(out, "unix_time", [SESSION]), sorted(set(notes))
+    return text_to_epoch(out, "unix_time", [SESSION])
 
 
-def guess_csv_template(spark: SparkSession, path: str, coord_system: str = "auto", least: float = 0.8, save_path: str | None = None) -> CsvTemplate:
-    """A template for files like ``path``: the block of lines with the commonest number of commas.
+def with_layouts(found: DataFrame) -> DataFrame:
+    """session_id, header, head, rows of :func:`files`, each file's layout by its own lines.
 
-    The header is the block's first line if that begins with a letter, or else
-    the last line before it that has one. One file is looked at.
+    A file's block of data are its lines of the commonest number of commas (of
+    equals the least). The header is the block's first line if that begins with
+    a letter (or has one, as the file's first line), or else the last line
+    before it that has one; without one it is null.
     """
-    lines: list[str] = files(spark, path).limit(1).first()["lines"]
-    counts = Counter(x.count(",") for x in lines if "," in x)
-    if not counts:
-        raise ValueError(f"no commas in {path}")
-    commas = min(counts, key=lambda n: (-counts[n], n))
-    first = next(i for i, x in enumerate(lines) if x.count(",") == commas)
-    head = first
-    if not (lines[first][:1].isalpha() or lines[first][:1] == "_"):
-        head = max((i for i in range(first) if any(c.isalpha() for c in lines[i])), default=-1)
-        if head < 0:
-            raise ValueError(f"no header in {path}")
-    header = split_header(lines[head], ",")
-    lower = [c.lower() for c in header]
+    counts = F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(","), F.lit(""))))
+    out = found.withColumn("__counts", counts)
+    out = out.withColumn("__kinds", F.array_distinct(F.filter("__counts", lambda n: n > 0)))
+    votes = F.transform("__kinds", lambda k: F.struct(F.size(F.filter("__counts", lambda n: n == k)).alias("n"), (-k).alias("k")))
+    out = out.withColumn("__commas", -F.array_max(votes)["k"])
+    out = out.withColumn("__first", (F.array_position("__counts", F.col("__commas")) - 1).cast("int"))
+    line, first = F.get("lines", F.col("__first")), F.col("__first")
+    before = F.array_max(F.transform("lines", lambda x, i: F.when((i < first) & x.rlike("[A-Za-z]"), i)))
+    own = line.rlike("^[A-Za-z_]") | ((first == 0) & line.rlike("[A-Za-z]"))
+    out = out.withColumn("head", F.when(own, first).otherwise(before))
+    rows = F.filter("lines", lambda x, i: (F.get("__counts", i) == F.col("__commas")) & (i > F.col("head")))
+    return out.select(SESSION, F.get("lines", F.col("head")).alias("header"), "head", rows.alias("rows"))
+
+
+def guessed(header: str, coord_system: str, least: float) -> tuple[list[str], dict[str, str], str]:
+    """The names of a header, which of them the targets are, and the coordinate system."""
+    names = split_header(header, ",")
+    lower = [c.lower() for c in names]
     if coord_system == "auto":
         geo = any("lat" in c or "lon" in c for c in lower)
         flat = {"x", "y", "coord_x", "coord_y"} & set(lower)
         coord_system = "local" if flat and not geo else "gps"
-    found = match_names(list(dict.fromkeys(header)), GUESSES[coord_system], least)
+    found = match_names(list(dict.fromkeys(c for c in names if c)), GUESSES[coord_system], least)
     if "unix_time" not in found:
-        raise ValueError(f"no column for unix_time among {header}")
+        raise ValueError(f"no column for unix_time among {names}")
+    return names, found, coord_system
+
+
+def read_guessed(
+    spark: SparkSession, path: str | Sequence[str], coord_system: str = "auto", least: float = 0.8
+) -> tuple[DataFrame, list[str], str]:
+    """The rows of all files, each by its own layout, notes, and the coordinate system.
+
+    Layouts are told apart in Spark, by file; the driver gets each kind of
+    header once. A coordinate that a layout doesn't have is null. Of repeated
+    names the first counts. Files of both coordinate systems don't load together.
+    """
+    cut = with_layouts(files(spark, path))
+    bad = [r[0] for r in cut.filter("header is null").select(SESSION).limit(3).collect()]
+    if bad:
+        raise ValueError(f"no commas or no header in {', '.join(bad)}")
+    headers = [r[0] for r in cut.select("header").distinct().collect()]  # kinds of file
+    kinds = {h: guessed(h, coord_system, least) for h in headers}
+    systems = {system for *_, system in kinds.values()}
+    if len(systems) != 1:
+        raise ValueError("some files have latitudes and some x and y; load them apart" if systems else f"no data in {path}")
+    system = systems.pop()
+    targets = list(GUESSES[system])
+    places = {h: {t: names.index(found[t]) if t in found else None for t in targets} for h, (names, found, _) in kinds.items()}
+    notes = [f"no column for {t}" for own in places.values() for t, at in own.items() if at is None]
+    if len(headers) > 1:
+        notes.append(f"{len(headers)} layouts of files")
+    template = CsvTemplate(targets[0], targets[1], targets[2], coord_system=system, comment=None)
+    return parsed_rows(cut, places, targets, template), sorted(set(notes)), system
+
+
+def guess_csv_template(spark: SparkSession, path: str, coord_system: str = "auto", least: float = 0.8, save_path: str | None = None) -> CsvTemplate:
+    """A template for files like ``path``, by the layout of one of them (see :func:`with_layouts`)."""
+    layout = with_layouts(files(spark, path)).select("header", "head").limit(1).first()
+    if layout is None or layout["header"] is None:
+        raise ValueError(f"no commas or no header in {path}")
+    header, found, coord_system = guessed(layout["header"], coord_system, least)
+    head, lower = layout["head"], [c.lower() for c in header]
     refs = {t: header.index(c) + 1 if lower.count(c.lower()) > 1 else c for t, c in found.items()}
     axes = list(GUESSES[coord_system])[1:]
     made = CsvTemplate(refs["unix_time"], *[refs.get(a, a if k < 2 else None) for k, a in enumerate(axes)], coord_system=coord_system, skip=head, comment=None)

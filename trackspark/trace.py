@@ -404,6 +404,10 @@ class Trace:
         keys = () if across_sessions else self.keys
         return summarise.quantitate(self.df, keys, measures, allocation, derivative, scope, active_only, extra_keys)
 
+    def quantitate_rollup(self, allocation: str | None = "allocation_1", derivative: str | Sequence[str] = "velocity", **measures: Column) -> DataFrame:
+        """Summaries of segments, sessions and all sessions at once."""
+        return summarise.quantitate_rollup(self.df, self.keys, measures, allocation, derivative)
+
     def band_duration(self) -> Column:
         return summarise.band_duration(self.rates(10) if self.own_rates() else self.rate(10))
 
