@@ -427,7 +427,36 @@ def interp_passthrough(spark, sf_dir):
     return gridded(spark, sf_dir, passthrough="constant").df.select(SESSION, frame(), "event_type")
 
 
-@query("interp_spline")
+# The cubic through all points of a session: its system of three diagonals (low, mid, up; b) for the s of each
+# point, eliminated downwards (f) and solved upwards (g); d are the slopes between points, t the third differences.
+SPLINE = f"""{GRID},
+    pt AS (SELECT session_id, 'x' AS c, k, x0 AS v FROM r WHERE NOT is_new AND x0 IS NOT NULL
+           UNION ALL SELECT session_id, 'y', k, y0 FROM r WHERE NOT is_new AND y0 IS NOT NULL),
+    po AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY session_id, c) AS m, lead(k) OVER w - k AS h,
+           (lead(v) OVER w - v) / (lead(k) OVER w - k) AS d FROM pt WINDOW w AS (PARTITION BY session_id, c ORDER BY k)),
+    th AS (SELECT *, ((lead(d, 2) OVER w - lead(d, 1) OVER w) / (lead(k, 3) OVER w - lead(k, 1) OVER w)
+                    - (lead(d, 1) OVER w - d) / (lead(k, 2) OVER w - k)) / (lead(k, 3) OVER w - k) AS t FROM po WINDOW w AS (PARTITION BY session_id, c ORDER BY k)),
+    sy AS (SELECT session_id, c, i, m, k, v, h, d, lag(h) OVER w AS low,
+           CASE WHEN i = 1 THEN -h WHEN i = m THEN -lag(h) OVER w ELSE 2 * (lag(h) OVER w + h) END AS mid,
+           CASE WHEN i = 1 THEN h * h * t WHEN i = m THEN -(lag(h) OVER w) * (lag(h) OVER w) * lag(t, 3) OVER w ELSE d - lag(d) OVER w END AS b
+           FROM th WHERE m >= 4 WINDOW w AS (PARTITION BY session_id, c ORDER BY k)),
+    f AS (SELECT session_id, c, i, CAST(mid AS DOUBLE) AS mid, CAST(b AS DOUBLE) AS b, h FROM sy WHERE i = 1
+          UNION ALL SELECT y.session_id, y.c, y.i, y.mid - y.low / f.mid * f.h, y.b - y.low / f.mid * f.b, y.h
+          FROM f JOIN sy y ON y.session_id = f.session_id AND y.c = f.c AND y.i = f.i + 1),
+    g AS (SELECT f.session_id, f.c, f.i, f.b / f.mid AS s, NULL::DOUBLE AS sn FROM f JOIN sy USING (session_id, c, i) WHERE sy.i = sy.m
+          UNION ALL SELECT f.session_id, f.c, f.i, (f.b - f.h * g.s) / f.mid, g.s
+          FROM g JOIN f ON f.session_id = g.session_id AND f.c = g.c AND f.i = g.i - 1),
+    pc AS (SELECT sy.*, g.s, g.sn FROM sy JOIN g USING (session_id, c, i)),
+    ev AS (SELECT n.session_id, n.k, n.is_new, n.x0, n.y0, pc.c, pc.v + (n.k - pc.k) * (pc.d - pc.h * (pc.sn + 2 * pc.s)
+           + (n.k - pc.k) * (3 * pc.s + (n.k - pc.k) * (pc.sn - pc.s) / pc.h)) AS v
+           FROM n LEFT JOIN pc ON n.is_new AND n.kb - n.ka - 1 <= 5 AND pc.session_id = n.session_id AND pc.k = n.ka)"""
+
+
+@query(
+    "interp_spline",
+    f"""WITH RECURSIVE {SPLINE} SELECT session_id, k, round(CASE WHEN NOT bool_or(is_new) THEN max(x0) ELSE max(v) FILTER (WHERE c = 'x') END, 4) + 0.0 AS x,
+    round(CASE WHEN NOT bool_or(is_new) THEN max(y0) ELSE max(v) FILTER (WHERE c = 'y') END, 4) + 0.0 AS y FROM ev GROUP BY session_id, k""",
+)
 def interp_spline(spark, sf_dir):
     return rounded(gridded(spark, sf_dir, "spline").df.select(SESSION, frame(), "x", "y"), x=4, y=4)
 
@@ -764,7 +793,28 @@ def segment_refine(spark, sf_dir):
     return segment.refine(df, KEYS, 50.0, 4).select(SESSION, "_row", "designation")
 
 
-@query("designate_pelt")
+# Optimal partitioning without any pruning: for each row the least cost of a last segment, over all its starts.
+# Lists of a session's sums s and squares q (from 0 on) are carried with the costs (best) and starts (came) so far.
+PELT = f"""{E}, v AS (SELECT session_id, _row, unix_time, x AS velocity, row_number() OVER w AS i, avg(x) OVER (PARTITION BY session_id) AS mu FROM e
+          WINDOW w AS (PARTITION BY session_id ORDER BY unix_time, _row)),
+    su AS (SELECT *, sum(velocity - mu) OVER w AS s, sum((velocity - mu) ** 2) OVER w AS q FROM v WINDOW w AS (PARTITION BY session_id ORDER BY i)),
+    li AS (SELECT session_id, count(*) AS n, list_concat([0.0::DOUBLE], list(s ORDER BY i)) AS s, list_concat([0.0::DOUBLE], list(q ORDER BY i)) AS q FROM su GROUP BY session_id),
+    dp AS (SELECT session_id, 0 AS t, [-2 * ln(n)] AS best, [0::BIGINT] AS came FROM li
+           UNION ALL SELECT session_id, t + 1, list_append(best, list_min(total) + 2 * ln(n)), list_append(came, list_position(total, list_min(total)) - 1)
+           FROM (SELECT d.session_id, d.t, d.best, d.came, l.n, list_transform(range(0, d.t + 1),
+                 lambda k: d.best[k + 1] + (l.q[d.t + 2] - l.q[k + 1]) - (l.s[d.t + 2] - l.s[k + 1]) ** 2 / (d.t + 1 - k)) AS total
+                 FROM dp d JOIN li l ON l.session_id = d.session_id WHERE d.t < l.n)),
+    bt AS (SELECT session_id, came, came[n + 1] AS t FROM dp JOIN li USING (session_id) WHERE t = n
+           UNION ALL SELECT session_id, came, came[t + 1] FROM bt WHERE t > 0),
+    bl AS (SELECT v.*, (SELECT count(*) FROM bt WHERE bt.session_id = v.session_id AND bt.t > 0 AND bt.t <= v.i) AS blk FROM v)"""
+
+
+@query(
+    "designate_pelt",
+    f"""WITH RECURSIVE {PELT}, {REF[REF.index("m AS (SELECT"):].replace("FROM v)", "FROM bl)").replace("n >= 4 THEN", "n >= 5 THEN")}
+    SELECT session_id, _row, CASE WHEN total < 2 THEN 'active_1'
+    ELSE kind || '_' || dense_rank() OVER (PARTITION BY session_id, kind ORDER BY kept) END AS designation FROM j""",
+)
 def designate_pelt(spark, sf_dir):
     trace = events(spark, sf_dir).elaborate(velocity=F.col("x")).designate(v_threshold=50, min_pts=5)
     return trace.df.select(SESSION, "_row", "designation")
