@@ -103,3 +103,32 @@ def test_other_columns_pass_as_they_are(spark):
         ("a", 4): ("n", None, 3.0, 18.0),
     }
     assert by_session(frame.limit(0), ["k"], ["t", "r"], ["v"], {"w": DoubleType()}, rule).count() == 0
+
+
+@pytest.mark.parametrize("method", ["butterworth", "ema"])
+@pytest.mark.parametrize("rows", [1, 7, 64, 1000])
+def test_pieces_of_sessions_are_the_whole(spark, method, rows):
+    rng = np.random.default_rng(rows)
+    data = [(s, float(i), i, float(v) if i % 9 else None, float(v) if i > 300 else None, "n") for s, n in (("a", 400), ("b", 5), ("c", 3)) for i, v in enumerate(rng.normal(0, 9, n).cumsum())]
+    frame = spark.createDataFrame(data, "session_id string, unix_time double, _row long, x double, y double, note string")
+    whole = filters.filtrate(frame, ("session_id",), method, ("x", "y"))
+    cut = filters.filtrate(frame, ("session_id",), method, ("x", "y"), rows_per_task=rows)
+    assert cut.columns == whole.columns
+    a, b = ({(r["session_id"], r["_row"]): (r["f_x"], r["f_y"], r["note"]) for r in f.collect()} for f in (whole, cut))
+    assert a.keys() == b.keys() and len(a) == len(data)
+    for k in a:
+        for u, v in zip(a[k][:2], b[k][:2]):
+            assert (u is None) == (v is None) and (u is None or abs(u - v) < 1e-9 * (1 + abs(u))), (k, u, v)
+
+
+def test_a_session_without_velocity_has_no_label(spark):
+    from trackspark.trace import Trace
+
+    rows = [("a", float(i), 0.0, 0.0, 1.0 + i % 2) for i in range(30)] + [("b", float(i), 0.0, 0.0, None) for i in range(5)]
+    frame = spark.createDataFrame(rows, "session_id string, unix_time double, x double, y double, velocity double")
+    t = Trace.from_dataframe(frame, coord_system="local").designate(min_pts=10)
+    assert {(r["session_id"], r["designation"]) for r in t.df.collect()} == {("a", "active_1"), ("b", None)}
+    found = {r["session_id"]: r["issues"] for r in t.quality("designate").collect()}
+    assert found["a"] == [] and len(found["b"]) == 3
+    summary = t.quantitate(allocation=None, ordered=True, n=F.count("*")).collect()
+    assert [r["session_id"] for r in summary] == ["a", "b"]

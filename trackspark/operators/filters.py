@@ -15,9 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-from trackspark.functions.columns import RATE, ROW, TIME, clean
+from trackspark.functions.columns import RATE, ROW, TIME, clean, in_order
 from trackspark.operators.sessions import by_session
 
 METHODS = {"butterworth", "sma", "ema", "savgol"}
@@ -198,6 +198,96 @@ def by_valid(
     return by_session(df, keys, (TIME, ROW), needs, dict.fromkeys(columns.values(), DoubleType()), run)
 
 
+def in_pieces(
+    df: DataFrame, keys: Sequence[str], columns: dict[str, str], b: Sequence[float], a: Sequence[float], rows_per_task: int, both_ways: bool
+) -> DataFrame:
+    """A recursive filter over sessions that are cut into pieces, each in a task of its own.
+
+    A piece's effect on the filter's state is linear: A^m s + z, of its m values.
+    The first pass finds z of each piece, forwards from rest, and backwards what
+    the forward result from rest (z0) and from a state (K) leave. These few
+    numbers a piece are chained by session, which gives every piece its states
+    at both ends; the second pass filters with them. A task holds a piece's
+    rows; results are those of the whole session but for rounding. Forwards
+    only, a series begins in the state of its first value (an average's start).
+    """
+    way = _recursion(tuple(map(float, b)), tuple(map(float, a)))
+    k, sources = len(way.step), list(columns)
+    cut = df.withColumn("__piece", F.floor((F.row_number().over(in_order(keys)) - 1) / rows_per_task))
+    by = [*keys, "__piece"]
+
+    def values(part: pd.DataFrame, c: str) -> np.ndarray:
+        v = part[c].to_numpy(float)
+        return v[~np.isnan(v)]
+
+    def summary(part: pd.DataFrame) -> pd.DataFrame:
+        part, rows = part.sort_values([TIME, ROW]), []
+        for c in sources:
+            v = values(part, c)
+            y, z = way.run(v)
+            z0, turn = np.zeros(k), np.zeros((k, k))
+            if both_ways:
+                z0 = way.run(y[::-1])[1]
+                turn = np.array([way.run(way.run(np.zeros(len(v)), e)[0][::-1])[1] for e in np.eye(k)]).T
+            rows.append((c, len(v), v[0] if len(v) else math.nan, [*z, *z0, *turn.ravel()]))
+        out = pd.DataFrame(rows, columns=["__column", "__m", "__first", "__map"])
+        for key in by:
+            out[key] = part[key].iloc[0]
+        return out[[*by, "__column", "__m", "__first", "__map"]]
+
+    def chained(part: pd.DataFrame) -> pd.DataFrame:
+        out = part.drop_duplicates("__piece").sort_values("__piece")[by].reset_index(drop=True)
+        for c in sources:
+            own = part[part["__column"] == c].sort_values("__piece")
+            counts, maps = own["__m"].to_numpy(), np.stack(own["__map"].to_numpy())
+            powers = [np.linalg.matrix_power(way.step, int(m)) for m in counts]
+            started = own["__first"].dropna()
+            state = np.zeros(k)
+            if not both_ways and len(started):  # an average before its first value is that value
+                state = way.step[:, 0] * started.iloc[0]
+            starts, ends = [], [np.zeros(k)] * len(counts)
+            for p, power in enumerate(powers):
+                starts.append(state)
+                state = power @ state + maps[p, :k]
+            if both_ways:
+                # The zeros beyond the end, there and back.
+                u = way.run(way.run(np.zeros(2 * max(len(a), len(b))), state)[0][::-1])[1]
+                for p in range(len(counts) - 1, -1, -1):
+                    ends[p] = u
+                    u = powers[p] @ u + maps[p, k : 2 * k] + maps[p, 2 * k :].reshape(k, k) @ starts[p]
+            out[f"__n_{c}"] = float(counts.sum())
+            for j in range(k):
+                out[f"__s{j}_{c}"], out[f"__u{j}_{c}"] = [s[j] for s in starts], [e[j] for e in ends]
+        return out
+
+    kinds = {f.name: f for f in cut.schema}
+    fields = StructType([kinds[c] for c in by])
+    parts = cut.select(*by, TIME, ROW, *sources).groupBy(*by).applyInPandas(
+        summary, StructType([*fields]).add("__column", "string").add("__m", "long").add("__first", "double").add("__map", ArrayType(DoubleType()))
+    )
+    known = [f"__{x}_{c}" for c in sources for x in ("n", *[f"{w}{j}" for j in range(k) for w in "su"])]
+    schema = StructType([*fields])
+    for name in known:
+        schema = schema.add(name, "double")
+    states = parts.groupBy(*keys).applyInPandas(chained, schema)
+
+    def run(read: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        out = {}
+        for c, name in columns.items():
+            v = read[c].astype(float)
+            ok = ~np.isnan(v)
+            out[name] = np.full(len(v), np.nan)
+            if read[f"__n_{c}"][0] >= LEAST_VALUES:
+                s, u = (np.array([read[f"__{w}{j}_{c}"][0] for j in range(k)]) for w in "su")
+                y = way.run(v[ok], s)[0]
+                out[name][ok] = way.run(y[::-1], u)[0][::-1] if both_ways else y
+        return out
+
+    met = cut.join(states, by)
+    made = dict.fromkeys(columns.values(), DoubleType())
+    return by_session(met, by, (TIME, ROW), [*sources, *known], made, run).drop("__piece", *known)
+
+
 def filtrate(
     df: DataFrame,
     keys: Sequence[str],
@@ -212,8 +302,13 @@ def filtrate(
     clamp: str | Sequence[str] | None = "velocity",
     rate: float = 10,
     edge: str = "zero",
+    rows_per_task: int | None = None,
 ) -> DataFrame:
-    """``f_<column>`` of each target; a second pass goes over the first one's result."""
+    """``f_<column>`` of each target; a second pass goes over the first one's result.
+
+    With ``rows_per_task`` sessions that outgrow a task are cut into pieces of
+    so many rows for the recursive filters (of one rate, without reflection).
+    """
     method = ALIASES.get(method, method)
     if method not in METHODS:
         raise ValueError(f"method is one of {', '.join(sorted(METHODS))}")
@@ -223,6 +318,11 @@ def filtrate(
         out = df.withColumns({f"f_{c}": sma(source[c], keys, window) for c in columns})
     elif method == "savgol":
         out = df.withColumns({f"f_{c}": savgol(source[c], keys, poly_order, window) for c in columns})
+    elif rows_per_task is not None:
+        if method == "butterworth" and (RATE in df.columns or edge != "zero"):
+            raise ValueError("pieces of sessions need one rate, and zeros beyond the end")
+        b, a = butterworth_design(n, cutoff / (rate / 2), kind) if method == "butterworth" else ([alpha], [1.0, alpha - 1])
+        out = in_pieces(df, keys, {source[c]: f"f_{c}" for c in columns}, b, a, rows_per_task, method == "butterworth")
     else:
         def made(own: float | None) -> Callable[[np.ndarray], np.ndarray]:
             if method == "ema":

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackspark.functions.columns import RATE, ROW, TIME, finite, in_order, island, session
-from trackspark.operators import coordinate, kinematics, resample
+from trackspark.operators import coordinate, filters, kinematics, resample
 
 GPS_BOUNDS = {"lat": 90, "lng": 180}
 
@@ -258,14 +258,56 @@ def derivative_quality(before: DataFrame, keys: Sequence[str], **options) -> Dat
     return found.withColumn("issues", issues)
 
 
-def designation_quality(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """session, share of labelled rows and number of labels, and issues."""
+def filter_quality(before: DataFrame, keys: Sequence[str], method: str, target: str | Sequence[str], **options) -> DataFrame:
+    """session, column: values filtered, nulls that the filter adds, values clamped at 0, and issues.
+
+    Worked out from the rows before the step, filtered without the clamp.
+    """
+    columns = filters.targets(before, target)
+    clamp = options.pop("clamp", "velocity")
+    clamped = {clamp} if isinstance(clamp, str) else set(clamp or ())
+    source = {c: f"f_{c}" if f"f_{c}" in before.columns else c for c in columns}
+    work = before.withColumns({f"__was_{c}": F.col(source[c]) for c in columns})
+    out = filters.filtrate(work, keys, method, target, clamp=None, **options)
+    each = F.array(
+        *[
+            F.struct(F.lit(c).alias("column"), F.col(f"__was_{c}").alias("was"), F.col(f"f_{c}").alias("now"), F.lit(c in clamped).alias("clamped"))
+            for c in columns
+        ]
+    )
+    long = out.select(*keys, F.inline(each))
+    found = long.groupBy(*keys, "column").agg(
+        F.count("*").alias("n_rows"),
+        F.count("was").alias("n_valid"),
+        F.count_if(F.col("was").isNotNull() & F.col("now").isNull()).alias("n_lost"),
+        F.count_if(F.col("clamped") & (F.col("now") < 0)).alias("n_clamped"),
+    )
+    few = _flag(F.col("n_valid") < filters.LEAST_VALUES, f"fewer than {filters.LEAST_VALUES} values: nothing is filtered")
+    return found.withColumn("issues", _listed(few))
+
+
+def designation_quality(df: DataFrame, keys: Sequence[str], min_points: int | Column | None = None) -> DataFrame:
+    """session, rows, share of labelled rows, number of labels, and issues.
+
+    With ``min_points``, of a search for changepoints: sessions shorter than
+    twice that, and those without any finite velocity, which have no label.
+    """
+    searched = min_points is not None and "velocity" in df.columns
+    points = min_points if isinstance(min_points, Column) else F.lit(min_points or 0)
     out = df.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"),
         (F.count("designation") / F.count("*")).alias("coverage"),
         F.count_distinct("designation").alias("n_labels"),
+        (F.count_if(finite(F.col("velocity"))) if searched else F.count("*")).alias("n_finite"),
+        F.max(points).cast("long").alias("min_points"),
+    )
+    c = F.col
+    issues = _listed(
+        _flag(c("n_finite") == 0, "no finite velocity: nothing is labelled"),
+        _flag(F.lit(searched) & (c("n_rows") < 2 * c("min_points")), "%d rows are fewer than twice %d, the least of a segment", c("n_rows"), c("min_points")),
+        _flag(c("coverage") < 0.9, "%.1f%% of the rows are labelled", 100 * c("coverage")),
     )
-    low = _flag(F.col("coverage") < 0.9, "%.1f%% of the rows are labelled", 100 * F.col("coverage"))
-    return out.withColumn("issues", _listed(low))
+    return out.withColumn("issues", issues)
 
 
 def band_counts(df: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:

@@ -988,6 +988,30 @@ def quality_derivate(spark, sf_dir):
     return rounded(found.select(SESSION, *names), velocity_max=9)
 
 
+@query(
+    "quality_filtrate",
+    f"""WITH {E}, v AS (SELECT session_id, unix_time, _row, CASE WHEN x >= 30 THEN x - 60 END AS v FROM e),
+    f AS (SELECT *, CASE WHEN v IS NOT NULL AND count(v) OVER w = 5 THEN avg(v) OVER w END AS s FROM v
+          WINDOW w AS (PARTITION BY session_id, v IS NULL ORDER BY unix_time, _row ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+    SELECT session_id, 'velocity' AS "column", count(*) AS n_rows, count(v) AS n_valid, count(*) FILTER (WHERE v IS NOT NULL AND s IS NULL) AS n_lost,
+           count(*) FILTER (WHERE s < 0) AS n_clamped, (count(v) < 4)::INT AS n_issues FROM f GROUP BY session_id""",
+)
+def quality_filtrate(spark, sf_dir):
+    trace = events(spark, sf_dir).elaborate(velocity=F.when(F.col("x") >= 30, F.col("x") - 60)).filtrate("sma", "velocity", window=5)
+    return trace.quality("filtrate").withColumn("n_issues", F.size("issues")).drop("issues")
+
+
+@query(
+    "quality_designate",
+    f"""WITH {E} SELECT session_id, count(*) AS n_rows, count(CASE WHEN x >= 99 THEN x END) AS n_finite, CAST(30 AS BIGINT) AS min_points,
+    (count(CASE WHEN x >= 99 THEN x END) = 0)::INT + (count(*) < 60)::INT + (count(CASE WHEN x >= 99 THEN x END) = 0)::INT AS n_issues FROM e GROUP BY session_id""",
+)
+def quality_designate(spark, sf_dir):
+    trace = events(spark, sf_dir).elaborate(velocity=F.when(F.col("x") >= 99, F.col("x"))).designate(v_threshold=50, min_pts=30)
+    found = trace.quality("designate").withColumn("n_issues", F.size("issues"))
+    return found.select(SESSION, "n_rows", "n_finite", "min_points", "n_issues")
+
+
 # Bands and summaries -----------------------------------------------------------------------
 
 SPEEDS = {"velocity": (0, 10, 20, 40, 80)}

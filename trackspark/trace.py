@@ -295,7 +295,8 @@ class Trace:
         options = {"clamp" if k == "clamp_non_negative" else "kind" if k == "type" else k: v for k, v in options.items()}
         rows = self.df.withColumn(RATE, F.lit(float(given))) if given and self.own_rates() else self.df
         df = filters.filtrate(rows, self.keys, method, target, rate=rate, **options)
-        return self._after("filtrate", df, {"method": method, "target": target, "rate": rate, **options}, notes)
+        source = self._from("filtrate", method=method, target=target, rate=rate, **options)
+        return source._after("filtrate", df, {"method": method, "target": target, "rate": rate, **options}, notes)
 
     def filtrate_cutoff(
         self, target: str | Sequence[str] = "coordinates", method: str = "butterworth", steps: int = 50, low: float | None = None, high: float | None = None
@@ -358,8 +359,8 @@ class Trace:
         points = int(5 * self.rate(10)) if min_pts is None else min_pts
         own = self.own_rates() and min_pts is None
         df = segment.designate(self.df, self.keys, v_threshold, F.floor(5 * self.rates(10)) if own else points)
-        points = "5 seconds" if own else points
-        return self._after("designate", df, {"method": "changepoint", "v_threshold": v_threshold, "min_pts": points})
+        source = self._from("designate", min_points=None if own else points)
+        return source._after("designate", df, {"method": "changepoint", "v_threshold": v_threshold, "min_pts": "5 seconds" if own else points})
 
     def export_designations(self, path: str | None = None, strict: bool = False) -> DataFrame:
         runs = segment.export_designations(self.df, self.keys, strict)
@@ -399,10 +400,12 @@ class Trace:
             out = out.allocate(allocation, name)
         return out
 
-    def quantitate(self, allocation: str | None = "allocation_1", derivative: str | Sequence[str] = "velocity", scope: str = "designation", active_only: bool = False, extra_keys: Sequence[str] = (), across_sessions: bool = False, **measures: Column) -> DataFrame:
-        """A summary table; ``across_sessions`` leaves the session out of the groups."""
+    def quantitate(self, allocation: str | None = "allocation_1", derivative: str | Sequence[str] = "velocity", scope: str = "designation", active_only: bool = False, extra_keys: Sequence[str] = (), across_sessions: bool = False, ordered: bool = False, **measures: Column) -> DataFrame:
+        """A summary table; ``across_sessions`` leaves the session out of the groups, ``ordered`` sorts by them."""
         keys = () if across_sessions else self.keys
-        return summarise.quantitate(self.df, keys, measures, allocation, derivative, scope, active_only, extra_keys)
+        out = summarise.quantitate(self.df, keys, measures, allocation, derivative, scope, active_only, extra_keys)
+        groups = [c for c in out.columns if c not in measures]
+        return out.orderBy(*groups) if ordered and groups else out
 
     def quantitate_rollup(self, allocation: str | None = "allocation_1", derivative: str | Sequence[str] = "velocity", **measures: Column) -> DataFrame:
         """Summaries of segments, sessions and all sessions at once."""
@@ -439,10 +442,13 @@ class Trace:
             return provenance.coordinate_quality(df, keys, before)
         if step == "interpolate" and before is not None:
             return provenance.interpolation_quality(before, keys, **options)
+        if step == "filtrate" and before is not None:
+            return provenance.filter_quality(before, keys, **options)
+        if step == "designate":
+            points = options.get("min_points", 0) if before is not None else None
+            return provenance.designation_quality(df, keys, F.floor(5 * self.rates(10)) if points is None and before is not None else points)
         if step == "derivate" and before is not None:
             return provenance.derivative_quality(before, keys, **options)
-        if step == "designate":
-            return provenance.designation_quality(df, keys)
         if step == "allocate":
             return provenance.band_counts(df, keys, [c for c in df.columns if c.endswith("_band")])
         names = {
