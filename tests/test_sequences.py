@@ -132,3 +132,26 @@ def test_a_session_without_velocity_has_no_label(spark):
     assert found["a"] == [] and len(found["b"]) == 3
     summary = t.quantitate(allocation=None, ordered=True, n=F.count("*")).collect()
     assert [r["session_id"] for r in summary] == ["a", "b"]
+
+
+def test_changepoints_in_pieces_are_those_of_the_full_search(spark):
+    rng = np.random.default_rng(11)
+    series = {}
+    for k in range(8):
+        n = int(rng.integers(900, 2600))
+        lengths = rng.integers(40, 400, 40)
+        series[f"s{k}"] = np.repeat(rng.normal(0, 4, 40), lengths)[:n] + rng.normal(0, rng.choice([0.2, 1.0]), n)
+    slow = np.concatenate([np.zeros(1500), np.full(1500, 0.25)]) + rng.normal(0, 1, 3000)
+    series |= {"slow": slow, "short": rng.normal(0, 1, 30), "one": np.array([1.0])}
+    rows = [(s, float(i), i, None if i % 50 == 7 and len(v) > 1 else float(x)) for s, v in series.items() for i, x in enumerate(v)]
+    rows.append(("none", 0.0, 0, None))
+    frame = spark.createDataFrame(rows, "session_id string, unix_time double, _row long, velocity double")
+    whole = segment.with_blocks(frame, ("session_id",))
+    cut = segment.with_blocks_in_pieces(frame, ("session_id",), rows_per_task=500)
+    assert set(cut.columns) == set(whole.columns)
+    a, b = ({(r["session_id"], r["_row"]): r["__block"] for r in f.collect()} for f in (whole, cut))
+    assert a.keys() == b.keys() and len(a) == len(rows)
+    for s in (*series, "none"):
+        own = [k for k in a if k[0] == s]
+        assert [a[k] for k in sorted(own)] == [b[k] for k in sorted(own)], s
+    assert max(v for k, v in a.items() if k[0] == "slow" and v) >= 2

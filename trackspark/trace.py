@@ -349,8 +349,12 @@ class Trace:
         min_pts: int | None = None,
         labels: DataFrame | str | None = None,
         cols: str | Mapping[str, str] | None = None,
+        rows_per_task: int | None = None,
     ) -> Trace:
-        """Segments: by changepoints of velocity, or from ``labels`` (a table or a CSV path)."""
+        """Segments: by changepoints of velocity, or from ``labels`` (a table or a CSV path).
+
+        With ``rows_per_task`` sessions that outgrow a task are searched in pieces.
+        """
         if labels is not None:
             if isinstance(labels, str):
                 labels = self.df.sparkSession.read.option("header", True).csv(labels)
@@ -358,7 +362,7 @@ class Trace:
             return self._after("designate", df, {"method": "manual", "cols": cols})
         points = int(5 * self.rate(10)) if min_pts is None else min_pts
         own = self.own_rates() and min_pts is None
-        df = segment.designate(self.df, self.keys, v_threshold, F.floor(5 * self.rates(10)) if own else points)
+        df = segment.designate(self.df, self.keys, v_threshold, F.floor(5 * self.rates(10)) if own else points, rows_per_task)
         source = self._from("designate", min_points=None if own else points)
         return source._after("designate", df, {"method": "changepoint", "v_threshold": v_threshold, "min_pts": "5 seconds" if own else points})
 
