@@ -376,3 +376,12 @@ def test_empty_tables(spark):
     for frame in (exact_groups(none), near_duplicates(none), identify(none), score(none, marks), mix(none), reshard(none), drop_frequent_lines(none), bpe(none, path)):
         assert frame.count() == 0
     assert warc.archive_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_a_text_of_very_many_lines_takes_linear_time(spark):
+    lines = [f"line {i}" for i in range(100_000)] + ["Line 7 ", "", "common"]
+    rows = [(0, "\n".join(lines))] + [(i, "common\nown") for i in range(1, 12)]
+    found = drop_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=10)
+    kept = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in found.collect()}
+    assert kept[0] == (100_003, 1, "\n".join(lines[:-1]))
+    assert kept[1][:2] == (2, 2)

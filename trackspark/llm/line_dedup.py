@@ -56,7 +56,9 @@ def _keys(lines: Column) -> Column:
 def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line key: h, g, n_docs, first (id and position of the first line).
 
-    Each document deals out its distinct keys with their first positions. They
+    Each document deals out its distinct keys with their first positions: its
+    keys and positions are sorted, and each that differs from the one before is
+    the first of its kind, so that many lines of one text take their sort. They
     are range-partitioned by key, document and position, so that a key of very
     many documents spans several partitions, and sorted by the same; each
     partition is streamed in that order and gives one row per key, and only
@@ -65,14 +67,19 @@ def line_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # The range partitioning reads its input twice (to find the ranges first), so
     # the hashes, a few bytes a line, are a scratch table.
     keyed = docs.select(F.col(id_col).alias("id"), _keys(_lines(F.col(text_col))).alias("keys"))
+    places = F.transform(
+        "keys", lambda k, i: F.when(k.isNotNull(), F.struct(k["h"].alias("h"), k["g"].alias("g"), i.cast("long").alias("pos")))
+    )
+
+    def is_first(k: Column, i: Column) -> Column:
+        before = F.get("places", i - 1)
+        return (i == 0) | (k["h"] != before["h"]) | (k["g"] != before["g"])
+
     return (
         materialise(keyed, "line_keys")
-        .select(
-            "id",
-            "keys",
-            F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key"),
-        )
-        .select("key.h", "key.g", "id", (F.array_position("keys", F.col("key")) - 1).alias("pos"))
+        .select("id", F.array_sort(F.array_compact(places)).alias("places"))
+        .select("id", F.explode(F.filter("places", is_first)).alias("key"))
+        .select("key.h", "key.g", "id", "key.pos")
         .repartitionByRange("h", "g", "id", "pos")
         .sortWithinPartitions("h", "g", "id", "pos")
         .groupBy("h", "g")
