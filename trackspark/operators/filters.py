@@ -101,24 +101,22 @@ class Recursion:
         self.step = np.eye(k, k=1)
         self.step[:, 0] -= a[1:]
         self.enter = b[1:] - a[1:] * b[0]
-        reach = [np.eye(k)[0]]  # row i: what comes out i samples after a state
+        self.powers = [np.eye(k)]  # of the step, by samples
         for _ in range(BLOCK):
-            reach.append(reach[-1] @ self.step)
-        self.out = np.array(reach[:BLOCK])
+            self.powers.append(self.powers[-1] @ self.step)
+        self.out = np.array([p[0] for p in self.powers[:BLOCK]])  # row i: what comes out i samples after a state
         response = np.concatenate([[b[0]], self.out[: BLOCK - 1] @ self.enter])
         lags = np.arange(BLOCK)[:, None] - np.arange(BLOCK)
         self.within = np.where(lags >= 0, response[np.maximum(lags, 0)], 0.0)
-        powers = [self.enter]
-        for _ in range(BLOCK - 1):
-            powers.append(self.step @ powers[-1])
-        self.gather = np.array(powers[::-1])  # row i: what sample i leaves in the block's last state
+        # Row i: what sample i leaves in the block's last state.
+        self.gather = np.array([p @ self.enter for p in self.powers[BLOCK - 1 :: -1]])
 
     def run(self, v: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The filtered series and the state after it; from rest, or from a state."""
         state = np.zeros(len(self.step)) if state is None else state
         many = len(v) // BLOCK
         blocks = v[: many * BLOCK].reshape(many, BLOCK)
-        left, whole = blocks @ self.gather, np.linalg.matrix_power(self.step, BLOCK)
+        left, whole = blocks @ self.gather, self.powers[BLOCK]
         states = np.empty((many, len(state)))
         for i in range(many):
             states[i] = state
@@ -126,7 +124,9 @@ class Recursion:
         rest = v[many * BLOCK :]
         n = len(rest)
         tail = self.within[:n, :n] @ rest + self.out[:n] @ state
-        state = np.linalg.matrix_power(self.step, n) @ state + rest @ self.gather[BLOCK - n :]
+        state = self.powers[n] @ state + rest @ self.gather[BLOCK - n :]
+        if not many:
+            return tail, state
         return np.concatenate([(blocks @ self.within.T + states @ self.out.T).ravel(), tail]), state
 
 
@@ -137,6 +137,7 @@ def ema(v: np.ndarray, alpha: float) -> np.ndarray:
     return pd.Series(v).ewm(alpha=alpha, adjust=False).mean().to_numpy()
 
 
+@lru_cache(maxsize=1024)
 def butterworth_design(order: int, cutoff: float, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Coefficients by the bilinear transform; ``cutoff`` is a part of the Nyquist rate."""
     if not 0 < cutoff < 1:
@@ -339,10 +340,19 @@ def filtrate(
 
 
 def _signals(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rate: float) -> DataFrame:
-    """keys, time, row, signal, value and ``__rate``: each session's own rate, or else ``rate``."""
+    """keys, time, row, signal, value and ``__rate``: each session's own rate, or else ``rate``.
+
+    Dealt by session and signal to as many tasks as the session asks for, as a
+    sweep takes long for few bytes.
+    """
     own = F.coalesce(RATE, F.lit(float(rate))) if RATE in df.columns else F.lit(float(rate))
     slim = df.select(*keys, TIME, ROW, own.alias("__rate"), *columns)
-    return slim.unpivot([*keys, TIME, ROW, "__rate"], list(columns), "signal", "value").filter("value is not null")
+    long = slim.unpivot([*keys, TIME, ROW, "__rate"], list(columns), "signal", "value").filter("value is not null")
+    return _dealt(long, keys)
+
+
+def _dealt(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "signal")
 
 
 def residual_sweep(
@@ -527,4 +537,4 @@ def elbows(residuals: DataFrame, keys: Sequence[str], spar: float = 0.6) -> Data
     fields = [f for f in residuals.schema if f.name in (*keys, "signal")]
     schema = StructType([f for k in (*keys, "signal") for f in fields if f.name == k]).add("cutoff", "double")
     there = residuals.filter("residual is not null").select(*keys, "signal", "cutoff", "residual")
-    return there.groupBy(*keys, "signal").applyInPandas(find, schema)
+    return _dealt(there, keys).groupBy(*keys, "signal").applyInPandas(find, schema)
