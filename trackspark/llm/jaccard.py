@@ -28,8 +28,12 @@ ORDERS = (0x51ED27, 0xC2B2AE)
 PREFIXES = tuple(f"order{k}" for k in range(len(ORDERS)))
 #: 64-bit words of a set's sketch.
 SKETCH = tuple(f"s{k}" for k in range(4))
+#: And of its wide one, for the last step, whose pairs are near but mostly do not link.
+WIDE = tuple(f"w{k}" for k in range(16))
 #: Pivots of a token's bucket, and rounds of pairing nodes with pivots.
 PIVOTS, ROUNDS = 4, 3
+#: Steps of label propagation between these rounds, which need no final labels.
+HOPS = 2
 #: Bytes of cells that a task counts together.
 COUNT_BYTES = 48 << 20
 
@@ -328,24 +332,25 @@ def postings(docs: DataFrame, known, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(tidy(post), "token long, node long, n int, at int")
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
+def _sketch(tokens: np.ndarray, words: int) -> np.ndarray:
     """Parities of the tokens by cell: two sets differ in as many tokens as cells, or more."""
-    cells = np.bincount((tokens & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH))
+    cells = np.bincount((tokens & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words)
     return np.packbits((cells & 1).astype(bool), bitorder="little").view("<i8")
 
 
 def candidate_sets(docs: DataFrame, known, width: int, percent: int) -> DataFrame:
-    """node, n, sketch, its prefixes under the further orders, and its tokens as bytes."""
+    """node, n, both sketches, its prefixes under the further orders, and its tokens as bytes."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, bits, sketches = [], [], [], []
+            nodes, sizes, bits, sketches, wide = [], [], [], [], []
             prefixes: list[list] = [[] for _ in PREFIXES]
             for own in shingle_sets(batch.column(1), width):
                 nodes.append(int(mixed(own).sum(dtype=np.uint64).view(np.int64)))
                 sizes.append(len(own))
                 bits.append(own.tobytes())
-                sketches.append(_sketch(own))
+                sketches.append(_sketch(own, len(SKETCH)))
+                wide.append(_sketch(own, len(WIDE)))
                 for k, seed in enumerate(ORDERS):
                     prefixes[k].append(_prefix(own, known.value, seed, percent)[0].astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays(
@@ -353,13 +358,14 @@ def candidate_sets(docs: DataFrame, known, width: int, percent: int) -> DataFram
                     pa.array(nodes, pa.int64()),
                     pa.array(sizes, pa.int32()),
                     *[pa.array([x[k] for x in sketches], pa.int64()) for k in range(len(SKETCH))],
+                    *[pa.array([x[k] for x in wide], pa.int64()) for k in range(len(WIDE))],
                     *[pa.array(f, pa.list_(pa.int32())) for f in prefixes],
                     pa.array(bits, pa.binary()),
                 ],
-                names=["node", "n", *SKETCH, *PREFIXES, "tokens"],
+                names=["node", "n", *SKETCH, *WIDE, *PREFIXES, "tokens"],
             )
 
-    words = "".join(f"{c} long, " for c in SKETCH)
+    words = "".join(f"{c} long, " for c in SKETCH + WIDE)
     arrays = "".join(f"{c} array<int>, " for c in PREFIXES)
     return docs.mapInArrow(tidy(sets), f"node long, n int, {words}{arrays}tokens binary")
 
@@ -371,13 +377,13 @@ def _links(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _distance(a: str, b: str) -> Column:
+def _distance(a: str, b: str, sketch: tuple[str, ...] = SKETCH) -> Column:
     """Cells in which the sketches of two structs differ."""
-    words = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in SKETCH]
+    words = [F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in sketch]
     return sum(words[1:], words[0])
 
 
-def may_link(a: str, b: str, percent: int) -> Column:
+def may_link(a: str, b: str, percent: int, sketch: tuple[str, ...] = SKETCH) -> Column:
     """What must hold of two structs (node, n, at of a token they share, sketch) that link.
 
     Their sizes are near; the token is as early in both as the first one that
@@ -393,7 +399,7 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
     both = least(x + y)
     early = (F.col(f"{a}.at") <= x - both) & (F.col(f"{b}.at") <= y - both)
-    few = _distance(a, b) <= x + y - 2 * both
+    few = _distance(a, b, sketch) <= x + y - 2 * both
     return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & early & few
 
 
@@ -427,22 +433,26 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFr
     return materialise(found, name)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, known: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """node, label: the smallest node that links (a, b) lead to.
 
     Each round gives every node the smallest label around it and then its
     label's own label, so paths shrink by half or more; minima are taken before
-    the shuffle, so a node of very many links is no burden.
+    the shuffle, so a node of very many links is no burden. ``known`` are labels
+    by some of the links, to begin with. Stopped after so many ``rounds``, labels
+    are nodes that links lead to, but not the smallest ones everywhere.
     """
     both = materialise(
         links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))),
         "both_ways",
     )
-    labels = materialise(
-        both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")),
-        "labels",
-    )
+    labels = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
+    if known is not None:
+        known = known.withColumnRenamed("label", "before")
+        labels = labels.join(known, "node", "left").select("node", F.least("label", "before").alias("label"))
+    labels, turn = materialise(labels, "labels"), 0
     while True:
+        turn += 1
         around = (
             both.join(labels, F.col("b") == F.col("node"))
             .groupBy("a")
@@ -460,7 +470,7 @@ def components(links: DataFrame) -> DataFrame:
             jumped.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("changed")).select("node", "label"),
             "labels",
         )
-        if not seen.get["changed"]:
+        if not seen.get["changed"] or turn == rounds:
             return labels
 
 
@@ -523,7 +533,7 @@ def joined_across(
     found = linked(nearest, sets, percent, "cross_links")
     if not found.isEmpty():
         links = links.unionByName(found)
-        labels = components(links)
+        labels = components(links, labels)
     now = {end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")) for end in "ab"}
     rest = (
         cross.select("a", "b")
@@ -536,7 +546,7 @@ def joined_across(
     found = linked(materialise(rest, "rest"), sets, percent, "rest_links")
     if not found.isEmpty():
         links = links.unionByName(found)
-        labels = components(links)
+        labels = components(links, labels)
     return links, labels
 
 
@@ -564,7 +574,8 @@ def near_duplicates(
        components, so that few nodes are left for the last step.
     4. In each token's bucket, nodes in the most frequent component so far need
        nothing more from each other. The others meet the nodes of other
-       components; only pairs whose sketches don't rule a link out are given.
+       components; only pairs whose sketches (of 1024 bits here, four times as
+       wide as in the rounds) don't rule a link out are given.
        They are filtered and verified likewise, first one pair for each pair of
        components, then those that still are in two. No pair of different
        components is left out, so the components are complete. Pairs that are
@@ -627,8 +638,9 @@ def near_duplicates(
         likely = F.col("middle") if turn == 0 else F.xxhash64(F.lit(turn), "x.node")
         star = nearest_pivots(placed, likely, turn, percent)
         found = linked(materialise(star, "star"), sets, percent, "star_links")
+        last = turn == ROUNDS - 1
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = components(links, labels, None if last else HOPS)
         placed = materialise(
             marked.withColumn("node", F.col("x.node"))
             .join(labels, "node", "left")
@@ -644,7 +656,14 @@ def near_duplicates(
         .filter("labels > 1")
         .select("token", "main")
     )
-    open_rows = materialise(placed.join(materialise(largest, "largest"), "token"), "open")
+    known.destroy()
+    open_rows = placed.join(materialise(largest, "largest"), "token").select(
+        "token", "label", "main", "x.node", "x.n", "x.at"
+    )
+    wide = F.struct("node", "n", "at", *WIDE).alias("x")
+    open_rows = materialise(
+        open_rows.join(sets.select("node", *WIDE), "node").select("token", "label", "main", wide), "open"
+    )
     minor = open_rows.filter("label <> main").select(
         "token", F.col("x").alias("y"), F.col("label").alias("label_y")
     )
@@ -652,13 +671,13 @@ def near_duplicates(
     once = (F.col("label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
     cross = (
         minor.join(open_rows, "token")
-        .filter((F.col("label_y") != F.col("label")) & once & may_link("x", "y", percent))
+        .filter((F.col("label_y") != F.col("label")) & once & may_link("x", "y", percent, WIDE))
         .select(
             F.least("x.node", "y.node").alias("a"),
             F.greatest("x.node", "y.node").alias("b"),
             F.least("label", "label_y").alias("low"),
             F.greatest("label", "label_y").alias("high"),
-            _distance("x", "y").alias("away"),
+            _distance("x", "y", WIDE).alias("away"),
         )
         .distinct()
     )
