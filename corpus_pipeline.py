@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.llm.bpe import bpe
-from trackspark.llm.common import held, materialise, release
+from trackspark.llm.common import Scratch, materialise, release, scratch
 from trackspark.llm.exact_dedup import drop_exact_copies
 from trackspark.llm.jaccard import drop_near_duplicates
 from trackspark.llm.mixing import mixed_documents
@@ -71,10 +71,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; a stage's scratch tables go once its result is written."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = held()
+    """All stages over ``documents``.
+
+    A stage's scratch tables and broadcasts go once its result is written, and
+    with them the result before it.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch()
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-        release(spark, before, newest=1)
+        with scratch() as own:
+            found = stage(spark, docs, sf_dir)
+        with scratch() as result:
+            docs = materialise(found, name)
+        for made in (own, before):
+            release(spark, made)
+        before = result
     return docs

@@ -5,6 +5,7 @@ import sys
 from collections import Counter
 
 import corpus_pipeline as pipeline
+from trackspark.llm.common import materialise, release, scratch, told
 from trackspark.llm.mixing import mix
 from trackspark.llm.toxicity import score
 
@@ -62,3 +63,18 @@ def test_stages_keep_what_brute_force_keeps(spark):
     assert max(copies.values()) <= 2
     # A document that is taken in part comes whole.
     assert all(copies[i] == -(-got // size) if size else i not in copies for i, (got, size) in taken.items())
+
+
+def test_blocks_release_what_they_made_and_nothing_else(spark):
+    with scratch() as kept:
+        stays = materialise(spark.range(5), "stays")
+        with scratch() as given_up:
+            goes = materialise(spark.range(7), "goes")
+            shared = told(spark, [1])
+        last = materialise(spark.range(3), "last")
+    assert [len(x.folders) for x in (kept, given_up)] == [2, 1] and given_up.broadcasts == [shared]
+    goes_files = goes.inputFiles()
+    release(spark, given_up)
+    assert stays.count() == 5 and last.count() == 3
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in goes_files)
+    assert not given_up.folders and not given_up.broadcasts

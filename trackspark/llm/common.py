@@ -6,9 +6,13 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
+from typing import Any
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,29 @@ RUN_ROWS = 20_000
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 
-_scratch: list[str] = []
+
+class Scratch:
+    """Folders and broadcasts that are given up together, by :func:`release`."""
+
+    def __init__(self) -> None:
+        self.folders: list[str] = []
+        self.broadcasts: list[Broadcast] = []
+
+
+_unscoped = Scratch()  # folders made outside of any block
+_scope: ContextVar[Scratch | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch() -> Iterator[Scratch]:
+    """What is made in the block, apart from what other blocks and threads make."""
+    made = Scratch()
+    before = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(before)
+
 
 Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -70,10 +96,18 @@ def _local_dir() -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, which :func:`release` deletes."""
     path = f"{shared_dir(spark)}/trackspark/{name}-{uuid.uuid4().hex}"
-    _scratch.append(path)
+    (_scope.get() or _unscoped).folders.append(path)
     return path
 
 
+def told(spark: SparkSession, value: Any) -> Broadcast:
+    """A broadcast of ``value``, which :func:`release` destroys if made in a block of :func:`scratch`."""
+    found = spark.sparkContext.broadcast(value)
+    if made := _scope.get():
+        made.broadcasts.append(found)
+    return found
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -86,22 +120,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def held() -> int:
-    """How many scratch tables there are now; for :func:`release`."""
-    return len(_scratch)
-
-
-def release(spark: SparkSession, since: int = 0, newest: int = 0) -> None:
-    """Delete the scratch tables made after the first ``since``, but for the ``newest``.
+def release(spark: SparkSession, made: Scratch | None = None) -> None:
+    """Delete the scratch tables of a block, and the broadcasts; by default tables made in none.
 
     Call it once what was read from them is stored.
     """
+    made = made or _unscoped
     jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    end = len(_scratch) - newest
-    for name in _scratch[since:end]:
+    for name in made.folders:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(hadoop).delete(path, True)
-    del _scratch[since:end]
+    for shared in made.broadcasts:
+        shared.destroy()
+    made.folders.clear()
+    made.broadcasts.clear()
 
 
 def join_groups(

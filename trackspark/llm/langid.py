@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trackspark.llm.common import small_batches
+from trackspark.llm.common import small_batches, told
 
 #: Letters of a text that are turned into n-grams at a time.
 STEP = 1 << 20
@@ -180,9 +180,7 @@ def identify(
         held_out(F.col(id_col)).alias("held_out"),
     )
     train = own.filter("lang is not null and text is not null and not held_out")
-    known = docs.sparkSession.sparkContext.broadcast(
-        Profiles(language_profiles(train, size).collect(), size)
-    )
+    known = told(docs.sparkSession, Profiles(language_profiles(train, size).collect(), size))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

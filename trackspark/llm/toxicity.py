@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackspark.llm.common import materialise, only_ids, small_batches, tidy, without_ids
+from trackspark.llm.common import materialise, only_ids, small_batches, tidy, told, without_ids
 
 #: Labelled documents that the classifiers are fitted on, at most.
 TRAIN_ROWS = 8_000
@@ -287,9 +287,9 @@ def train(
     kind = texts.schema["id"].dataType.simpleString()
 
     found = materialise(texts.join(F.broadcast(sample), "id"), "labelled_texts")
-    told = telling(found, names).toArrow()
-    known = np.sort(told.column("feature").to_numpy().view(np.uint64))
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    listed = telling(found, names).toArrow()
+    known = np.sort(listed.column("feature").to_numpy().view(np.uint64))
+    shared = told(docs.sparkSession, known)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +340,7 @@ def score(
     """
     categories = categories or default_categories()
     chain = train(docs, labels, categories, id_col=id_col, text_col=text_col)
-    known = docs.sparkSession.sparkContext.broadcast(chain)
+    known = told(docs.sparkSession, chain)
     names = [f"p_{n}" for n in categories]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,7 +7,6 @@ two gives back the original records, byte for byte.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ from trackspark.llm.common import (
     broadcast_if_small,
     join_groups,
     materialise,
-    shared_dir,
+    scratch_path,
 )
 
 CRLF = "\r\n"
@@ -301,7 +300,7 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
 def archive_pages(
     pages: DataFrame, path: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html"
 ) -> DataFrame:
-    """Archive ``pages`` below ``path`` and return what the archive says of each.
+    """Archive ``pages`` below ``path`` (or in a scratch folder) and return what the archive says of each.
 
     Writes WARC files, reads them back into the content-addressed store, and
     rebuilds the records from it. A response's payload_bytes and payload_digest
@@ -315,7 +314,7 @@ def archive_pages(
     columns are ignored. Ids are read back as their type was.
     """
     spark = pages.sparkSession
-    path = path or f"{shared_dir(spark)}/trackspark/warc-{uuid.uuid4().hex}"
+    path = path or scratch_path(spark, "warc")
     kind = pages.schema[id_col].dataType
     records = classify(pages, id_col, url_col, payload_col)
     most = pages.agg(F.max(F.octet_length(payload_col))).first()[0] or 0
