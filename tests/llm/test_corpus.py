@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -356,6 +358,25 @@ def test_many_special_tokens_do_no_harm(spark):
     assert bytes(row["ids"]) == b"".join(x.to_bytes(4, "little") for x in tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    from trackspark.llm import bpe as module
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    met = Counter()
+    encode = module.WordEncoder.encode_words
+    monkeypatch.setattr(module, "KEEP_WORDS", 60)
+    monkeypatch.setattr(module.WordEncoder, "encode_words", lambda self, words: met.update(list(words)) or encode(self, words))
+    module.forget(path)
+    often = " ".join("abcdefghij")
+    for k in range(20):  # ten words of every batch, 26 of this one only
+        texts = [often, " ".join(f"{chr(97 + k)}{chr(97 + i)}x" for i in range(26))]
+        ids, _ = module.encode_batch(texts, path)
+        want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+        assert ids == [np.array(e.ids, "<u4").tobytes() for e in want]
+    module.forget(path)
+    assert max(met.values()) == 1
+
+
 def test_bpe(spark, docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,19 +73,34 @@ class WordEncoder:
         self.parts = {made: pair for pair, (_, made) in reversed(self.merges.items())}
         #: Tokens whose own text is encoded as that one token; no other is ever used.
         self.usable = {t: i for t, i in self.vocab.items() if i not in self.parts or self._apart(*self.parts[i], made=True)}
-        #: By the last two symbols, for tokens within a word and at its end: the
-        #: lengths of the tokens that end so, longest first.
-        self.lengths = (self._lengths(""), self._lengths(self.end))
+        #: The beginnings of all tokens' own texts; a reader's state is the longest one that its text ends with.
+        self.starts = {own[:k] for own in map(self._own, self.usable) for k in range(1, len(own) + 1)}
+        #: By state: its text, the state after each symbol met so far, and, within a word and
+        #: at its end, the merged tokens that its text ends with (length, token; longest first).
+        self.states: dict[str, int] = {"": 0}
+        self.reads, self.after = [""], [{}]
+        self.chains: tuple[list[tuple], list[tuple]] = ([()], [()])
         #: By pair of tokens, as one number: whether the second may follow the first.
         self.fits: dict[int, bool] = {}
 
-    def _lengths(self, end: str) -> dict[str, list[int]]:
-        found: dict[str, set[int]] = {}
-        for token, i in self.usable.items():
-            own = token.removesuffix(end)
-            if i in self.parts and len(own) > 1 and token.endswith(end):
-                found.setdefault(own[-2:], set()).add(len(own))
-        return {pair: sorted(n, reverse=True) for pair, n in found.items()}
+    def _own(self, token: str) -> str:
+        return token.removesuffix(self.end)
+
+    def _step(self, state: int, symbol: str) -> int:
+        """The state after a symbol that a state has not met yet."""
+        text = self.reads[state] + symbol
+        while text and text not in self.starts:
+            text = text[1:]
+        found = self.states.get(text)
+        if found is None:
+            found = self.states[text] = len(self.reads)
+            self.reads.append(text)
+            self.after.append({})
+            for chain, suffix in zip(self.chains, ("", self.end)):
+                tokens = [(len(text) - k, self.usable.get(text[k:] + suffix)) for k in range(len(text) - 1)]
+                chain.append(tuple((n, t) for n, t in tokens if t in self.parts))
+        self.after[state][symbol] = found
+        return found
 
     def _apart(self, left: int, right: int, made: bool = False) -> bool:
         """Whether the two tokens side by side stay the two tokens that they are.
@@ -116,21 +131,38 @@ class WordEncoder:
         found: dict[str, list[int]] = {}
         if len(self.fits) > KEEP_PAIRS:
             self.fits.clear()
+        fits, after, vocab, end = self.fits, self.after, self.vocab, self.end
+        within, at_end = self.chains
         last: list[int] = [-1]  # by length of the prefix: last token of its encoding
-        width: list[int] = [0]  # and how many symbols that token has
+        width: list[int] = [0]  # how many symbols that token has
+        state: list[int] = [0]  # and what the reader has seen
         before = ""
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
             # All states but the word's last are those of an unfinished word.
-            del last[shared + 1 :], width[shared + 1 :]
-            n = len(word)
-            for at in range(len(last), n):
-                token, size = self._state(word, at, False, last)
-                last.append(token)
-                width.append(size)
-            token, size = self._state(word, n, True, last)
+            del last[shared + 1 :], width[shared + 1 :], state[shared + 1 :]
+            n, now = len(word), state[-1]
+            for at in range(len(last), n + 1):
+                symbol = word[at - 1]
+                new = after[now].get(symbol)
+                now = self._step(now, symbol) if new is None else new
+                for size, token in (within if at < n else at_end)[now]:
+                    if size == at:
+                        break
+                    pair = last[at - size] << 32 | token
+                    fit = fits.get(pair)
+                    if fit is None:
+                        fit = fits[pair] = self._apart(last[at - size], token)
+                    if fit:
+                        break
+                else:
+                    size, token = 1, vocab[symbol if at < n else symbol + end]
+                if at < n:
+                    last.append(token)
+                    width.append(size)
+                    state.append(now)
             ids = [token]
             at = n - size
             while at > 0:
@@ -141,28 +173,34 @@ class WordEncoder:
             before = word
         return found
 
-    def _state(self, word: str, at: int, ended: bool, last: list[int]) -> tuple[int, int]:
-        """The last token of the encoding of the word's first ``at`` symbols, and its length."""
-        vocab, fits = self.usable, self.fits
-        suffix = self.end if ended else ""
-        for size in self.lengths[ended].get(word[at - 2 : at], ()) if at > 1 else ():
-            if size <= at:
-                token = vocab.get(word[at - size : at] + suffix)
-                if token is not None:
-                    if size == at:
-                        return token, size
-                    pair = last[at - size] << 32 | token
-                    fit = fits.get(pair)
-                    if fit is None:
-                        fit = fits[pair] = self._apart(last[at - size], token)
-                    if fit:
-                        return token, size
-        return vocab[word[at - 1] + suffix], 1
+
+class Known:
+    """Words of a task and what they are encoded as, KEEP_WORDS at most.
+
+    When it is full, the words that came again in a later batch stay.
+    """
+
+    def __init__(self) -> None:
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.again: set[str] = set()
+
+    def missing(self, met: set[str]) -> set[str]:
+        """Which of a batch's words are to be encoded and put in."""
+        new = met - self.words.keys()
+        self.again |= met - new
+        if len(self.words) + len(new) > KEEP_WORDS:
+            stay = self.again if len(self.again) + len(new) <= KEEP_WORDS else met - new
+            self.words = {w: self.words[w] for w in stay}
+            self.again = set()
+        return new
+
+    def clear(self) -> None:
+        self.words, self.again = {}, set()
 
 
 @lru_cache(maxsize=2)
-def _tools(path: str) -> tuple[Tokenizer, WordEncoder, dict]:
-    return Tokenizer.from_file(path), WordEncoder(path), {}
+def _tools(path: str) -> tuple[Tokenizer, WordEncoder, Known]:
+    return Tokenizer.from_file(path), WordEncoder(path), Known()
 
 
 def _words(text: str, tokenizer: Tokenizer, encoder: WordEncoder) -> list[str]:
@@ -186,21 +224,19 @@ def _words(text: str, tokenizer: Tokenizer, encoder: WordEncoder) -> list[str]:
 
 def encode_batch(texts: list[str], path: str) -> tuple[list[bytes], list[str]]:
     """Ids and decoded text of each text of a batch."""
-    tokenizer, encoder, known = _tools(path)
+    tokenizer, encoder, kept = _tools(path)
     words = [_words(text, tokenizer, encoder) for text in texts]
-    new = set().union(*words) - known.keys()
-    if len(known) + len(new) > KEEP_WORDS:
-        known.clear()
-        new = set().union(*words)
+    new = kept.missing(set().union(*words))
+    known = kept.words
     special = new & encoder.special.keys()
     for s in special:
-        known[s] = (np.array([encoder.special[s]], "<u4").tobytes(), s)
+        known[s] = (struct.pack("<I", encoder.special[s]), s)
     symbols: dict[str, list[str]] = {}
     for w in new - special:
         own = w[1:] if w[0] == "\0" else w if w.isascii() else _byte_level(w)
         symbols.setdefault(own, []).append(w)
     for own, ids in encoder.encode_words(symbols).items():
-        both = np.array(ids, "<u4").tobytes(), " ".join([encoder.text[i] for i in ids])
+        both = struct.pack(f"<{len(ids)}I", *ids), " ".join([encoder.text[i] for i in ids])
         for w in symbols[own]:
             known[w] = both
     ids, decoded = [], []
