@@ -205,6 +205,18 @@ def test_archive_of_pages(spark, tmp_path):
     assert first == by_id(warc.reconstruct(spark, f"{path}/store"), "file", "at", "record")
 
 
+def test_the_store_is_no_larger_than_the_compressed_records(spark, tmp_path):
+    rng = random.Random(3)
+    pages = [(i, f"http://x/{i}", "<p>" + prose(rng, 3_000) + "</p>") for i in range(60)]
+    found = warc.archive_pages(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path))
+    assert found.count() == 60
+
+    def size(folder):
+        return sum(f.stat().st_size for f in (tmp_path / folder).rglob("*") if f.is_file())
+
+    assert size("store") < 1.1 * size("warc")
+
+
 def test_odd_ids_and_large_pages_come_back_from_the_archive(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "LARGE_BYTES", 150)
     monkeypatch.setattr(warc, "FILE_BYTES", 400)

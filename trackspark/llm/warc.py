@@ -237,7 +237,7 @@ def store(records: DataFrame, path: str) -> None:
     """
     kept = records.withColumn("digest", F.regexp_replace(field("WARC-Payload-Digest"), "^sha256:", ""))
     is_full = field("WARC-Type") == "response"
-    kept.select("file", "at", "header", "digest").write.parquet(f"{path}/headers")
+    kept.select("file", "at", "header", "digest").write.option("compression", "zstd").parquet(f"{path}/headers")
     places = records.sparkSession.read.parquet(f"{path}/headers").filter(is_full).select("file", "at", "digest")
     firsts = materialise(
         places.groupBy("digest").agg(F.min(F.struct("file", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1"),
@@ -254,7 +254,7 @@ def store(records: DataFrame, path: str) -> None:
         own == F.col("digest"), own
     ).otherwise(F.raise_error(F.concat(F.lit("digest mismatch: "), F.coalesce("digest", F.lit("none")))))
     full = kept.filter(is_full).join(again, ["file", "at"], "left_anti")
-    full.select(checked.alias("digest"), "body").write.parquet(f"{path}/payloads")
+    full.select(checked.alias("digest"), "body").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_store(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
