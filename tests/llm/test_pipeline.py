@@ -5,7 +5,8 @@ import sys
 from collections import Counter
 
 import corpus_pipeline as pipeline
-from trackspark.llm.common import materialise, release, scratch, told
+import pytest
+from trackspark.llm.common import materialise, release, scratch, tidy, told
 from trackspark.llm.mixing import mix
 from trackspark.llm.toxicity import score
 
@@ -78,3 +79,18 @@ def test_blocks_release_what_they_made_and_nothing_else(spark):
     assert stays.count() == 5 and last.count() == 3
     assert not any(os.path.exists(f.removeprefix("file://")) for f in goes_files)
     assert not given_up.folders and not given_up.broadcasts
+
+
+def test_a_worker_gives_its_free_memory_back_after_a_task():
+    psutil = pytest.importorskip("psutil")
+    sizes = []
+
+    def step(batches):
+        words = [b"x" * (500 + k % 7) for k in range(200_000)]
+        last = words[-1]  # memory that is free lies below memory that is not
+        del words
+        sizes.append(psutil.Process().memory_info().rss)
+        yield last
+
+    assert len(list(tidy(step)(iter([])))) == 1
+    assert psutil.Process().memory_info().rss < sizes[0] - 50e6
