@@ -5,8 +5,10 @@ import sys
 from collections import Counter
 
 import corpus_pipeline as pipeline
+import public_tokenizers
 import pytest
-from trackspark.llm.common import materialise, release, scratch, tidy, told
+from trackspark.llm import bpe
+from trackspark.llm.common import BATCH_BYTES, materialise, release, scratch, small_batches, tidy, told
 from trackspark.llm.mixing import mix
 from trackspark.llm.toxicity import score
 
@@ -94,3 +96,22 @@ def test_a_worker_gives_its_free_memory_back_after_a_task():
 
     assert len(list(tidy(step)(iter([])))) == 1
     assert psutil.Process().memory_info().rss < sizes[0] - 50e6
+
+
+def test_a_worker_lets_go_of_what_another_stage_holds():
+    bpe._tools(public_tokenizers.path("word_bpe_49k.json"))
+    held = bpe._tools.cache_info().currsize
+    assert held and list(tidy(iter, "bpe")(iter([1]))) == [1] and bpe._tools.cache_info().currsize == held
+    assert list(tidy(iter)(iter([2]))) == [2] and bpe._tools.cache_info().currsize == 0
+
+
+def test_batches_have_few_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in ((str(1 << 30), str(BATCH_BYTES)), ("64m", str(BATCH_BYTES)), ("100k", "100k"), ("5", "5")):
+            spark.conf.set(name, given)
+            small_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trackspark.llm.common import small_batches, tidy
+from trackspark.llm.common import hold, small_batches, tidy
 
 #: Distinct words whose encodings a task keeps between batches.
 KEEP_WORDS = 100_000
@@ -200,6 +200,7 @@ class Known:
 
 @lru_cache(maxsize=2)
 def _tools(path: str) -> tuple[Tokenizer, WordEncoder, Known]:
+    hold("bpe", _tools.cache_clear)
     return Tokenizer.from_file(path), WordEncoder(path), Known()
 
 
@@ -304,5 +305,5 @@ def bpe(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     )
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(
-        tidy(encode), f"id {kind}, n_tokens long, ids binary, decoded string"
+        tidy(encode, "bpe"), f"id {kind}, n_tokens long, ids binary, decoded string"
     ).withColumnRenamed("id", id_col)

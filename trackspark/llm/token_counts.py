@@ -175,7 +175,7 @@ def encode_rows(rows: DataFrame, bits: DataFrame, path: str) -> DataFrame:
     met = rows.withColumn("slot", F.expr(f"row div {64 * SLOT_WORDS}")).join(F.broadcast(bits), ["file", "slot"])
     own = met.filter(bit == 1).select(content(F.col("text"), path).alias("content"))
     return own.select(F.unhex(F.sha2("content", 256)).alias("digest"), "content").mapInArrow(
-        tidy(count), "digest binary, n_tokens long"
+        tidy(count, "bpe"), "digest binary, n_tokens long"
     )
 
 
