@@ -7,8 +7,10 @@ from collections import Counter
 import corpus_pipeline as pipeline
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from trackspark.llm import bpe
-from trackspark.llm.common import BATCH_BYTES, materialise, release, scratch, small_batches, tidy, told
+from trackspark.llm.common import BATCH_BYTES, BATCH_ROWS, materialise, ranked, release, scratch, small_batches, tidy, told
 from trackspark.llm.mixing import mix
 from trackspark.llm.toxicity import score
 
@@ -115,3 +117,31 @@ def test_batches_have_few_bytes(spark):
             assert spark.conf.get(name) == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_parquet_is_read_in_batches_of_few_rows(spark):
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("4096", str(BATCH_ROWS)), ("100", "100")):
+            spark.conf.set(name, given)
+            small_batches(spark)
+            assert spark.conf.get(name) == want
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_ranks_start_no_python_workers(spark):
+    for n in (0, 5):
+        found = ranked(spark.range(n), [F.desc("id")], "ranks")
+        assert {r["id"]: r["rank"] for r in found.collect()} == {k: n - 1 - k for k in range(n)}
+        assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+
+
+def test_a_worker_holds_one_vocabulary():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, own = Tokenizer.from_file(path), bpe._tools(path)[0]
+    assert own.get_vocab_size() == 0
+    for text in ("", "It's  2\u00b2 A\u030a\u0130\u1e9e \u4e2d\u6587\u3000x<|endoftext|>y\x00 \U0001f600\u200d"):
+        pieces = [t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text)) for t in (whole, own)]
+        assert pieces[0] == pieces[1]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from trackspark.llm.common import hold, small_batches, tidy
+from trackspark.llm.common import give_back, hold, small_batches, tidy
 
 #: Distinct words whose encodings a task keeps between batches.
 KEEP_WORDS = 100_000
@@ -55,6 +55,8 @@ class WordEncoder:
             json.dumps((spec["normalizer"] or {}).get("normalizers")),
             spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"],
         ) == _KNOWN_RULES
+        #: The file without its vocabulary.
+        self.rules = spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
         self.end: str = model["end_of_word_suffix"] or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.text = {i: s for s, i in self.vocab.items()}
@@ -200,8 +202,11 @@ class Known:
 
 @lru_cache(maxsize=2)
 def _tools(path: str) -> tuple[Tokenizer, WordEncoder, Known]:
+    """The library with a file's rules (it cuts texts, and needs no vocabulary), the encoder, and its words."""
     hold("bpe", _tools.cache_clear)
-    return Tokenizer.from_file(path), WordEncoder(path), Known()
+    encoder = WordEncoder(path)
+    give_back()  # what reading the file took
+    return Tokenizer.from_str(json.dumps(encoder.rules)), encoder, Known()
 
 
 def _words(text: str, tokenizer: Tokenizer, encoder: WordEncoder) -> list[str]:
