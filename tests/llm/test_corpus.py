@@ -100,6 +100,39 @@ def brute_components(rows, width, percent):
     return {i: (len(sets[i]), label[i]) for i in sets}
 
 
+def test_links_and_labels_are_written_in_few_files(spark):
+    # Paths of a hundred nodes, each link in a file of its own.
+    links = jaccard.materialise(spark.range(99).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(99), "links")
+    assert len(links.inputFiles()) > 50
+    before, spark_conf = jaccard.materialise, "spark.sql.shuffle.partitions"
+    parts, written = spark.conf.get(spark_conf), {}
+
+    def seen(df, name):
+        found = before(df, name)
+        written.setdefault(name, []).append(len(found.inputFiles()))
+        return found
+
+    jaccard.materialise = seen
+    spark.conf.set(spark_conf, 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        labels = {r["node"]: r["label"] for r in jaccard.components(links).collect()}
+        sets = spark.range(100).select(
+            F.col("id").alias("node"),
+            *[F.array(F.lit(1)).alias(c) for c in jaccard.PREFIXES],
+            F.lit(np.arange(4, dtype=np.uint64).tobytes()).alias("tokens"),
+        )
+        found = {(r["a"], r["b"]) for r in jaccard.linked(links, sets, 80, "found").collect()}
+    finally:
+        jaccard.materialise = before
+        spark.conf.set(spark_conf, parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert labels == dict.fromkeys(range(100), 0)
+    assert found == {(k, k + 1) for k in range(99)}
+    assert set(written) == {"both_ways", "labels", "hooked", "found_candidates", "found"}
+    assert max(n for each in written.values() for n in each) <= 2, written
+
+
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80)])
 def test_near_duplicates(spark, docs, width, percent):
     rng = random.Random(9)
