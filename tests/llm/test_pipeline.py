@@ -9,8 +9,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
-from trackspark.llm import bpe
-from trackspark.llm.common import BATCH_BYTES, BATCH_ROWS, materialise, ranked, release, scratch, small_batches, tidy, told
+from trackspark.functions import shared
+from trackspark.llm import bpe, common
+from trackspark.llm.common import BATCH_BYTES, BATCH_ROWS, materialise, ranked, release, scratch, scratch_path, small_batches, tidy, told
 from trackspark.llm.mixing import mix
 from trackspark.llm.toxicity import score
 
@@ -145,3 +146,21 @@ def test_a_worker_holds_one_vocabulary():
     for text in ("", "It's  2\u00b2 A\u030a\u0130\u1e9e \u4e2d\u6587\u3000x<|endoftext|>y\x00 \U0001f600\u200d"):
         pieces = [t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text)) for t in (whole, own)]
         assert pieces[0] == pieces[1]
+
+
+def test_scratch_tables_are_no_part_of_the_folder_above(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}/checkpoints")
+    monkeypatch.setattr(shared, "_own_folder", lambda: f"file://{tmp_path}/checkpoints")
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    with scratch() as made:
+        assert materialise(spark.range(5), "plain").count() == 5
+        parted = scratch_path(spark, "parted")
+        spark.range(4).withColumn("part", F.col("id") % 2).write.partitionBy("part").parquet(parted)
+        assert spark.read.parquet(parted).groupBy("part").count().count() == 2
+        kept = shared.shared_folder(spark, "kept")
+        spark.range(6).write.parquet(kept)
+        assert spark.read.parquet(kept).count() == 6
+        spark.read.schema("id long").parquet(str(tmp_path))  # no error: conflicting directory structures
+        found = spark.read.schema("id long").option("recursiveFileLookup", "true").parquet(str(tmp_path))
+        assert found.count() == 3
+    release(spark, made)

@@ -17,7 +17,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = _own_folder()
-    return f"{top.rstrip('/')}/trackspark/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/_trackspark/{name}-{uuid.uuid4().hex}"
 
 
 @lru_cache(maxsize=1)
