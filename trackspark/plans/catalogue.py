@@ -55,8 +55,9 @@ def events(spark: SparkSession, sf_dir: str) -> Trace:
 def gps(spark: SparkSession, sf_dir: str) -> Trace:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("double")
-    lat = -60 + F.col("user_id") * 0.08 + F.col("value") * 1e-4
-    lng = -170 + F.col("user_id") * 0.22 + k * 1e-4
+    # The SQL's -60 + user_id * 0.08 is a decimal, so exact; a sum of doubles differs in its last places.
+    lat = (F.col("user_id") * 8 - 6000) / 100.0 + F.col("value") * 1e-4
+    lng = (F.col("user_id") * 22 - 17000) / 100.0 + k * 1e-4
     no, zero = F.col("event_id") % 17 == 0, F.col("event_id") % 23 == 0
     df = e.select(
         F.col("user_id").alias(SESSION),
