@@ -34,6 +34,10 @@ WIDE = tuple(f"w{k}" for k in range(16))
 PIVOTS, ROUNDS = 4, 3
 #: Steps of label propagation between these rounds, which need no final labels.
 HOPS = 2
+#: Members of a token's bucket that one task compares with each other; larger buckets are dealt to pieces.
+BUCKET = 1 << 11
+#: Rows of buckets, and pairs of them, that are looked at together.
+ROWS_TOGETHER, PAIRS_TOGETHER = 1 << 15, 1 << 17
 #: Bytes of cells that a task counts together.
 COUNT_BYTES = 48 << 20
 
@@ -517,6 +521,93 @@ def nearest_pivots(placed: DataFrame, likely: Column, turn: int, percent: int) -
     )
 
 
+def _near(n: np.ndarray, at: np.ndarray, wide: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`may_link` of pairs of rows (i, j): those that may, and the cells in which their sketches differ."""
+    x, y = n[i], n[j]
+    both = (percent * (x + y) + 99 + percent) // (100 + percent)
+    ok = np.flatnonzero((at[i] <= x - both) & (at[j] <= y - both) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)))
+    i, j, most = i[ok], j[ok], (x + y - 2 * both)[ok]
+    away = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int32)
+    ok = np.flatnonzero(away <= most)
+    return i[ok], j[ok], away[ok]
+
+
+def _met(rows: dict[str, np.ndarray], starts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
+    """a, b, low, high, away of the pairs of rows in one group (``starts``) and of different labels that may link.
+
+    Rows of the group's main label need no pair among themselves; two others meet once.
+    """
+    node, label, n, at = rows["node"], rows["label"], rows["n"].astype(np.int64), rows["at"].astype(np.int64)
+    wide = np.column_stack([rows[c].view(np.uint64) for c in WIDE])
+    main = label == rows["main"]
+    # Of a bucket in pieces, the rows of one piece meet those of the other.
+    apart, second = rows["i"] != rows["j"], rows["own"] == rows["j"]
+    sizes = np.diff(np.append(starts, len(node)))
+    minor = np.flatnonzero(~main)
+    group = np.searchsorted(starts, minor, "right") - 1
+    first, met = starts[group], sizes[group]
+    ends = np.cumsum(met)
+    start = 0
+    while start < len(minor):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + PAIRS_TOGETHER, "right")))
+        m = met[start:stop]
+        y = np.repeat(minor[start:stop], m)
+        x = np.arange(len(y)) + np.repeat(first[start:stop] - (ends[start:stop] - m - done), m)
+        start = stop
+        ok = (label[x] != label[y]) & (main[x] | (node[x] < node[y])) & (~apart[y] | (second[x] != second[y]))
+        x, y, away = _near(n, at, wide, x[ok], y[ok], percent)
+        if len(x):
+            ends_of = [np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]
+            ends_of += [np.minimum(label[x], label[y]), np.maximum(label[x], label[y])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, ends_of), pa.array(away, pa.int32())], names=["a", "b", "low", "high", "away"])
+
+
+def cross_pairs(open_rows: DataFrame, percent: int) -> DataFrame:
+    """a, b, low, high, away: pairs of nodes of different components (low, high) that share a token and may link.
+
+    ``open_rows`` has token, members (of its bucket), main (its most frequent
+    label), label, node, n, at and the wide sketch. Nodes of the main component
+    are not paired with each other. Pairs are the one thing here that can grow
+    with the square of a bucket, so they are looked at in arrays, and are no
+    rows before they may link; a bucket of more than BUCKET members is dealt to
+    pieces, whose pairs are tasks' groups.
+    """
+    pieces = F.ceil(F.col("members") / BUCKET).cast("int")
+    own = F.pmod(F.xxhash64(F.lit("piece"), "node"), pieces).cast("int")
+    dealt = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    dealt = dealt.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "main", "label", "node", "n", "at", *WIDE)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count, enough = 0, ROWS_TOGETHER
+
+        def whole(last: bool) -> Iterator[pa.RecordBatch]:
+            """The pairs of the held groups, but for the last one, which may go on."""
+            nonlocal held, count, enough
+            table = pa.Table.from_batches(held).combine_chunks()
+            rows = {c: table.column(c).to_numpy() for c in table.column_names}
+            new = np.ones(len(table), bool)
+            new[1:] = np.any([rows[c][1:] != rows[c][:-1] for c in ("token", "i", "j")], axis=0)
+            starts = np.flatnonzero(new)
+            end = len(table) if last else starts[-1]
+            held = table.slice(end).to_batches()
+            count = len(table) - end
+            enough = count + ROWS_TOGETHER
+            yield from _met({c: v[:end] for c, v in rows.items()}, starts[starts < end], percent)
+
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= enough:
+                yield from whole(False)
+        if count:
+            yield from whole(True)
+
+    grouped = dealt.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return grouped.mapInArrow(tidy(pairs), "a long, b long, low long, high long, away int").distinct()
+
+
 def joined_across(
     cross: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int
 ) -> tuple[DataFrame, DataFrame]:
@@ -655,35 +746,19 @@ def near_duplicates(
         placed.groupBy("token", "label")
         .agg(F.count("*").alias("size"))
         .groupBy("token")
-        .agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count("*").alias("labels"))
+        .agg(
+            F.max_by("label", F.struct("size", "label")).alias("main"),
+            F.count("*").alias("labels"),
+            F.sum("size").alias("members"),
+        )
         .filter("labels > 1")
-        .select("token", "main")
+        .select("token", "main", "members")
     )
     known.destroy()
     open_rows = placed.join(materialise(largest, "largest"), "token").select(
-        "token", "label", "main", "x.node", "x.n", "x.at"
-    )
-    wide = F.struct("node", "n", "at", *WIDE).alias("x")
-    open_rows = materialise(
-        open_rows.join(sets.select("node", *WIDE), "node").select("token", "label", "main", wide), "open"
-    )
-    minor = open_rows.filter("label <> main").select(
-        "token", F.col("x").alias("y"), F.col("label").alias("label_y")
-    )
-    # Two nodes that are both outside of the main component meet once.
-    once = (F.col("label") == F.col("main")) | (F.col("x.node") < F.col("y.node"))
-    cross = (
-        minor.join(open_rows, "token")
-        .filter((F.col("label_y") != F.col("label")) & once & may_link("x", "y", percent, WIDE))
-        .select(
-            F.least("x.node", "y.node").alias("a"),
-            F.greatest("x.node", "y.node").alias("b"),
-            F.least("label", "label_y").alias("low"),
-            F.greatest("label", "label_y").alias("high"),
-            _distance("x", "y", WIDE).alias("away"),
-        )
-        .distinct()
+        "token", "members", "main", "label", "x.node", "x.n", "x.at"
     )
+    cross = cross_pairs(open_rows.join(sets.select("node", *WIDE), "node"), percent)
     links, labels = joined_across(materialise(cross, "cross"), sets, links, labels, percent)
 
     named = labels.join(nodes, "node")
